@@ -195,7 +195,7 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
             yield {"class_a": np.minimum(a, b), "class_b": np.maximum(a, b)}
 
     posted = records.mapInArrow(postings, ", ".join(f"{c} long" for c in posting_cols))
-    candidates = cut(runs.compare(posted, "token", ["size", "class"], "class_a long, class_b long", tile_pairs, tile_limit))
+    candidates = cut(runs.compare(posted, "token", ["size", "class"], "class_a long, class_b long", tile_pairs, tile_limit).distinct())
 
     # A filter of fixed size: beyond its capacity it only lets more through.
     words_per = FILTER_BITS // 64

@@ -96,7 +96,7 @@ def pairs_in_runs(cols: Columns, key: str, go_on: Callable, keep: Callable) -> I
 
 
 def compare(postings: DataFrame, key: str, order: list[str], out: str, pairs: Callable, limit: int) -> DataFrame:
-    """Pairs of ``postings`` rows with equal ``key``, without a task for a whole hot key.
+    """Pairs of ``postings`` rows with equal ``key``, without a task for a whole hot key; pairs can repeat.
 
     ``postings`` has long columns only. ``pairs(cols, cross)`` yields dicts of
     arrays with the columns of ``out``; where ``cross`` is true only rows of
@@ -120,7 +120,7 @@ def compare(postings: DataFrame, key: str, order: list[str], out: str, pairs: Ca
                 yield pa.record_batch([pa.array(np.zeros(n, bool)), *(pa.nulls(n, pa.int64()) for _ in names), *(pa.array(got[c]) for c in out_names)], schema=arrow)
 
     first = cut(postings.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema))
-    found = first.filter(~F.col("hot")).select(*(F.col(f"out_{c}").alias(c) for c in out_names)).distinct()
+    found = first.filter(~F.col("hot")).select(*(F.col(f"out_{c}").alias(c) for c in out_names))
     hot = first.filter("hot").select(*names)
     if hot.isEmpty():
         return found
@@ -148,4 +148,4 @@ def compare(postings: DataFrame, key: str, order: list[str], out: str, pairs: Ca
                 yield pa.record_batch([pa.array(got[c]) for c in out_names], schema=out_schema)
 
     crossed = spread.repartition("task").sortWithinPartitions("task", *order).mapInArrow(run_blocks, out)
-    return found.union(crossed).distinct()
+    return found.union(crossed)

@@ -1,16 +1,20 @@
 """Long exact spans shared between records: Rabin-Karp window hashes.
 
-Every window of a record is hashed by a rolling polynomial. Windows of the
-full length would put one row per character into the shuffle, so the windows
-that are counted in Spark are shorter ones (``gram`` characters), and of these
-the local minima: of any ``length - gram + 1`` consecutive gram hashes the
-least one is always selected, so a run of ``length`` equal characters has the
-same selected gram in both records, and none is lost. Records that share a
-selected gram are then compared by the hashes of all their windows of the full
-length; repeated windows merge into maximal intervals, whose characters are
-compared before they come out.
-
-Copies of one text are one class and cost one set of rows per task. Grams that
+Every window of a record is hashed by a rolling polynomial. One row per
+character would go through the shuffle if all windows of the full length were
+counted, so the windows counted in Spark are selected by their content: of the
+``gram``-character windows the leftmost least of every ``length - gram + 1``
+consecutive ones is selected. A run of ``length`` equal characters therefore
+holds the same selected gram in both records, and beside it the run reaches at
+least half of the remaining length to the left or to the right. The two windows
+that extend a gram by that half are its keys: no run is lost, and sharing a key
+means that about two thirds of ``length`` agree already.
+
+Records that share a key are compared around the gram; where a key is not unique
+in its record, by the hashes of all windows of the full length, whose repeats
+merge into maximal intervals. Characters are compared before anything comes out.
+
+Copies of one text are one class and cost one set of rows per task. Keys that
 more than ``run_limit`` texts share are cut into block pairs (see ``runs``).
 
 Null texts and texts shorter than ``length`` share nothing. White space, case
@@ -20,9 +24,11 @@ different text. Columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import os.path
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import chars, runs
@@ -31,17 +37,45 @@ from loomspan.session import cut
 SEEN = 1 << 18
 
 
-def selected_grams(cp: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Distinct hashes of the grams that are the least of some window of ``length``."""
+def keys_of(part: list[str], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, key, position of its gram or -1 if the key is not unique there), distinct per text."""
+    width, side = length - gram + 1, (length - gram) // 2
+    cp, bounds = chars.code_points(part)
     h = chars.window_hashes(cp, gram)
-    least = chars.sliding_min(h, length - gram + 1)
-    return np.unique(least[np.append(True, least[1:] != least[:-1])]) if len(least) else least
+    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    place = h & ~((np.uint64(1) << bits) - np.uint64(1)) | np.arange(len(h), dtype=np.uint64)
+    least = chars.sliding_min(place, width)
+    none = np.empty(0, np.int64)
+    if not len(least):
+        return none, none.astype(np.uint64), none
+    pos = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]) | np.isin(np.arange(len(pos)), bounds))
+    # A selection counts where one of its windows lies within one text.
+    last = np.append(begin[1:], len(pos)) - 1
+    doc = np.searchsorted(bounds, pos[begin], side="right") - 1
+    first_own = np.maximum(begin, bounds[doc])
+    own = first_own + length <= np.minimum(last + length, bounds[doc + 1])
+    pos, doc = pos[begin][own], doc[own]
+    wide = chars.window_hashes(cp, gram + side)
+    left = pos - side >= bounds[doc]
+    right = pos + gram + side <= bounds[doc + 1]
+    d = np.concatenate([doc[left], doc[right]])
+    key = np.concatenate([wide[pos[left] - side], wide[pos[right]]])
+    at = np.concatenate([pos[left], pos[right]])
+    at = at - bounds[d]
+    order = np.lexsort((at, key, d))
+    d, key, at = d[order], key[order], at[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (key[1:] != key[:-1]))[: len(d)]
+    start = np.flatnonzero(new)
+    if len(start):
+        ends = np.append(start[1:], len(d)) - 1
+        at = np.where(at[start] == at[ends], at[start], -1)
+    return d[start], key[start], at
 
 
 def _anchors(length: int, gram: int):
     def run(batches):
         seen: dict[int, None] = {}
-        width = length - gram + 1
         for batch in batches:
             classes = batch.column("class").to_pylist()
             texts = []
@@ -54,42 +88,39 @@ def _anchors(length: int, gram: int):
                 texts.append((c, t))
             for start, part in chars.slabs([t for _, t in texts]):
                 cls = np.array([c for c, _ in texts[start : start + len(part)]], np.int64)
-                cp, bounds = chars.code_points(part)
-                h = chars.window_hashes(cp, gram)
-                least = chars.sliding_min(h, width)
-                # Windows that cross from one text into the next are not anyone's.
-                begin = np.arange(len(least))
-                doc = np.searchsorted(bounds, begin, side="right") - 1
-                own = begin + length <= bounds[doc + 1]
-                new = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))
-                # The first own window of a text is new as well.
-                at = np.flatnonzero(own & new)
-                d, g = doc[at], least[at]
-                order = np.lexsort((g, d))
-                d, g = d[order], g[order]
-                once = np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]))[: len(d)]
-                yield pa.record_batch([pa.array(chars.signed(g[once])), pa.array(cls[d[once]])], names=["gram", "class"])
+                d, key, at = keys_of(part, length, gram)
+                yield pa.record_batch([pa.array(chars.signed(key)), pa.array(cls[d]), pa.array(at)], names=["key", "class", "pos"])
 
     return run
 
 
-def _gram_pairs(cols, cross):
+def _key_pairs(cols, cross):
     cls = cols["class"]
     if not cross:
-        again = np.append(False, (cols["gram"][1:] == cols["gram"][:-1]) & (cls[1:] == cls[:-1]))
+        again = np.append(False, (cols["key"][1:] == cols["key"][:-1]) & (cls[1:] == cls[:-1]))
         if again.any():
             cols = {k: v[~again] for k, v in cols.items()}
             cls = cols["class"]
+    pos = cols["pos"]
 
     def keep(i, j):
         ok = cls[i] != cls[j]
         if cross:
-            ok &= cols["gram"][i] == cols["gram"][j]
+            ok &= cols["key"][i] == cols["key"][j]
             ok &= (cols["low"][i] == cols["high"][i]) | (cols["block"][i] != cols["block"][j])
         return ok
 
-    for i, j in runs.pairs_in_runs(cols, "task" if cross else "gram", lambda i, j: np.ones(len(i), np.bool_), keep):
-        yield {"class_a": np.minimum(cls[i], cls[j]), "class_b": np.maximum(cls[i], cls[j])}
+    for i, j in runs.pairs_in_runs(cols, "task" if cross else "key", lambda i, j: np.ones(len(i), np.bool_), keep):
+        swap = cls[i] > cls[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        yield {"class_a": cls[i], "class_b": cls[j], "pos_a": pos[i], "pos_b": pos[j]}
+
+
+def _runs_here(a: str, b: str, pa_: int, pb: int, length: int) -> bool:
+    """Whether a run of ``length`` through these positions is common."""
+    ahead = len(os.path.commonprefix([a[pa_ : pa_ + length], b[pb : pb + length]]))
+    back = len(os.path.commonprefix([a[max(0, pa_ - length) : pa_][::-1], b[max(0, pb - length) : pb][::-1]]))
+    return ahead + back >= length
 
 
 def _intervals(hit: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -127,24 +158,30 @@ def common_windows(a: str, b: str, length: int, ha: np.ndarray | None = None, hb
 
 
 def _verify(length: int, intervals: bool):
+    def shared(a: str, b: str, row: dict) -> bool:
+        for x, y in {(row["first"]["pos_a"], row["first"]["pos_b"]), (row["last"]["pos_a"], row["last"]["pos_b"])}:
+            if x >= 0 and y >= 0 and _runs_here(a, b, x, y, length):
+                return True
+        known = min(row["first"]["pos_a"], row["first"]["pos_b"], row["lowest"]) >= 0
+        if known and (row["n"] <= 2 or row["first"] == row["last"]):
+            return False
+        return bool(common_windows(a, b, length)[0].any())
+
     def run(batches):
         last = None
         for batch in batches:
-            ca, cb = batch.column("class_a").to_pylist(), batch.column("class_b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
             rows = []
-            for i in range(len(ca)):
-                a, b = ta[i].as_py(), tb[i].as_py()
-                if last is None or last[0] != ca[i]:
-                    last = (ca[i], chars.window_hashes(chars.code_points([a])[0], length))
-                in_a, in_b = common_windows(a, b, length, last[1])
-                if not in_a.any():
+            for row in batch.to_pylist():
+                a, b, ca, cb = row["text_a"], row["text_b"], row["class_a"], row["class_b"]
+                if not intervals:
+                    if shared(a, b, row):
+                        rows.append((ca, cb))
                     continue
-                if intervals:
-                    rows += [(ca[i], cb[i], s, e) for s, e in _intervals(in_a, length)]
-                    rows += [(cb[i], ca[i], s, e) for s, e in _intervals(in_b, length)]
-                else:
-                    rows.append((ca[i], cb[i]))
+                if last is None or last[0] != ca:
+                    last = (ca, chars.window_hashes(chars.code_points([a])[0], length))
+                in_a, in_b = common_windows(a, b, length, last[1])
+                rows += [(ca, cb, s, e) for s, e in _intervals(in_a, length)]
+                rows += [(cb, ca, s, e) for s, e in _intervals(in_b, length)]
             names = ["class", "other", "span_start", "span_end"] if intervals else ["class_a", "class_b"]
             yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
 
@@ -157,9 +194,11 @@ def _classes(docs: DataFrame, length: int) -> DataFrame:
 
 
 def candidate_pairs(docs: DataFrame, length: int, gram: int, run_limit: int) -> DataFrame:
-    """class_a < class_b of texts that share a selected gram."""
-    posted = _classes(docs, length).select("class", "text").mapInArrow(_anchors(length, gram), "gram long, class long")
-    return runs.compare(posted, "gram", ["class"], "class_a long, class_b long", _gram_pairs, run_limit)
+    """class_a < class_b of texts that share a key, with the outermost positions of their keys."""
+    posted = _classes(docs, length).select("class", "text").mapInArrow(_anchors(length, gram), "key long, class long, pos long")
+    pairs = runs.compare(posted, "key", ["class"], "class_a long, class_b long, pos_a long, pos_b long", _key_pairs, run_limit)
+    at = F.struct("pos_a", "pos_b")
+    return pairs.groupBy("class_a", "class_b").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min(F.least("pos_a", "pos_b")).alias("lowest"), F.count("*").alias("n"))
 
 
 def _matches(docs: DataFrame, length: int, gram: int, run_limit: int, intervals: bool) -> DataFrame:
@@ -168,7 +207,7 @@ def _matches(docs: DataFrame, length: int, gram: int, run_limit: int, intervals:
     texts = _classes(docs, length).select("class", "text").dropDuplicates(["class"])
     a = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "text_a", "text_b")
+    both = pairs.join(a, "class_a").join(b, "class_b")
     schema = "class long, other long, span_start long, span_end long" if intervals else "class_a long, class_b long"
     return both.mapInArrow(_verify(length, intervals), schema)
 
@@ -199,8 +238,6 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: i
     copies = members.groupBy("class").agg(F.countDistinct("id").alias("c"), F.max("n").alias("n")).filter("c > 1").select("class", F.col("class").alias("other"), F.lit(0).cast("long").alias("span_start"), F.col("n").alias("span_end"))
     found = found.union(copies)
     # Gaps and islands: a span begins where nothing before it reaches.
-    from pyspark.sql import Window
-
     w = Window.partitionBy("class").orderBy("span_start", "span_end", "other")
     reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(reach.isNull() | (F.col("span_start") > reach), 1).otherwise(0))
