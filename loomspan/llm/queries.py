@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import near_dup, spans
+from loomspan.llm import mixing, near_dup, packing, spans, tokens, vp_knn
 from loomspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return vp_knn.similar_pairs(table(spark, sf, "vector_records"), k=10, min_similarity=0.85)
+
+
+def p1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists themselves, one row per record with a neighbour of cosine 0.5 or more."""
+    lists = vp_knn.neighbour_lists(table(spark, sf, "vector_records"), k=10, min_similarity=0.5)
+    return lists.select("space_id", "cid", F.posexplode("neighbours").alias("place", "n")).select("space_id", "cid", (F.col("place") + 1).alias("place"), F.col("n.cid").alias("near_cid"), F.col("n.cosine").alias("cosine"))
+
+
 P2_TABLES = ["chunks", "global_facts"]
 
 
@@ -33,6 +45,28 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.duplicate_classes(_p2_records(spark, sf), threshold=0.8).select(_p2_name(), "id", "class_id", "links")
 
 
+def _sized(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """doc_id, source family, n_tokens of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", tokens.family().alias("source"), *(F.expr(m) for m in more), "text")
+    return tokens.with_sizes(docs)
+
+
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_sized(spark, sf), capacity=2048)
+
+
+def _p7_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mix_targets").withColumn("source", tokens.family())
+
+
+def p7_select(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sized(spark, sf, "sha2(text, 256) AS same"), _p7_targets(spark, sf))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p7_select(spark, sf), _p7_targets(spark, sf))
+
+
 def _p8_records(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -51,8 +85,13 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
         "p2_classes": p2_classes,
+        "p6_pack": p6_pack,
+        "p7_select": p7_select,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
         "p8_report": p8_report,
