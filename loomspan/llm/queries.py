@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, near_dup, packing, spans, tokens, vp_knn
+from loomspan.llm import mixing, near_dup, packing, spans, splitting, tokens, vp_knn
 from loomspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,18 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.duplicate_classes(_p2_records(spark, sf), threshold=0.8).select(_p2_name(), "id", "class_id", "links")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.places(table(spark, sf, "chunks"), limit=2400)
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(table(spark, sf, "chunks"), limit=2400, overlap=200)
+
+
+def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.chunk_counts(table(spark, sf, "documents"), p3_pieces(spark, sf))
+
+
 def _sized(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """doc_id, source family, n_tokens of every document."""
     docs = table(spark, sf, "documents").select("doc_id", tokens.family().alias("source"), *(F.expr(m) for m in more), "text")
@@ -89,6 +101,9 @@ def queries() -> dict[str, Query]:
         "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
         "p2_classes": p2_classes,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
+        "p3_documents": p3_documents,
         "p6_pack": p6_pack,
         "p7_select": p7_select,
         "p7_shares": p7_shares,
