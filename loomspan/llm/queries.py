@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, near_dup, packing, spans, splitting, tokens, vp_knn
+from loomspan.llm import mixing, near_dup, packing, spans, splitting, style_tree, tokens, vp_knn
 from loomspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.chunk_counts(table(spark, sf, "documents"), p3_pieces(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "crawl_pages").select("page_id", "host", "title", "text", "links", F.col("http.status").alias("status"))
+    return style_tree.main_lines(pages)
+
+
 def _sized(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """doc_id, source family, n_tokens of every document."""
     docs = table(spark, sf, "documents").select("doc_id", tokens.family().alias("source"), *(F.expr(m) for m in more), "text")
@@ -104,6 +109,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p3_documents": p3_documents,
+        "p5_found": p5_found,
         "p6_pack": p6_pack,
         "p7_select": p7_select,
         "p7_shares": p7_shares,
