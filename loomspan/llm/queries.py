@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, near_dup, packing, spans, splitting, style_tree, tokens, vp_knn
+from loomspan.llm import mixing, near_dup, packing, pair_defects, spans, splitting, style_tree, tokens, vp_knn
 from loomspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.chunk_counts(table(spark, sf, "documents"), p3_pieces(spark, sf))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "translation_feedback").select("id", F.col("source_text").alias("source"), F.col("model_output").alias("output"), F.col("target_lang").alias("target"))
+    return pair_defects.find(rows, sample_rows=4000)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "crawl_pages").select("page_id", "host", "title", "text", "links", F.col("http.status").alias("status"))
     return style_tree.main_lines(pages)
@@ -109,6 +114,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p3_documents": p3_documents,
+        "p4_found": p4_found,
         "p5_found": p5_found,
         "p6_pack": p6_pack,
         "p7_select": p7_select,
