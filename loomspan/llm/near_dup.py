@@ -42,6 +42,7 @@ from loomspan.session import cut
 CELLS = 1 << 22  # of the word count table: 16 MB whatever the input
 SLICES = 64
 FILTER_BITS = 1 << 25  # of the survivors' filter: 4 MB whatever the input
+WIDE = 512  # bits of the second bitmap
 SEEN = 1 << 18  # classes a task remembers so as not to post them twice
 
 
@@ -232,7 +233,7 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
                 s = chars.signed(fp)
                 bit = np.mod(s, FILTER_BITS)
                 hit = (flags[bit // 64] >> (bit % 64).astype(np.uint64)) & np.uint64(1) == 1
-                out_k, out_c, out_w = [], [], []
+                out_k, out_c, out_w, out_n, out_s = [], [], [], [], []
                 for r in np.flatnonzero(hit).tolist():
                     c = int(s[r])
                     if c in seen:
@@ -242,14 +243,29 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
                         del seen[next(iter(seen))]
                     out_k.append(int(kind[r]))
                     out_c.append(c)
-                    out_w.append(h[edge[rows[r]] : edge[rows[r] + 1]].tobytes())
+                    own = h[edge[rows[r]] : edge[rows[r] + 1]]
+                    out_w.append(own.tobytes())
+                    out_n.append(len(own))
+                    parity = np.bincount(((own >> np.uint64(20)) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+                    out_s.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 if out_c:
-                    yield pa.record_batch([pa.array(out_k, pa.int32()), pa.array(out_c, pa.int64()), pa.array(out_w, pa.binary())], names=["kind", "class", "words"])
+                    wide = np.array(out_s)
+                    cols = [pa.array(out_k, pa.int32()), pa.array(out_c, pa.int64()), pa.array(out_n, pa.int32()), *(pa.array(wide[:, i]) for i in range(WIDE // 64)), pa.array(out_w, pa.binary())]
+                    yield pa.record_batch(cols, names=["kind", "class", "n", *wide_cols, "words"])
 
-    words = records.mapInArrow(survivors, "kind int, class long, words binary")
+    wide_cols = [f"w{i}" for i in range(WIDE // 64)]
+    words = cut(records.mapInArrow(survivors, f"kind int, class long, n int, {', '.join(f'{c} long' for c in wide_cols)}, words binary").dropDuplicates(["class"]))
+
+    # A wider bitmap goes first: it is a fraction of the words and turns most of the rest away.
+    def wide(side: str) -> DataFrame:
+        return words.select(F.col("class").alias(f"class_{side}"), F.col("n").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in wide_cols))
+
+    differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in wide_cols)
+    both = "(n_a + n_b)"
+    near = candidates.join(wide("a"), "class_a").join(wide("b"), "class_b").filter(f"({both} - ({differ})) / 2 >= {both} * {threshold / (1 + threshold)} - 1e-6").select("class_a", "class_b")
     left = words.select("kind", F.col("class").alias("class_a"), F.col("words").alias("words_a"))
     right = words.select(F.col("class").alias("class_b"), F.col("words").alias("words_b"))
-    joined = candidates.join(left, "class_a").join(right, "class_b").select("kind", "class_a", "class_b", "words_a", "words_b")
+    joined = near.join(left, "class_a").join(right, "class_b").select("kind", "class_a", "class_b", "words_a", "words_b")
 
     def exact(batches):
         for batch in batches:
@@ -265,8 +281,7 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
             kept = [batch.column(c).filter(ok) for c in ("kind", "class_a", "class_b")]
             yield pa.record_batch([*kept, pa.array(j).filter(ok)], names=["kind", "class_a", "class_b", "jaccard"])
 
-    # One class may have been read by several tasks, so pairs can repeat.
-    pairs = joined.mapInArrow(exact, "kind int, class_a long, class_b long, jaccard double").distinct()
+    pairs = joined.mapInArrow(exact, "kind int, class_a long, class_b long, jaccard double")
     return members, pairs
 
 
