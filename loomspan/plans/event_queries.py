@@ -107,14 +107,14 @@ def event_chain_verify(spark, sf):
     return ev.verify_chain(log.withColumn("body", altered), ["user_id"], "body")
 
 
-_QUEUE = "SELECT user_id AS tenant, event_id AS item, ts AS at, CASE event_type WHEN 'error' THEN 'leased' WHEN 'purchase' THEN 'waiting' WHEN 'signup' THEN 'waiting' ELSE 'done' END AS state FROM events"
+_QUEUE = "SELECT user_id AS tenant, event_id AS item, ts AS since, CASE event_type WHEN 'error' THEN 'leased' WHEN 'purchase' THEN 'waiting' WHEN 'signup' THEN 'waiting' ELSE 'done' END AS state FROM events"
 
 
 @query(f"""WITH q AS ({_QUEUE}), h AS (SELECT tenant, count(*) FILTER (state = 'leased') AS held FROM q WHERE state IN ('waiting', 'leased') GROUP BY 1),
     t AS (SELECT count(*) AS active, sum(held) AS all_held FROM h),
-    m AS (SELECT q.*, row_number() OVER (PARTITION BY tenant ORDER BY at, item) AS nth FROM q WHERE state = 'waiting'),
-    c AS (SELECT m.tenant, m.item, m.at FROM m JOIN h USING (tenant) CROSS JOIN t WHERE held + nth <= ceil(40000 / active))
-    SELECT tenant, item, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (ORDER BY at, item) AS place FROM c) CROSS JOIN t WHERE place <= 40000 - all_held""")
+    m AS (SELECT q.*, row_number() OVER (PARTITION BY tenant ORDER BY since, item) AS nth FROM q WHERE state = 'waiting'),
+    c AS (SELECT m.tenant, m.item, m.since FROM m JOIN h USING (tenant) CROSS JOIN t WHERE held + nth <= ceil(40000 / active))
+    SELECT tenant, item, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (ORDER BY since, item) AS place FROM c) CROSS JOIN t WHERE place <= 40000 - all_held""")
 def fair_lease_decision(spark, sf):
     kind = F.col("event_type")
     state = F.when(kind == "error", "leased").when(kind.isin("purchase", "signup"), "waiting").otherwise("done")
