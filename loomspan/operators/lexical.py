@@ -19,14 +19,20 @@ def artifacts_of(post: DataFrame, key: str, wanted: list[str]) -> DataFrame:
     return post.filter(F.col("token").isin(wanted)).select("token", key).distinct()
 
 
-def bm25(query_tokens: list[str], toks: Column, mean_len: Column | float = 120.0) -> Column:
+def bm25(query_tokens: list[str], toks: Column, mean_len: float = 120.0) -> Column:
     """BM25 with a constant idf over distinct query tokens."""
-    n = F.size(toks)
-    score = F.lit(0.0)
-    for t in dict.fromkeys(query_tokens):
-        tf = F.size(toks) - F.size(F.array_remove(toks, t))
-        score = score + F.when(tf > 0, fixed.BM25_IDF * tf * (fixed.BM25_K1 + 1) / (tf + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * n / mean_len))).otherwise(0.0)
-    return F.when(n > 0, F.round(score, 6)).otherwise(0.0)
+    wanted = list(dict.fromkeys(query_tokens))
+
+    def score(n: Column, hit: Column) -> Column:
+        total = F.lit(0.0)
+        for t in wanted:
+            tf = F.size(hit) - F.size(F.array_remove(hit, t))
+            total = total + F.when(tf > 0, fixed.BM25_IDF * tf * (fixed.BM25_K1 + 1) / (tf + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * n / mean_len))).otherwise(0.0)
+        return F.when(n > 0, F.round(total, 6)).otherwise(0.0)
+
+    # One-element arrays bind the tokens, and the few of them that are asked for, to a name.
+    bound = F.transform(F.array(toks), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(wanted)).alias("hit")))
+    return F.transform(bound, lambda b: score(b["n"], b["hit"]))[0]
 
 
 def query_tokens(query: str) -> list[str]:
