@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import cut
+from loomspan.session import cut, spread
 
 
 def normal_id(text: Column) -> Column:
@@ -26,22 +26,27 @@ def simhash(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def run(col: pd.Series) -> pd.Series:
-        seen: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}
+        signs = np.empty((1024, 64), np.int32)
         out = np.zeros(len(col), np.uint64)
         bits = np.arange(64, dtype=np.uint64)
         for k, t in enumerate(col):
-            total = np.zeros(64, np.int64)
+            at = []
             for tok in (t or "").lower().split():
-                signs = seen.get(tok)
-                if signs is None:
+                i = known.get(tok)
+                if i is None:
                     h = 0xCBF29CE484222325
                     for b in tok.encode("utf-8"):
                         h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-                    signs = ((np.uint64(h) >> bits) & np.uint64(1)).astype(np.int64) * 2 - 1
-                    if len(seen) < 100_000:
-                        seen[tok] = signs
-                total += signs
-            out[k] = ((total > 0).astype(np.uint64) << bits).sum()
+                    i = known[tok] = len(known)
+                    if i == len(signs):
+                        signs = np.concatenate([signs, np.empty_like(signs)])
+                    signs[i] = ((np.uint64(h) >> bits) & np.uint64(1)).astype(np.int32) * 2 - 1
+                at.append(i)
+            if at:
+                out[k] = ((signs[at].sum(axis=0) > 0).astype(np.uint64) << bits).sum()
+            if len(known) > 200_000:
+                known.clear()
         return pd.Series(out.view(np.int64))
 
     return run(text)
@@ -55,7 +60,7 @@ def near_by_simhash(docs: DataFrame, key: str, text: str = "text", most: int = 3
     hashes only. The first-seen rule is resolved in rounds: a hash is kept once
     all smaller neighbours are near another, near once a kept one is beside it.
     """
-    h = docs.select(key, simhash(F.col(text)).alias("h"))
+    h = cut(spread(docs.select(key, text)).select(key, simhash(F.col(text)).alias("h")))
     one = cut(h.groupBy("h").agg(F.min(key).alias("first")))
     band = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)))).alias("k")
     banded = one.select("h", "first", band).select("h", "first", "k.b", "k.v")

@@ -9,9 +9,19 @@ from loomspan.functions import fixed
 from loomspan.operators import text as tx
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """token, key, position: one row per occurrence, repeated rows once."""
-    return docs.select(key, F.posexplode(tx.tokens(F.col(text))).alias("position", "token")).distinct()
+def postings(docs: DataFrame, key: str, text: str = "text", unique: bool = False) -> DataFrame:
+    """token, key, position: one row per occurrence, repeated rows once.
+
+    ``unique`` says that no key repeats, which saves the distinct.
+    """
+    out = docs.select(key, F.posexplode(tx.tokens(F.col(text))).alias("position", "token"))
+    return out if unique else out.distinct()
+
+
+def posting_stats(post: DataFrame, key: str) -> DataFrame:
+    """token, occurrences, artifacts, first_position; counted per artifact first, so that a common token is one row of each."""
+    per = post.groupBy("token", key).agg(F.count("*").alias("n"), F.min("position").alias("p"))
+    return per.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count("*").alias("artifacts"), F.min("p").alias("first_position"))
 
 
 def artifacts_of(post: DataFrame, key: str, wanted: list[str]) -> DataFrame:

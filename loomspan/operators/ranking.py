@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import fixed
 from loomspan.operators import chunking, lexical, text, vectors
+from loomspan.session import spread
 
 
 def similarity_to(query: str, dims: int = 256):
@@ -51,7 +52,7 @@ def candidates(docs: DataFrame, query: str, k: int = fixed.RECALL_K) -> DataFram
     Chunks are made, deduplicated by content and scored in one pass; a top-k
     per task is all that is gathered.
     """
-    chunks = docs.select("doc_id", "source", F.posexplode(chunking.windows(F.col("text"))).alias("position", "text"))
+    chunks = spread(docs).select("doc_id", "source", F.posexplode(chunking.windows(F.col("text"))).alias("position", "text"))
     one = chunks.groupBy(chunking.chunk_id(F.col("text")).alias("chunk_id")).agg(F.min(F.struct("doc_id", "position", "source", "text")).alias("c"))
     scored = one.select("chunk_id", "c.*").withColumn("recall", similarity_to(query)(F.col("text")))
     return scored.orderBy(F.desc("recall"), "chunk_id").limit(k)

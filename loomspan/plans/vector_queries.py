@@ -93,8 +93,7 @@ def lexical_idf_search(spark, sf):
 
 @query(f"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS artifacts, min(position)::INT AS first_position FROM (SELECT doc_id, unnest({_TOK}) AS token, generate_subscripts({_TOK}, 1) - 1 AS position FROM documents) GROUP BY 1")
 def token_postings(spark, sf):
-    p = lx.postings(documents(spark, sf), "doc_id")
-    return p.groupBy("token").agg(F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("artifacts"), F.min("position").alias("first_position"))
+    return lx.posting_stats(lx.postings(documents(spark, sf), "doc_id", unique=True), "doc_id")
 
 
 @query(f"SELECT token, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY 1")
