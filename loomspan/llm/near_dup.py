@@ -320,8 +320,8 @@ def duplicate_classes(records: DataFrame, threshold: float = 0.8, **kw) -> DataF
         heard = both.join(labels.withColumnRenamed("class", "near"), ["kind", "near"]).groupBy("kind", "class").agg(F.min("label").alias("heard"))
         # The label's own label is taken over as well: chains halve, as in pointer jumping.
         step = labels.join(heard, ["kind", "class"]).select("kind", "class", F.least("label", "heard").alias("new"), F.col("label").alias("old"))
-        jump = step.groupBy("kind", F.col("old").alias("o")).agg(F.min("new").alias("best"))
-        step = cut(step.join(jump, (step.kind == jump.kind) & (step.old == jump.o)).select(step.kind, "class", F.least("new", "best").alias("label"), "old"))
+        jump = step.groupBy("kind", "old").agg(F.min("new").alias("best"))
+        step = cut(step.join(jump, ["kind", "old"]).select("kind", "class", F.least("new", "best").alias("label"), "old"))
         changed = not step.filter("label <> old").isEmpty()
         labels = step.select("kind", "class", "label")
     flat = first.join(labels.withColumnRenamed("label", "group"), ["kind", "class"], "left").join(degree, ["kind", "class"], "left")

@@ -121,7 +121,7 @@ def natural_places(text: str) -> list[tuple[int, int]]:
             out.extend((p, SENTENCE) for p in _sentences(text, paragraph[0], paragraph[1]))
             paragraph.clear()
 
-    fenced, last = False, ""
+    fenced, last, count = False, "", -1
     broken = True  # whether the next line begins something new
     for (at, line), width in zip(lines, widths, strict=True):
         bare = line.strip()
@@ -148,14 +148,18 @@ def natural_places(text: str) -> list[tuple[int, int]]:
             # A short line was ended on purpose.
             room = width - len(last.rstrip())
             broken = max(len(line), len(last)) > WRAP or room > len(first_word) + 1
-        ended = broken or _ends_sentence(last)
+        number = _NUMBER.match(line)
+        # The next number of a running list begins an item even where no stop ends the one before.
+        follows = bool(number) and number.group(1).isdigit() and int(number.group(1)) == count + 1
+        ended = broken or follows or _ends_sentence(last)
         if _HASH.match(line) or (ended and _NUMBERED_HEADING.match(line)):
             close()
             out.append((begin, HEADING))
             broken = True
             last = line
             continue
-        if _BULLET.match(line) or (ended and _NUMBER.match(line)):
+        if _BULLET.match(line) or (ended and number):
+            count = int(number.group(1)) if number and number.group(1).isdigit() else -1
             close()
             out.append((begin, BLOCK))
             paragraph[:] = [begin + len(bare.split(None, 1)[0]), at + len(line)]
