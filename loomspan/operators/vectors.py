@@ -32,8 +32,9 @@ def normalise(a: Column, least: float = 1e-12) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine within -1 and 1; 0 for zero, unequal or non-finite vectors (V3)."""
     n = norm(a) * norm(b)
-    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n))
-    return F.when((n > 0) & ~F.isnan(c) & (F.size(a) == F.size(b)), c).otherwise(0.0)
+    c = dot(a, b) / n
+    # A NaN counts as larger than any number, so it has to be seen before the clamp.
+    return F.when((n > 0) & ~F.isnan(c) & (F.size(a) == F.size(b)), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))).otherwise(0.0)
 
 
 def mrl(a: Column, k: int) -> Column:
