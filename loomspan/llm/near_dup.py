@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm import chars, runs
+from loomspan.llm import chars, copies, runs
 from loomspan.session import cut
 
 CELLS = 1 << 22  # of the word count table: 16 MB whatever the input
@@ -286,21 +286,13 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
 
 
 def similar_pairs(records: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:
-    """kind, id_a, id_b of all different ids whose word sets reach ``threshold``, id_a < id_b."""
+    """kind, id_a, id_b of all different ids whose word sets reach ``threshold``, id_a < id_b.
+
+    Groups of more than ``copies.PAIRED_COPIES`` equal word sets take the class form.
+    """
     members, classes = similar_sets(records, threshold, **kw)
     members, classes = cut(members), cut(classes)
-    # Only classes with a partner or a second id take part in the expansion.
-    a = members.select("kind", F.col("class").alias("class_a"), F.col("id").alias("x"))
-    b = members.select("kind", F.col("class").alias("class_b"), F.col("id").alias("y"))
-    across = classes.join(a, ["kind", "class_a"]).join(b, ["kind", "class_b"])
-    within = a.join(b, (a.kind == b.kind) & (F.col("class_a") == F.col("class_b")) & (F.col("x") < F.col("y"))).select(a.kind, "x", "y")
-    return (
-        across.select("kind", "x", "y")
-        .filter("x <> y")
-        .union(within)
-        .select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        .distinct()
-    )
+    return copies.expand(members, classes.select("kind", "class_a", "class_b"), ["kind"])
 
 
 def duplicate_classes(records: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:

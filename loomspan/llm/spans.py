@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm import chars, runs
+from loomspan.llm import chars, copies, runs
 from loomspan.session import cut
 
 SEEN = 1 << 18
@@ -215,15 +215,12 @@ def _matches(docs: DataFrame, length: int, gram: int, run_limit: int, intervals:
 def sharing_pairs(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: int = 8192) -> DataFrame:
     """id_a, id_b (smaller first) of records with a common run of at least ``length`` characters.
 
-    ``docs``: id, text. ``gram`` 0 takes a third of the length.
+    ``docs``: id, text. ``gram`` 0 takes a third of the length. Groups of more
+    than ``copies.PAIRED_COPIES`` equal texts take the class form.
     """
     classes = cut(_matches(docs, length, gram, run_limit, False))
     members = cut(_classes(docs, length).select("id", "class").distinct())
-    a = members.select(F.col("class").alias("class_a"), F.col("id").alias("x"))
-    b = members.select(F.col("class").alias("class_b"), F.col("id").alias("y"))
-    across = classes.join(a, "class_a").join(b, "class_b").select("x", "y").filter("x <> y")
-    within = a.join(b, (F.col("class_a") == F.col("class_b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    return across.union(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return copies.expand(members, classes, [])
 
 
 def shared_spans(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: int = 8192) -> DataFrame:
@@ -235,8 +232,8 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: i
     """
     found = _matches(docs, length, gram, run_limit, True)
     members = cut(_classes(docs, length).select("id", "class", F.char_length("text").cast("long").alias("n")).distinct())
-    copies = members.groupBy("class").agg(F.countDistinct("id").alias("c"), F.max("n").alias("n")).filter("c > 1").select("class", F.col("class").alias("other"), F.lit(0).cast("long").alias("span_start"), F.col("n").alias("span_end"))
-    found = found.union(copies)
+    same = members.groupBy("class").agg(F.countDistinct("id").alias("c"), F.max("n").alias("n")).filter("c > 1").select("class", F.col("class").alias("other"), F.lit(0).cast("long").alias("span_start"), F.col("n").alias("span_end"))
+    found = found.union(same)
     # Gaps and islands: a span begins where nothing before it reaches.
     w = Window.partitionBy("class").orderBy("span_start", "span_end", "other")
     reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -59,6 +59,12 @@ def test_copies_are_one_class(spark):
     assert members.count() == 201 and pairs.count() == 1
 
 
+def test_many_copies_take_the_class_form(spark):
+    rows = [(0, f"c{i:04d}", "one two three four five six", 0) for i in range(700)] + [(0, f"d{i}", "one two three four five seven six", 0) for i in range(3)]
+    got = {(r["id_a"], r["id_b"]) for r in near_dup.similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.8).collect()}
+    assert got == {("c0000", f"c{i:04d}") for i in range(1, 700)} | {("c0000", f"d{i}") for i in range(3)} | {("d0", "d1"), ("d0", "d2"), ("d1", "d2")}
+
+
 def test_classes_and_links(spark):
     chain = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h l k", "z y x w v u t s"]
     rows = [(0, f"n{i}", t, 0) for i, t in enumerate(chain)]
