@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,43 +72,65 @@ def robust_z(events: DataFrame, keys: list[str], value: str, at: str, tie: str,
     return med.withColumn("z", F.coalesce(F.round(F.abs(F.col(value) - F.col("_m")) / (1.4826 * mad), 4), F.lit(0.0))).drop("_b", "_m", "_d")
 
 
-def _series(events: DataFrame, keys: list[str], value: str, at: str, tie: str) -> DataFrame:
-    """The values of each key in order, as one array."""
-    return events.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), F.col(tie), F.col(value)))), lambda x: x[value]).alias("series"))
+def fold(df: DataFrame, keys: list[str], order: list[str], out: str, start: Callable, step: Callable) -> DataFrame:
+    """``df`` with a column per field of ``out``: a sequential pass over each key's rows in order.
 
+    ``step(state, row tuple) -> (state, values)`` sees the rows of a key one by
+    one, beginning with ``start()``. Rows stream through a task sorted by key,
+    so memory is one state however many rows a key has; keys run in parallel.
+    """
+    names = df.columns
+    fields = [f.strip() for f in out.split(",")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *fields])
+    new = [f.split()[0] for f in fields]
 
-def _smooth(series: Column, alpha: float) -> Column:
-    """Exponentially weighted averages of an array, the first value as it is."""
-    start = F.slice(series, 1, F.lit(1)).cast("array<double>")
-    rest = F.slice(series, F.lit(2), F.greatest(F.size(series) - 1, F.lit(0)))
-    return F.aggregate(rest, start, lambda acc, x: F.concat(acc, F.array(alpha * x + (1 - alpha) * F.element_at(acc, -1))))
+    def run(batches):
+        last, state = object(), None
+        for pdf in batches:
+            got = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != last:
+                    last, state = key, start()
+                state, values = step(state, row)
+                got.append(values)
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(got, columns=new)], axis=1) if got else pd.DataFrame(columns=[*names, *new])
 
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
-def ewma(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3) -> DataFrame:
-    """keys, n, ewma: the smoothed value after the last of each key's values.
 
-    The fold keeps two numbers, so its cost is linear in a key's values.
-    """
-    s = _series(events, keys, value, at, tie)
-    last = F.aggregate(F.slice("series", F.lit(2), F.greatest(F.size("series") - 1, F.lit(0))), F.element_at("series", 1).cast("double"), lambda acc, x: alpha * x + (1 - alpha) * acc)
-    return s.select(*keys, F.size("series").cast("long").alias("n"), F.round(last, 6).alias("ewma"))
+def smoothed(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3) -> DataFrame:
+    """keys, at, tie, value, smooth: exponentially weighted average up to each row, the first value as it is."""
+
+    def step(state, row):
+        x = float(getattr(row, value))
+        s = x if state is None else alpha * x + (1 - alpha) * state
+        return s, (s,)
+
+    return fold(events.select(*keys, at, tie, value), keys, [at, tie], "smooth double", lambda: None, step)
 
 
-def ewma_deviation(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3, recent: int = 200) -> DataFrame:
+def ewma(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3) -> DataFrame:
+    """keys, n, ewma: the smoothed value after the last of each key's values."""
+    s = smoothed(events, keys, value, at, tie, alpha)
+    return s.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.max_by("smooth", F.struct(at, tie)), 6).alias("ewma"))
+
+
+def ewma_deviation(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3) -> DataFrame:
     """keys, deviation of the last value from the smoothed ones in residual deviations (W3), 0 for fewer than three.
 
-    Looks at the ``recent`` newest values of a key, the tail a detector works on.
+    The residuals of all values but the last count, each against the average
+    that includes it.
     """
-    tail = newest(events, keys, at, tie, recent)
-    s = _series(tail, keys, value, at, tie).withColumn("past", F.slice("series", F.lit(1), F.greatest(F.size("series") - 1, F.lit(0))))
-    s = s.withColumn("smooth", F.when(F.size("series") >= 3, F.transform(_smooth(F.col("past"), alpha), lambda v: F.round(v, 6))))
-    s = s.withColumn("resid", F.zip_with("past", "smooth", lambda a, b: a - b))
-    n = F.size("resid")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    s = s.withColumn("mean", total("resid") / n)
-    sigma = F.sqrt(total(F.transform("resid", lambda r: (r - F.col("mean")) * (r - F.col("mean")))) / (n - 1))
+    s = smoothed(events, keys, value, at, tie, alpha).withColumn("smooth", F.round("smooth", 6))
+    w = _by(keys, at, tie)
+    r = s.withColumn("before", F.lag("smooth").over(w)).withColumn("next", F.lead(value).over(w))
+    # Of every row but the last there is a next one.
+    sigma = F.stddev_samp(F.when(F.col("next").isNotNull(), F.col(value) - F.col("smooth")))
     sigma = F.when(sigma == 0, 1e-9).otherwise(sigma)
-    return s.select(*keys, F.coalesce(F.round(F.abs(F.element_at("series", -1) - F.element_at("smooth", -1)) / sigma, 4), F.lit(0.0)).alias("deviation"))
+    last = F.max_by(F.struct(F.col(value).alias("v"), F.col("before").alias("b")), F.struct(at, tie))
+    g = r.groupBy(*keys).agg(F.count("*").alias("n"), last.alias("l"), sigma.alias("sigma"))
+    return g.select(*keys, F.when(F.col("n") >= 3, F.round(F.abs(F.col("l.v") - F.col("l.b")) / F.col("sigma"), 4)).otherwise(0.0).alias("deviation"))
 
 
 def sequence_numbers(events: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
@@ -113,18 +139,18 @@ def sequence_numbers(events: DataFrame, keys: list[str], at: str, tie: str) -> D
 
 
 def chain(events: DataFrame, keys: list[str], order: str, body: str) -> DataFrame:
-    """Rows with sequence, prev_hash and entry_hash: SHA-256 chain of each key (K7).
+    """keys, order, body, sequence, prev_hash, entry_hash: SHA-256 chain of each key (K7).
 
     Each hash takes the one before it, which is sequential within a key and
-    parallel across keys: a fold over the key's bodies in order.
+    parallel across keys.
     """
-    s = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))).alias("rows"))
-    start = F.array(F.struct(F.lit(None).cast("long").alias("o"), F.lit("").alias("h")))
-    folded = F.aggregate("rows", start, lambda acc, r: F.concat(acc, F.array(F.struct(r["o"].cast("long").alias("o"), F.sha2(F.concat_ws("|", F.element_at(acc, -1)["h"], r["b"]), 256).alias("h")))))
-    hashed = s.select(*keys, "rows", folded.alias("hashes"))
-    i = F.sequence(F.lit(1), F.size("rows"))
-    rows = F.transform(i, lambda k: F.struct(k.alias("sequence"), F.element_at("rows", k)["o"].alias(order), F.element_at("rows", k)["b"].alias(body), F.element_at("hashes", k)["h"].alias("prev_hash"), F.element_at("hashes", k + 1)["h"].alias("entry_hash")))
-    return hashed.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+
+    def step(state, row):
+        n, prev = state
+        h = hashlib.sha256(f"{prev}|{getattr(row, body)}".encode()).hexdigest()
+        return (n + 1, h), (n + 1, prev, h)
+
+    return fold(events.select(*keys, order, body), keys, [order], "sequence int, prev_hash string, entry_hash string", lambda: (0, ""), step)
 
 
 def verify_chain(log: DataFrame, keys: list[str], body: str) -> DataFrame:

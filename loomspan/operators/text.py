@@ -289,11 +289,30 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 
 def repeated_short_lines(df: DataFrame, key: str, text: str = "text", most: int = 48) -> DataFrame:
-    """key, text without second and later copies of short lines (P33); blank lines stay."""
-    lines = F.split(F.col(text), "\n")
-    seen = lambda i: F.exists(F.slice(F.col("_l"), 1, i), lambda y: F.trim(y) == F.trim(F.element_at("_l", i + 1)))
-    keep = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: (F.length(F.trim(F.element_at("_l", i + 1))) > most) | (F.trim(F.element_at("_l", i + 1)) == "") | (i == 0) | ~seen(i))
-    return df.select(key, lines.alias("_l")).select(key, F.array_join(F.transform(keep, lambda i: F.element_at("_l", i + 1)), "\n").alias(text))
+    """key, text without second and later copies of short lines (P33); blank lines stay.
+
+    Which lines were seen is a set that grows along a text, linear only outside
+    of column expressions: an Arrow function over batches.
+    """
+
+    @F.pandas_udf("string")
+    def run(col):
+        import pandas as pd
+
+        out = []
+        for t in col:
+            seen, kept = set(), []
+            for line in (t or "").split("\n"):
+                bare = line.strip(" ")
+                if bare and len(bare) <= most:
+                    if bare in seen:
+                        continue
+                    seen.add(bare)
+                kept.append(line)
+            out.append(None if t is None else "\n".join(kept))
+        return pd.Series(out)
+
+    return df.select(key, run(F.col(text)).alias(text))
 
 
 def brace_product(axes: dict[str, list[str]], spark) -> DataFrame:

@@ -65,8 +65,7 @@ def event_ewma(spark, sf):
     return ev.ewma(events(spark, sf), ["user_id"], "value", "ts", "event_id")
 
 
-@query(f"""WITH RECURSIVE {_ORDERED}, t AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY i) AS i, r FROM o WHERE r <= 200),
-    f AS (SELECT user_id, i, value, value AS s, r FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, t.value, 0.3 * t.value + 0.7 * f.s, t.r FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1),
+@query(f"""WITH RECURSIVE {_ORDERED}, f AS (SELECT user_id, i, value, value AS s, r FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.value, 0.3 * o.value + 0.7 * f.s, o.r FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1),
     a AS (SELECT user_id, count(*) FILTER (r > 1) AS past, stddev_samp(value - round(s, 6)) FILTER (r > 1) AS sigma, max(value) FILTER (r = 1) AS last, max(round(s, 6)) FILTER (r = 2) AS smooth FROM f GROUP BY 1)
     SELECT user_id, CASE WHEN past < 2 THEN 0.0 ELSE round(abs(last - smooth) / CASE WHEN sigma = 0 THEN 1e-9 ELSE sigma END, 4) END AS deviation FROM a""")
 def event_ewma_deviation(spark, sf):
