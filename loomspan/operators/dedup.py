@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,15 +57,22 @@ def simhash(text: Column) -> Column:
 def near_by_simhash(docs: DataFrame, key: str, text: str = "text", most: int = 3) -> DataFrame:
     """key, kept, near: documents in order of key; one within ``most`` bits of a kept one is near it.
 
-    Equal hashes are one row first. Hashes within 3 bits share one of four
-    16-bit bands, so candidates are an equality join; hot bands hold distinct
-    hashes only. The first-seen rule is resolved in rounds: a hash is kept once
+    Equal hashes are one row first, so that candidates are an equality join of
+    distinct hashes. The first-seen rule is resolved in rounds: a hash is kept once
     all smaller neighbours are near another, near once a kept one is beside it.
     """
     h = cut(spread(docs.select(key, text)).select(key, simhash(F.col(text)).alias("h")))
     one = cut(h.groupBy("h").agg(F.min(key).alias("first")))
-    band = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)))).alias("k")
-    banded = one.select("h", "first", band).select("h", "first", "k.b", "k.v")
+    # Of six blocks of bits, three are equal where at most three bits differ: 20 keys of 32 bits, far rarer than quarters of 16.
+    if most > 3:
+        raise ValueError("the blocks find hashes that differ in at most 3 bits")
+    blocks, at = [], 0
+    for width in (11, 11, 11, 11, 10, 10):
+        blocks.append(F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << width) - 1)))
+        at += width
+    key_of = lambda c: F.shiftleft(blocks[c[0]], 22).bitwiseOR(F.shiftleft(blocks[c[1]], 11)).bitwiseOR(blocks[c[2]])
+    keys = F.array(*(F.struct(F.lit(i).alias("b"), key_of(c).alias("v")) for i, c in enumerate(combinations(range(6), 3))))
+    banded = one.select("h", "first", F.explode(keys).alias("k")).select("h", "first", "k.b", "k.v")
     x, y = banded.alias("x"), banded.alias("y")
     pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.first") < F.col("y.first")) & (F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))) <= most))
     pairs = cut(pairs.select(F.col("x.first").alias("early"), F.col("y.first").alias("late")).distinct())

@@ -71,8 +71,11 @@ def fact_score(text: Column) -> Column:
     n = word_count(text)
     one = lambda p: text.rlike(p).cast("double")
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    markup = F.regexp_count(text, F.lit(fixed.MARKUP)) + F.regexp_count(text, F.lit(fixed.MATH))
-    markup = markup + F.when((pipes >= 4) | text.rlike(fixed.TABLE_ROW), 4).otherwise(0) + F.when(text.rlike(fixed.TEMPLATE), 6).otherwise(0)
+    # Substring tests keep the costly patterns for the few texts that can match them.
+    holds = lambda ws: F.greatest(*(text.contains(w) for w in ws))
+    markup = F.when(holds(fixed.MARKUP_HINTS), F.regexp_count(text, F.lit(fixed.MARKUP))).otherwise(0)
+    markup = markup + F.when(F.octet_length(text) > F.length(text), F.regexp_count(text, F.lit(fixed.MATH))).otherwise(0)
+    markup = markup + F.when((pipes >= 4) | ((pipes > 0) & text.rlike(fixed.TABLE_ROW)), 4).otherwise(0) + F.when(holds(fixed.TEMPLATE_MARKS), 6).otherwise(0)
     score = _hits(low, fixed.PROCEDURE) / n * 2.0 - _hits(low, fixed.NARRATIVE) / n * 1.5 + one(fixed.NUMERIC) + one(fixed.CODE) + one(fixed.REF)
     score = score - F.least(markup, F.lit(8)) * 0.5 - F.when(alpha_ratio(text) < 0.55, 3.0).otherwise(0.0)
     return F.when(text.isNull() | (n == 0), 0.0).otherwise(score)

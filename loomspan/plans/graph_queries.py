@@ -8,7 +8,7 @@ from loomspan.operators import crdt, dedup
 from loomspan.operators import graph as g
 from loomspan.plans import match
 from loomspan.plans.registry import query
-from loomspan.sources.tables import table
+from loomspan.sources.tables import table, texts
 
 _E = "(SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_returnflag AS kind, CAST(1.0 AS DOUBLE) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 30 AND b.l_quantity >= 30)"
 _VX = "(SELECT p_partkey AS id FROM part)"
@@ -162,12 +162,12 @@ def reducer_rank(spark, sf):
 
 @query("SELECT 'cid-' || substr(sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), ' ')), 1, 32) AS cid, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
 def exact_dup_docs(spark, sf):
-    return dedup.exact(table(spark, sf, "documents"), "doc_id")
+    return dedup.exact(texts(spark, sf, "documents"), "doc_id")
 
 
 @query()
 def near_dup_simhash(spark, sf):
-    return dedup.near_by_simhash(table(spark, sf, "documents").filter("text is not null"), "doc_id")
+    return dedup.near_by_simhash(texts(spark, sf, "documents").filter("text is not null"), "doc_id")
 
 
 @query("SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY canonical_url, sha256(coalesce(text, '')) ORDER BY fetched_at, page_id) AS n FROM crawl_pages) WHERE n = 1")

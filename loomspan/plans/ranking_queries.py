@@ -8,19 +8,19 @@ from loomspan.operators import ranking, text
 from loomspan.plans import pipeline
 from loomspan.plans.registry import query
 from loomspan.plans.text_queries import DOCS, _score_sql
-from loomspan.sources.tables import table
+from loomspan.sources.tables import table, texts
 
 FLAGSHIP = "Which threshold applies before the transfer, and what must be required when the limit of the form is reached?"
 
 
 @query()
 def ranked_pack(spark, sf):
-    return ranking.ranked_pack(table(spark, sf, "documents").select("doc_id", "source", "text"), FLAGSHIP)
+    return ranking.ranked_pack(texts(spark, sf, "documents").select("doc_id", "source", "text"), FLAGSHIP)
 
 
 @query(f"SELECT doc_id, fact_score FROM (SELECT doc_id, round({_score_sql('text')}, 6) AS fact_score FROM ({DOCS.replace('FROM documents', 'FROM documents WHERE contains(lower(text), ' + chr(39) + 'limit' + chr(39) + ')')})) WHERE fact_score >= 1.0 ORDER BY fact_score DESC, doc_id LIMIT 25")
 def expression_pipeline(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "documents").select("doc_id", "text")
     return pipeline.execute('text.contains[query: "limit"] | text.score | rows.keep[least: 1.0] | rows.top[by: fact_score, n: 25]', docs, pipeline.standard()).select("doc_id", "fact_score")
 
 

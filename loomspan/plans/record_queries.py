@@ -8,7 +8,7 @@ from loomspan.functions import encoding
 from loomspan.operators import records as rc
 from loomspan.plans import graph_queries as gq
 from loomspan.plans.registry import query
-from loomspan.sources.tables import table
+from loomspan.sources.tables import table, texts
 
 
 @query("SELECT cid FROM (SELECT DISTINCT cid, tenant, space_id FROM vector_records) WHERE tenant IS NULL OR tenant IN ('world', 'tenant-b')")
@@ -25,34 +25,34 @@ def find_by_symbol(spark, sf):
 @query("SELECT DISTINCT s.chunk_id FROM chunks s WHERE s.document_id IN (SELECT document_id FROM documents WHERE doc_kind = 'spec')")
 def visible_chunks(spark, sf):
     """Chunks of the documents in a set."""
-    members = table(spark, sf, "documents").filter("doc_kind = 'spec'").select("document_id").distinct()
+    members = texts(spark, sf, "documents").filter("doc_kind = 'spec'").select("document_id").distinct()
     return rc.visible(table(spark, sf, "chunks").select("chunk_id", "document_id"), members, "document_id").select("chunk_id").distinct()
 
 
 @query("SELECT doc_id, list_aggregate(list_distinct(list_transform(list_concat(regexp_extract_all(t, '\\[[^\\]]{0,240}\\]\\((https?://[^)\\s]+)\\)', 1), regexp_extract_all(regexp_replace(t, '\\]\\(https?://[^)\\s]+\\)', '] ', 'g'), 'https?://[^\\s<>\\]\\)\"''`]+')), lambda u: regexp_replace(u, '[.,;:)''\">\\]`]+$', ''))), 'count') AS links FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def document_links(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(rc.text_links(F.col("text"))).cast("long").alias("links"))
+    return texts(spark, sf, "documents").select("doc_id", F.size(rc.text_links(F.col("text"))).cast("long").alias("links"))
 
 
 @query("""WITH b AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\n\\s*\\n'), lambda b: trim(b, ' ') <> '') AS b FROM documents), h AS (SELECT doc_id, b, list_filter(b, lambda x: contains(lower(x), 'limit') OR contains(lower(x), 'cookie')) AS h FROM b)
     SELECT doc_id, length(array_to_string(CASE WHEN len(h) > 0 THEN h ELSE b END, chr(10) || chr(10))) AS n_chars FROM h""")
 def query_focused_blocks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(rc.query_blocks(F.col("text"), ["limit", "cookie"])).cast("long").alias("n_chars"))
+    return texts(spark, sf, "documents").select("doc_id", F.length(rc.query_blocks(F.col("text"), ["limit", "cookie"])).cast("long").alias("n_chars"))
 
 
 @query("""SELECT doc_id, CAST(i - 1 AS INT) AS line_no, name FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) CROSS JOIN (VALUES ('raise', 'raise \\w+Error'), ('load', '= load\\(')) p(name, pat) WHERE regexp_matches(line, pat)""")
 def pattern_scan(spark, sf):
-    return rc.pattern_lines(table(spark, sf, "documents"), "doc_id", "text", {"raise": r"raise \w+Error", "load": r"= load\("})
+    return rc.pattern_lines(texts(spark, sf, "documents"), "doc_id", "text", {"raise": r"raise \w+Error", "load": r"= load\("})
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'refused') THEN 'refusal' WHEN contains(text, 'limit') THEN 'limit' ELSE 'other' END AS rule, CASE WHEN contains(text, 'refused') THEN 3 WHEN contains(text, 'limit') THEN 2 END AS severity FROM documents WHERE contains(text, 'refused') OR contains(text, 'limit')")
 def policy_matches(spark, sf):
-    return rc.policy_hits(table(spark, sf, "documents"), "doc_id", "text", [("refusal", "refused", 3), ("limit", "limit", 2)])
+    return rc.policy_hits(texts(spark, sf, "documents"), "doc_id", "text", [("refusal", "refused", 3), ("limit", "limit", 2)])
 
 
 @query("SELECT doc_id, CASE WHEN contains(doc_kind, 'spec') THEN 'review' WHEN contains(doc_kind, 'log') THEN 'archive' ELSE 'index' END AS step FROM documents")
 def routed_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", rc.route(F.coalesce("doc_kind", F.lit("")), [("spec", "review"), ("log", "archive")], "index").alias("step"))
+    return texts(spark, sf, "documents").select("doc_id", rc.route(F.coalesce("doc_kind", F.lit("")), [("spec", "review"), ("log", "archive")], "index").alias("step"))
 
 
 @query("""WITH e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'grounded' WHEN 'click' THEN 'inferred' ELSE 'invented' END AS o FROM events) SELECT user_id, count(*) AS claims, CAST(sum(CASE WHEN o = 'invented' THEN 1 ELSE 0 END) AS BIGINT) AS invented, round(avg(CASE WHEN o = 'invented' THEN 1 ELSE 0 END), 6) AS ratio FROM e GROUP BY 1""")

@@ -9,7 +9,7 @@ from loomspan.operators import scoring as sc
 from loomspan.operators import text as tx
 from loomspan.plans import graph_queries as gq
 from loomspan.plans.registry import query
-from loomspan.sources.tables import table
+from loomspan.sources.tables import table, texts
 
 
 @query("""WITH n AS (SELECT page_id, any_value(title) AS title, any_value(host) AS host FROM crawl_pages GROUP BY 1), t AS (SELECT page_id, regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+') AS a, regexp_extract_all(lower(coalesce(host, '')), '[a-z0-9]+') AS b FROM n)
@@ -55,13 +55,13 @@ def composite_risks(spark, sf):
 
 @query("SELECT doc_id, list_has_any(['limit', 'threshold', 'cookie'], regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS related FROM documents")
 def relatedness_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", sc.related(["limit", "threshold", "cookie", "of"], tx.tokens(F.col("text"))).alias("related"))
+    return texts(spark, sf, "documents").select("doc_id", sc.related(["limit", "threshold", "cookie", "of"], tx.tokens(F.col("text"))).alias("related"))
 
 
 @query("SELECT prefix, count(*) AS members FROM (SELECT DISTINCT string_split(t, '_')[1] AS prefix, t FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+_[a-z0-9_]+')) AS t FROM documents)) GROUP BY 1 HAVING count(*) >= 2")
 def symbol_clusters(spark, sf):
     t = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+_[a-z0-9_]+"), F.lit(0))).alias("t")
-    return sc.prefix_clusters(table(spark, sf, "documents").select(t), "t")
+    return sc.prefix_clusters(texts(spark, sf, "documents").select(t), "t")
 
 
 @query("SELECT document_id, count(DISTINCT source_id) AS values FROM chunks GROUP BY 1 HAVING count(DISTINCT source_id) > 1")
@@ -73,14 +73,14 @@ def constants_with_two_values(spark, sf):
     SELECT a.node AS src, b.node AS dst, count(*) AS n FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.kind <> b.kind AND a.pos < b.pos GROUP BY 1, 2""")
 def entity_cooccurrence_edges(spark, sf):
     found = F.regexp_extract_all("text", F.lit(r"(?:run|cfg)_[0-9a-f]{5}"), F.lit(0))
-    m = table(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("at", "node")).withColumn("kind", F.substring("node", 1, 3))
+    m = texts(spark, sf, "documents").select("doc_id", F.posexplode(found).alias("at", "node")).withColumn("kind", F.substring("node", 1, 3))
     return sc.cooccurrence(m, "doc_id", "at", "kind", "node")
 
 
 @query("""WITH a AS (SELECT url, 'documents' AS arm FROM documents WHERE url <> '' UNION ALL SELECT url, 'pages' FROM crawl_pages WHERE url <> '' UNION ALL SELECT canonical_url, 'canonical' FROM crawl_pages WHERE canonical_url <> '')
     SELECT regexp_replace(regexp_replace(url, '\\?.*$', ''), '/+$', '') AS key, array_to_string(list_sort(list(DISTINCT arm)), ',') AS arms, count(*) AS hits FROM a GROUP BY 1""")
 def merged_arms(spark, sf):
-    d, p = table(spark, sf, "documents"), table(spark, sf, "crawl_pages")
+    d, p = texts(spark, sf, "documents"), table(spark, sf, "crawl_pages")
     return sc.merge_arms({"documents": d.select("url").filter("url <> ''"), "pages": p.select("url").filter("url <> ''"), "canonical": p.select(F.col("canonical_url").alias("url")).filter("url <> ''")})
 
 

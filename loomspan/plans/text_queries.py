@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from loomspan.functions import fixed
 from loomspan.operators import chunking, text
 from loomspan.plans.registry import any_word, ascii_words, hits, in_list, q, query, words
-from loomspan.sources.tables import table
+from loomspan.sources.tables import table, texts
 
 AS_OF = date(2026, 1, 1)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 def _score_sql(t: str) -> str:
@@ -94,7 +94,9 @@ _NOISE = (
     SELECT doc_id, {_density_sql('text')} AS fact_density, {_NOISE('text', 's')} AS noise_score FROM s""")
 def doc_noise_score(spark, sf):
     t = F.coalesce("text", F.lit(""))
-    return documents(spark, sf).select("doc_id", text.fact_density(t).alias("fact_density"), text.noise_score(t, text.fact_score(t)).alias("noise_score"))
+    # The score is a column of its own, so that it is worked out once.
+    scored = documents(spark, sf).select("doc_id", t.alias("t"), text.fact_score(t).alias("s"))
+    return scored.select("doc_id", text.fact_density(F.col("t")).alias("fact_density"), text.noise_score(F.col("t"), F.col("s")).alias("noise_score"))
 
 
 _WINDOWS = f"""SELECT doc_id, CAST(i AS INT) AS position, array_to_string(w[i * 272 + 1 : i * 272 + 320], ' ') AS chunk_text

@@ -10,7 +10,7 @@ from loomspan.operators import lexical as lx
 from loomspan.operators import text as tx
 from loomspan.operators import vectors as vc
 from loomspan.plans.registry import in_list, q, query
-from loomspan.sources.tables import table
+from loomspan.sources.tables import table, texts
 
 QUERY_VECTOR = [round(((i * 37) % 23 - 11) / 11, 4) for i in range(64)]
 QUERY_TEXT = "the limit of the threshold applies before the transfer is submitted"
@@ -24,7 +24,7 @@ def embeddings(spark, sf):
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 @query(f"SELECT vec_id, round({_cos('embedding', _V)}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
