@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 
 def status_counts(df: DataFrame, status: str, known: list[str]) -> DataFrame:
     """status, n of every known status, absent ones with 0, and ``total`` (A1). Null counts as ``unknown``."""
@@ -184,7 +186,7 @@ def fair_leases(queue: DataFrame, capacity: int, waiting: str = "waiting", lease
     share = F.ceil(F.lit(capacity) / F.col("active"))
     w = Window.partitionBy("tenant").orderBy("at", "item")
     mine = queue.filter(F.col("state") == waiting).withColumn("nth", F.row_number().over(w))
-    may = mine.join(held, "tenant").join(F.broadcast(totals), how="cross").filter(F.col("held") + F.col("nth") <= share)
+    may = mine.join(held, "tenant").transform(beside, totals).filter(F.col("held") + F.col("nth") <= share)
     # Never more than the free slots, so the global order needs the top of each task only.
     free = F.lit(capacity) - F.col("all_held")
     place = F.row_number().over(Window.orderBy("at", "item"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 from loomspan.session import cut
 
 
@@ -71,7 +73,7 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes, edges, density, avg_out_degree."""
-    n = vertices.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")), how="cross")
+    n = beside(vertices.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges")))
     possible = F.col("nodes") * (F.col("nodes") - 1)
     return n.select("nodes", "edges", F.when(possible > 0, F.round(F.col("edges") / possible, 6)).otherwise(0.0).alias("density"), F.round(F.col("edges") / F.greatest("nodes", F.lit(1)), 2).alias("avg_out_degree"))
 
@@ -289,7 +291,7 @@ def rank_delta(weighted: DataFrame, uniform: DataFrame, share: float = 0.1) -> D
     d = both.withColumn("delta", F.abs(F.col("rank_det") - F.col("rank_ai")))
     ranked = d.withColumn("_p", F.row_number().over(Window.orderBy(F.desc("delta")))).withColumn("_n", F.count("*").over(Window.partitionBy()))
     least = ranked.filter(F.col("_p") == F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).select(F.col("delta").alias("least"))
-    return d.join(F.broadcast(least), how="cross").select("id", "rank_det", "rank_ai", "delta", F.when(F.col("delta") >= F.col("least"), "human").otherwise("auto").alias("lane"))
+    return d.transform(beside, least).select("id", "rank_det", "rank_ai", "delta", F.when(F.col("delta") >= F.col("least"), "human").otherwise("auto").alias("lane"))
 
 
 def schema_of(edges: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 from loomspan.functions import fixed
 from loomspan.operators import text as tx
 
@@ -75,7 +77,7 @@ def search(docs: DataFrame, key: str, queries: dict[str, str], k: int, text: str
     tf = d.filter(F.size("hit") > 0).select(key, "len", F.explode("hit").alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     q = spark.createDataFrame([(name, w, len(ws)) for name, ws in wanted.items() for w in ws], "query string, token string, need int")
-    scored = tf.join(F.broadcast(q), "token").join(F.broadcast(df), "token").join(F.broadcast(totals), how="cross")
+    scored = tf.join(F.broadcast(q), "token").join(F.broadcast(df), "token").transform(beside, totals)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean_len")))
     hits = scored.groupBy("query", key, "need").agg(F.count("*").alias("found"), F.sum(part).alias("s")).filter("found = need")
@@ -88,7 +90,7 @@ def smoothed_idf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """token, df, idf = ln((N + 1) / (df + 1)) + 1."""
     n = docs.agg(F.count("*").alias("n"))
     df = docs.select(key, F.explode(tx.tokens(F.col(text), unique=True)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), how="cross").select("token", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return df.transform(beside, n).select("token", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
 def themes(docs: DataFrame, text: str = "text", longest: int = 3, k: int = 80) -> DataFrame:
@@ -103,7 +105,7 @@ def anchors(docs: DataFrame, view: str, text: str = "text", least: int = 2) -> D
     per = docs.select(view, F.explode(tx.tokens(F.col(text), fixed.CODE_TOKEN, unique=True)).alias("token")).distinct()
     total = docs.agg(F.countDistinct(view).alias("all_views"))
     seen = per.groupBy("token").agg(F.countDistinct(view).alias("views")).filter(F.col("views") >= least)
-    return seen.join(F.broadcast(total), how="cross").select("token", "views", F.round(F.col("views") / F.col("all_views"), 6).alias("score"))
+    return seen.transform(beside, total).select("token", "views", F.round(F.col("views") / F.col("all_views"), 6).alias("score"))
 
 
 def federated(arms: dict[str, DataFrame], key: str = "id", score: str = "score") -> DataFrame:

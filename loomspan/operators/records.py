@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 
 def contains_text(df: DataFrame, text: str, needle: str, limit: int) -> DataFrame:
     """Rows whose text has the needle in any case, at most ``limit`` (F1)."""
@@ -55,7 +57,7 @@ def resolve(v: DataFrame, name: str) -> DataFrame:
     rank = F.when((F.col("id") == name) | (F.lower("label") == low), 1).when(F.lower("label").contains(low), 2)
     r = v.withColumn("rank", rank).filter("rank is not null")
     best = r.agg(F.min("rank").alias("best"))
-    return r.join(F.broadcast(best), how="cross").filter("rank = best").drop("best")
+    return r.transform(beside, best).filter("rank = best").drop("best")
 
 
 def concept_ladder(concepts: DataFrame, queries: DataFrame) -> DataFrame:

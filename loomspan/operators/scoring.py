@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 
 def overlap_score(query: list[str], name: Column, intent: Column) -> Column:
     """Three points for a query token in the name, one in the intent, over the query's tokens."""
@@ -155,6 +157,6 @@ def activation(weights: DataFrame, node: str, other: str, weight: str, top: int
 def patterns(degrees: DataFrame) -> DataFrame:
     """id, pattern of vertices that stand out: orphans, hubs above three times the mean, unstable ones."""
     mean = degrees.agg(F.avg(F.col("out_degree") + F.col("in_degree")).alias("mean"))
-    d = degrees.join(F.broadcast(mean), how="cross")
+    d = degrees.transform(beside, mean)
     name = F.when(F.col("orphan"), "orphan").when(F.col("out_degree") + F.col("in_degree") > 3 * F.col("mean"), "hub").when((F.col("instability") > 0.8) & (F.col("in_degree") >= 3), "unstable")
     return d.select("id", name.alias("pattern")).filter("pattern is not null")

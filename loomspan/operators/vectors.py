@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 from loomspan.functions import fixed
 
 
@@ -69,7 +71,7 @@ def classify(records: DataFrame, key: str, label: str, vector: str) -> DataFrame
     every = means.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col("c")))).alias("centroids"))
     scored = F.transform("centroids", lambda c: F.struct((-F.round(cosine(F.col(vector), c["c"]), 6)).alias("s"), c["l"].alias("l")))
     best = F.array_min(scored)
-    return records.join(F.broadcast(every), how="cross").select(key, best.alias("b")).select(key, F.col("b.l").alias("nearest"), (-F.col("b.s")).alias("score"))
+    return records.transform(beside, every).select(key, best.alias("b")).select(key, F.col("b.l").alias("nearest"), (-F.col("b.s")).alias("score"))
 
 
 def axes_stress(records: DataFrame, vector: str, k: int = 3) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 from loomspan.operators import events as ev
 from loomspan.operators import text
 from loomspan.plans.registry import query
@@ -132,7 +134,7 @@ def event_packet(spark, sf):
 @query("SELECT (SELECT count(*) FROM events) AS events, (SELECT count(DISTINCT user_id) FROM events) AS sessions, (SELECT count(*) FROM orders) AS runs, (SELECT max(event_id) FROM events) AS newest")
 def tenant_stats(spark, sf):
     e = events(spark, sf).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("sessions"), F.max("event_id").alias("newest"))
-    return e.join(table(spark, sf, "orders").agg(F.count("*").alias("runs")), how="cross")
+    return beside(e, table(spark, sf, "orders").agg(F.count("*").alias("runs")))
 
 
 @query("""SELECT e.event_id, o.o_orderkey AS order_key FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 from loomspan.operators import graph as g
 from loomspan.operators import scoring as sc
 from loomspan.operators import text as tx
@@ -38,7 +40,7 @@ def event_mix_divergence(spark, sf):
     totals = n.groupBy("user_id").agg(F.sum("n").alias("t"))
     p = n.join(totals, "user_id").select("user_id", "outcome", (F.col("n") / F.col("t")).alias("p"))
     every = e.groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"))
-    share = every.join(F.broadcast(e.agg(F.count("*").alias("t"))), how="cross").select("outcome", (F.col("n") / F.col("t")).alias("p"))
+    share = every.transform(beside, e.agg(F.count("*").alias("t"))).select("outcome", (F.col("n") / F.col("t")).alias("p"))
     q = p.select("user_id", "outcome").join(F.broadcast(share), "outcome").select("user_id", "outcome", "p")
     return sc.divergence(p, q, ["user_id"])
 
