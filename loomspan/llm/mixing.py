@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.columns import beside
+
 from loomspan.session import cut
 
 
@@ -126,4 +128,4 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     share = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0)
     zero = lambda c, t: F.coalesce(c, F.lit(0)).cast(t).alias(c)
     # One row of totals.
-    return want.join(F.broadcast(total), how="cross").join(got, "source", "left").select("source", share.alias("target_share"), zero("reached_share", "double"), zero("tokens", "long"), zero("texts", "long"), zero("most_copies", "int"))
+    return want.transform(beside, total).join(got, "source", "left").select("source", share.alias("target_share"), zero("reached_share", "double"), zero("tokens", "long"), zero("texts", "long"), zero("most_copies", "int"))

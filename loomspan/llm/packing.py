@@ -80,8 +80,9 @@ def _pack(items: DataFrame, shares: dict[str, float], capacity: int, parts: int,
     w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     all_used = items.groupBy("part").agg(F.sum(size).alias("all_used"))
     target = F.element_at(F.create_map(*(x for s in names for x in (F.lit(s), F.lit(float(shares[s]))))), F.col("source"))
-    grid = all_used.crossJoin(items.sparkSession.createDataFrame([(s,) for s in names], "source string")) if parts > 1 else None
-    if grid is not None:  # tasks x sources, of which only sources are crossed
+    if parts > 1:
+        # A row for each task and source, those that a task lacks included.
+        grid = all_used.select("*", F.explode(F.array(*(F.lit(s) for s in names))).alias("source"))
         grid = grid.join(used, ["part", "source"], "left").na.fill(0, ["used"])
         carry = grid.withColumn("carry", F.coalesce(F.sum(target * F.col("all_used") - F.col("used")).over(w), F.lit(0.0)))
         carry = carry.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("source", "carry"))).alias("carry"))
