@@ -164,6 +164,7 @@ def natural_places(text: str) -> list[tuple[int, int]]:
             out.append((begin, BLOCK))
             paragraph[:] = [begin + len(bare.split(None, 1)[0]), at + len(line)]
         elif broken or not paragraph:
+            count = -1
             close()
             out.append((begin, SENTENCE))
             paragraph[:] = [begin, at + len(line)]
