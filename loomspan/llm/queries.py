@@ -19,8 +19,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The lists themselves, one row per record with a neighbour of cosine 0.5 or more."""
-    lists = vp_knn.neighbour_lists(table(spark, sf, "vector_records"), k=10, min_similarity=0.5)
+    """The lists themselves: the 10 nearest of every usable record, however far they are."""
+    lists = vp_knn.neighbour_lists(table(spark, sf, "vector_records"), k=10, min_similarity=None)
     return lists.select("space_id", "cid", F.posexplode("neighbours").alias("place", "n")).select("space_id", "cid", (F.col("place") + 1).alias("place"), F.col("n.cid").alias("near_cid"), F.col("n.cosine").alias("cosine"))
 
 
