@@ -126,47 +126,47 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def betweenness(vertices: DataFrame, edges: DataFrame, sources: int | None = None) -> DataFrame:
     """id, betweenness (G7): Brandes' accumulation, parallel over source vertices.
 
-    The whole graph goes to each task as arrays, so it is for graphs declared
-    small (thousands of vertices); ``sources`` takes the first ones by id, the
-    feature's own sampling.
+    Every vertex is a source unless ``sources`` takes only the first ones by
+    id. Parallel edges are paths of their own. The whole graph goes to each
+    task as arrays, so it is for graphs declared small (thousands of vertices).
     """
     ids = [r["id"] for r in vertices.select("id").distinct().orderBy("id").collect()]
     n = len(ids)
     at = {v: i for i, v in enumerate(ids)}
-    pairs = [(at[r["src"]], at[r["dst"]]) for r in edges.select("src", "dst").collect() if r["src"] in at and r["dst"] in at]
-    order = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    merged = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).collect()
+    order = np.array(sorted((at[r["src"]], at[r["dst"]], r["m"]) for r in merged if r["src"] in at and r["dst"] in at), np.int64).reshape(-1, 3)
     start = np.searchsorted(order[:, 0], np.arange(n + 1))
     spark = vertices.sparkSession
-    graph = spark.sparkContext.broadcast((start, order[:, 1].copy()))
+    graph = spark.sparkContext.broadcast((start, order[:, 1].copy(), order[:, 2].astype(np.float64)))
 
     def run(batches):
-        start, to = graph.value
+        start, to, times = graph.value
         n = len(start) - 1
-        total = np.zeros(n)
+        total, dist, sigma, delta, place = np.zeros(n), np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         for pdf in batches:
             for s in pdf["id"].tolist():
-                dist, sigma = np.full(n, -1), np.zeros(n)
                 dist[s], sigma[s] = 0, 1.0
-                level, levels = [s], []
-                while level:
-                    found = []
-                    for v in level:
-                        for w in to[start[v] : start[v + 1]].tolist():
-                            if dist[w] < 0:
-                                dist[w] = dist[v] + 1
-                                found.append(w)
-                            if dist[w] == dist[v] + 1:
-                                sigma[w] += sigma[v]
-                    levels.append(level)
-                    level = found
-                delta = np.zeros(n)
-                for level in reversed(levels):
-                    for v in level:
-                        for w in to[start[v] : start[v + 1]].tolist():
-                            if dist[w] == dist[v] + 1:
-                                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                        if v != s:
-                            total[v] += delta[v]
+                level, steps, seen = np.array([s]), [], []
+                while len(level):
+                    seen.append(level)
+                    size = start[level + 1] - start[level]
+                    v = np.repeat(level, size)
+                    e = np.arange(len(v)) + np.repeat(start[level] - np.cumsum(size) + size, size)
+                    w = to[e]
+                    new = w[dist[w] < 0]
+                    place[new] = np.arange(len(new))
+                    dist[new] = len(seen)
+                    on = dist[w] == len(seen)
+                    v, w, m = v[on], w[on], times[e[on]]
+                    np.add.at(sigma, w, m * sigma[v])
+                    steps.append((v, w, m))
+                    level = new[place[new] == np.arange(len(new))]
+                for v, w, m in reversed(steps):
+                    np.add.at(delta, v, m * sigma[v] / sigma[w] * (1 + delta[w]))
+                every = np.concatenate(seen)
+                delta[s] = 0.0
+                total[every] += delta[every]
+                dist[every], sigma[every], delta[every] = -1, 0.0, 0.0
         yield pd.DataFrame({"i": np.arange(n), "b": total})
 
     some = spark.range(n if sources is None else min(sources, n)).repartition(min(32, max(1, n)))

@@ -128,7 +128,7 @@ def change_propagation(spark, sf):
     v, e = gq.vertices(spark, sf), gq.edges(spark, sf)
     starts = spark.createDataFrame([(s,) for s in (1, 2, 3, 5, 8)], "id long")
     impacted = g.reach(e, starts, 3, reverse=True).select("id", "distance")
-    return sc.propagation(impacted, g.betweenness(v, e, sources=8), g.pagerank(v, e, iterations=10))
+    return sc.propagation(impacted, g.betweenness(v, e), g.pagerank(v, e))
 
 
 @query("""WITH w AS (SELECT o_custkey AS node, l_suppkey AS other, sum(l_quantity) / 100.0 AS weight FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)

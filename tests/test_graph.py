@@ -161,3 +161,62 @@ def test_line_changes(spark):
     df = spark.createDataFrame([(1, "a\nb\nb", "a\nc")], "id int, old string, new string")
     r = crdt.line_changes(df, "id", "old", "new").collect()[0]
     assert (r["added"], r["removed"]) == (1, 2)
+
+
+def test_betweenness_of_parallel_edges_loops_and_long_paths(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(14), rng.randrange(16)) for _ in range(40)] + [(20 + i, 21 + i) for i in range(9)] + [(3, 5), (3, 5)]
+    ids = [i for i in range(30) if i != 15]
+    got = {r["id"]: r["betweenness"] for r in g.betweenness(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {i: pytest.approx(b, abs=1e-6) for i, b in brandes(ids, pairs).items()}
+
+
+def brandes(ids, pairs):
+    """The reference feature: a queue and lists of predecessors, all vertices as sources."""
+    total = dict.fromkeys(ids, 0.0)
+    out = {i: [b for a, b in pairs if a == i and b in total] for i in ids}
+    for s in ids:
+        stack, preds, sigma, dist, queue = [], {i: [] for i in ids}, dict.fromkeys(ids, 0.0), dict.fromkeys(ids, -1), [s]
+        sigma[s], dist[s] = 1.0, 0
+        while queue:
+            v = queue.pop(0)
+            stack.append(v)
+            for w in out[v]:
+                if dist[w] < 0:
+                    queue.append(w)
+                    dist[w] = dist[v] + 1
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    preds[w].append(v)
+        delta = dict.fromkeys(ids, 0.0)
+        while stack:
+            w = stack.pop()
+            for v in preds[w]:
+                delta[v] += sigma[v] / sigma[w] * (1.0 + delta[w])
+            if w != s:
+                total[w] += delta[w]
+    return {i: round(b / ((len(ids) - 1) * (len(ids) - 2)), 6) for i, b in total.items()}
+
+
+def test_queries_take_all_sources_and_iterations(spark, monkeypatch):
+    from loomspan.plans import graph_queries as gq
+    from loomspan.plans import scoring_queries as sq
+
+    pairs = [(i, i + 1) for i in range(40, 60)] + [(60, 40), (45, 58), (50, 1), (1, 2), (2, 40)]
+    ids = list(range(1, 70))
+    v, e = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame([(a, b, "R", 1.0) for a, b in pairs], "src long, dst long, kind string, weight double")
+    monkeypatch.setattr(gq, "vertices", lambda *_: v)
+    monkeypatch.setattr(gq, "edges", lambda *_: e)
+    want = brandes(ids, pairs)
+    assert {r["id"]: r["betweenness"] for r in gq.graph_betweenness(spark, "").collect()} == {i: pytest.approx(b, abs=1e-6) for i, b in want.items()}
+    rank = {r["id"]: r["rank"] for r in g.pagerank(v, e).collect()}
+    near = {}
+    for s in (1, 2, 3, 5, 8):
+        level, seen = {s}, {s}
+        for d in (1, 2, 3):
+            level = {a for a, b in pairs if b in level} - seen
+            seen |= level
+            for x in level:
+                near[x] = min(d, near.get(x, d))
+    scores = {r["id"]: r["score"] for r in sq.change_propagation(spark, "").collect()}
+    assert scores == {x: pytest.approx((d + 1) ** -1.5 * (1 + 5 * want[x]) * (1 + 10 * rank[x]), abs=1e-5) for x, d in near.items()}
