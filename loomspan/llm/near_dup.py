@@ -70,7 +70,7 @@ def _salt(kind: int) -> np.uint64:
 
 
 def _members_and_counts(batches):
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.string()), ("class", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.string()), ("class", pa.int64()), ("same", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     counts = np.zeros(CELLS, np.uint32)
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
@@ -87,11 +87,11 @@ def _members_and_counts(batches):
             cell, n = np.unique(cell, return_counts=True)
             counts[cell] += n.astype(np.uint32)
             n = len(rows)
-            ids = batch.column("id").take(pa.array(start + rows))
-            yield pa.record_batch([pa.array(kind, pa.int32()), ids, pa.array(chars.signed(fp ^ salt)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            ids, same = (batch.column(c).take(pa.array(start + rows)) for c in ("id", "same"))
+            yield pa.record_batch([pa.array(kind, pa.int32()), ids, pa.array(chars.signed(fp ^ salt)), same, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
     if counts.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
-        yield pa.record_batch([pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.string()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.record_batch([pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.string()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _add_slices(table: pa.Table) -> pa.Table:
@@ -105,7 +105,8 @@ def _add_slices(table: pa.Table) -> pa.Table:
 def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int = 2, tile_limit: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the records (kind int, id string, text string).
 
-    ``members``: kind, id, class - one row per id and class with words.
+    ``members``: kind, id, class, same - one row per id and text with words;
+    ``same`` is the text's hash, as texts of one word set can differ.
     ``pairs``: kind, class_a, class_b, jaccard - classes of one kind whose word
     sets have intersection / union of at least ``threshold``; class_a < class_b.
     Records of different kinds are never compared.
@@ -114,8 +115,8 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
         raise ValueError("threshold must be in (0, 1]")
     spark = records.sparkSession
     records = records.select(F.col("kind").cast("int"), F.col("id").cast("string"), F.col("text").cast("string")).filter("id is not null and kind is not null")
-    scanned = cut(records.mapInArrow(_members_and_counts, "kind int, id string, class long, slice int, counts binary"))
-    members = scanned.filter("id is not null").select("kind", "id", "class").distinct()
+    scanned = cut(records.withColumn("same", F.xxhash64("text")).mapInArrow(_members_and_counts, "kind int, id string, class long, same long, slice int, counts binary"))
+    members = scanned.filter("id is not null").select("kind", "id", "class", "same").distinct()
     counts = np.zeros(CELLS, np.uint32)
     for row in scanned.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect():
         width = CELLS // SLICES
@@ -288,7 +289,8 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
 def similar_pairs(records: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:
     """kind, id_a, id_b of all different ids whose word sets reach ``threshold``, id_a < id_b.
 
-    Groups of more than ``copies.PAIRED_COPIES`` equal word sets take the class form.
+    More than ``copies.PAIRED_COPIES`` equal texts take the class form; different
+    texts of one word set are all paired.
     """
     members, classes = similar_sets(records, threshold, **kw)
     members, classes = cut(members), cut(classes)
@@ -302,7 +304,7 @@ def duplicate_classes(records: DataFrame, threshold: float = 0.8, **kw) -> DataF
     other word sets within the threshold of this one.
     """
     members, pairs = similar_sets(records, threshold, **kw)
-    members, pairs = cut(members), cut(pairs.select("kind", "class_a", "class_b"))
+    members, pairs = cut(members.select("kind", "id", "class").distinct()), cut(pairs.select("kind", "class_a", "class_b"))
     both = pairs.select("kind", F.col("class_a").alias("class"), F.col("class_b").alias("near")).union(pairs.select("kind", F.col("class_b").alias("class"), F.col("class_a").alias("near")))
     first = members.groupBy("kind", "class").agg(F.min("id").alias("label"))
     degree = both.groupBy("kind", "class").agg(F.count("*").alias("links"))

@@ -83,3 +83,31 @@ def test_long_text_and_bitmap_width(spark):
     rows = [(0, "a", long, 0), (0, "b", long + " more", 0), (0, "c", long[: len(long) // 2], 0)]
     for n in (1, 4):
         assert [tuple(r) for r in near_dup.similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.8, bitmap_words=n).collect()] == [(0, "a", "b")]
+
+
+def test_different_texts_of_one_word_set_are_all_paired(spark):
+    rng = random.Random(6)
+    names, rows = "one two three four five six seven".split(), []
+    orders = set()
+    while len(orders) < 300:
+        orders.add(" ".join(rng.sample(names, 7)))
+    rows = [(0, f"t{i:03d}", t, 0) for i, t in enumerate(sorted(orders))] + [(0, f"u{i}", "one two three four five six seven eight", 0) for i in range(2)]
+    got = {tuple(r) for r in near_dup.similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.8).collect()}
+    assert got == {(0, a, b) for a in (r[1] for r in rows) for b in (r[1] for r in rows) if a < b}
+
+
+def test_copies_among_different_texts_of_one_word_set(spark):
+    same = [(0, f"c{i:03d}", "one two three four five", 0) for i in range(300)]
+    other = [(0, f"d{i}", f"five four three two one{'!' * i}", 0) for i in range(3)]
+    got = {(r["id_a"], r["id_b"]) for r in near_dup.similar_pairs(spark.createDataFrame(same + other, SCHEMA), 0.8).collect()}
+    assert got == {("c000", f"c{i:03d}") for i in range(1, 300)} | {("c000", f"d{i}") for i in range(3)} | {("d0", "d1"), ("d0", "d2"), ("d1", "d2")}
+
+
+def test_large_classes_in_blocks_lose_nothing(spark):
+    from loomspan.llm import copies
+
+    members = spark.createDataFrame([(f"m{i:03d}", i // 50, i) for i in range(103)], "id string, class long, same long")
+    got = sorted(tuple(r) for r in copies.expand(members, spark.createDataFrame([(0, 2)], "class_a long, class_b long"), [], block_rows=7).collect())
+    ids = [f"m{i:03d}" for i in range(103)]
+    want = [(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and (i // 50 == j // 50 or (i // 50, j // 50) == (0, 2))]
+    assert got == sorted(want)
