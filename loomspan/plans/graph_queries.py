@@ -15,8 +15,16 @@ _VX = "(SELECT p_partkey AS id FROM part)"
 
 
 def edges(spark, sf):
-    """Part to part: consecutive lines of an order with at least 30 pieces each."""
-    li = table(spark, sf, "lineitem").filter("l_quantity >= 30")
+    """Part to part: consecutive lines of an order with at least 30 pieces each, as in the SQL."""
+    return _consecutive(table(spark, sf, "lineitem").filter("l_quantity >= 30"))
+
+
+def all_edges(spark, sf):
+    """Part to part: all consecutive lines of an order, for queries without SQL."""
+    return _consecutive(table(spark, sf, "lineitem"))
+
+
+def _consecutive(li):
     a = li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("kind"))
     b = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst", "kind", F.lit(1.0).alias("weight"))
@@ -67,7 +75,7 @@ def graph_bfs_impact(spark, sf):
 
 @query()
 def graph_shortest_path(spark, sf):
-    return g.shortest_path(edges(spark, sf), 1, 100, hops=8)
+    return g.shortest_path(all_edges(spark, sf), 1, 100, hops=8)
 
 
 @query(f"""WITH e AS (SELECT DISTINCT src, dst FROM {_E}), nb AS (SELECT src AS id, dst AS n FROM e UNION SELECT dst, src FROM e), k AS (SELECT id, count(*) AS k FROM nb GROUP BY 1),
@@ -80,13 +88,13 @@ def graph_clustering(spark, sf):
 @query()
 def graph_betweenness(spark, sf):
     """Every vertex is a source, as in the reference feature without a sample."""
-    return g.betweenness(vertices(spark, sf), edges(spark, sf))
+    return g.betweenness(vertices(spark, sf), all_edges(spark, sf))
 
 
 
 @query()
 def graph_strong_components(spark, sf):
-    return g.components(edges(spark, sf).filter("kind = 'R'"), directed=True)
+    return g.components(all_edges(spark, sf), directed=True)
 
 
 WEIGHTS = {"R": 1.0, "A": 0.6, "N": 0.3}
@@ -94,7 +102,7 @@ WEIGHTS = {"R": 1.0, "A": 0.6, "N": 0.3}
 
 @query()
 def tensor_rank_delta(spark, sf):
-    links = edges(spark, sf).withColumnRenamed("kind", "relation").withColumn("confidence", F.lit(1.0))
+    links = all_edges(spark, sf).withColumnRenamed("kind", "relation").withColumn("confidence", F.lit(1.0))
     v = vertices(spark, sf)
     t = g.tensor_edges(links, WEIGHTS)
     return g.rank_delta(g.centrality(t, v, WEIGHTS), g.centrality(t, v, dict.fromkeys(WEIGHTS, 1.0)))

@@ -125,7 +125,7 @@ def next_frontier(spark, sf):
 @query()
 def change_propagation(spark, sf):
     """Impact of changes to five parts within three steps."""
-    v, e = gq.vertices(spark, sf), gq.edges(spark, sf)
+    v, e = gq.vertices(spark, sf), gq.all_edges(spark, sf)
     starts = spark.createDataFrame([(s,) for s in (1, 2, 3, 5, 8)], "id long")
     impacted = g.reach(e, starts, 3, reverse=True).select("id", "distance")
     return sc.propagation(impacted, g.betweenness(v, e), g.pagerank(v, e))

@@ -206,7 +206,7 @@ def test_queries_take_all_sources_and_iterations(spark, monkeypatch):
     ids = list(range(1, 70))
     v, e = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame([(a, b, "R", 1.0) for a, b in pairs], "src long, dst long, kind string, weight double")
     monkeypatch.setattr(gq, "vertices", lambda *_: v)
-    monkeypatch.setattr(gq, "edges", lambda *_: e)
+    monkeypatch.setattr(gq, "all_edges", lambda *_: e)
     want = brandes(ids, pairs)
     assert {r["id"]: r["betweenness"] for r in gq.graph_betweenness(spark, "").collect()} == {i: pytest.approx(b, abs=1e-6) for i, b in want.items()}
     rank = {r["id"]: r["rank"] for r in g.pagerank(v, e).collect()}
@@ -220,3 +220,15 @@ def test_queries_take_all_sources_and_iterations(spark, monkeypatch):
                 near[x] = min(d, near.get(x, d))
     scores = {r["id"]: r["score"] for r in sq.change_propagation(spark, "").collect()}
     assert scores == {x: pytest.approx((d + 1) ** -1.5 * (1 + 5 * want[x]) * (1 + 10 * rank[x]), abs=1e-5) for x, d in near.items()}
+
+
+def test_queries_without_sql_take_all_lines(spark, tmp_path):
+    from loomspan.plans import graph_queries as gq
+
+    lines = [(1, n, part, q, flag) for n, (part, q, flag) in enumerate([(1, 5.0, "N"), (2, 50.0, "R"), (3, 1.0, "A"), (1, 40.0, "N"), (100, 2.0, "R")], 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in (1, 2, 3, 100)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert {(r["id"], r["component"]) for r in gq.graph_strong_components(spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 1), (100, 100)}
+    assert gq.graph_shortest_path(spark, str(tmp_path)).collect()[0]["path"] == [1, 100]
+    got = {r["id"]: r["betweenness"] for r in gq.graph_betweenness(spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(b, abs=1e-6) for i, b in brandes([1, 2, 3, 100], [(1, 2), (2, 3), (3, 1), (1, 100)]).items()}
