@@ -11,7 +11,7 @@ PAIRED_COPIES = 256
 BLOCK_ROWS = 1024
 
 
-def expand(members: DataFrame, pairs: DataFrame, scope: list[str], most: int = PAIRED_COPIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def expand(members: DataFrame, pairs: DataFrame, scope: list[str], most: int | None = PAIRED_COPIES, block_rows: int = BLOCK_ROWS, form: bool = False) -> DataFrame:
     """scope, id_a, id_b (smaller first) of class pairs and of the members of one class.
 
     ``members``: scope, id, class and, where a class is wider than exact copies,
@@ -19,13 +19,17 @@ def expand(members: DataFrame, pairs: DataFrame, scope: list[str], most: int = P
     than ``most`` exact copies take the class form: each copy is paired with the
     smallest id of its copies, which stands for it in all other pairs. So one
     group of copies that holds a third of all rows costs a row each, and no link
-    between different records is lost: those of one class are all paired.
+    between different records is lost: those of one class are all paired. With
+    ``most`` None every pair comes out, however many copies there are. ``form``
+    adds a column that tells the rows of the class form ("copy") from pairs
+    ("pair").
     """
+    few = F.lit(True) if most is None else F.col("_n") <= most
     m = members if "same" in members.columns else members.withColumn("same", F.col("class"))
     m = m.select(*scope, "id", "class", "same").distinct()
     sized = m.groupBy(*scope, "class", "same").agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
     m = m.join(sized, [*scope, "class", "same"])
-    seen = m.filter((F.col("_n") <= most) | (F.col("id") == F.col("_first"))).select(*scope, "class", "id").distinct()
+    seen = m.filter(few | (F.col("id") == F.col("_first"))).select(*scope, "class", "id").distinct()
     a = seen.select(*scope, F.col("class").alias("class_a"), F.col("id").alias("x"))
     b = seen.select(*scope, F.col("class").alias("class_b"), F.col("id").alias("y"))
     across = pairs.join(a, [*scope, "class_a"]).join(b, [*scope, "class_b"]).select(*scope, "x", "y").filter("x <> y")
@@ -34,6 +38,8 @@ def expand(members: DataFrame, pairs: DataFrame, scope: list[str], most: int = P
     key = [*scope, "class", "_low", "_high"]
     left, right = (spread.select(*scope, "class", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), F.col("id").alias(i), F.col("_block").alias(f"_{i}")) for i in ("x", "y"))
     within = left.join(right, key).filter("x < y and (_low = _high or _x <> _y)").select(*scope, "x", "y")
-    star = m.filter((F.col("_n") > most) & (F.col("id") != F.col("_first"))).select(*scope, F.col("_first").alias("x"), F.col("id").alias("y"))
-    every = across.union(within).union(star)
-    return every.select(*scope, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    star = m.filter(~few & (F.col("id") != F.col("_first"))).select(*scope, F.col("_first").alias("x"), F.col("id").alias("y"))
+    kinds = [F.lit("copy").alias("form")] if form else []
+    pair = [F.lit("pair").alias("form")] if form else []
+    every = across.union(within).select("*", *pair).union(star.select("*", *kinds))
+    return every.select(*scope, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), *(["form"] if form else [])).distinct()

@@ -286,15 +286,16 @@ def similar_sets(records: DataFrame, threshold: float = 0.8, bitmap_words: int =
     return members, pairs
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:
+def similar_pairs(records: DataFrame, threshold: float = 0.8, paired_copies: int | None = copies.PAIRED_COPIES, form: bool = False, **kw) -> DataFrame:
     """kind, id_a, id_b of all different ids whose word sets reach ``threshold``, id_a < id_b.
 
-    More than ``copies.PAIRED_COPIES`` equal texts take the class form; different
-    texts of one word set are all paired.
+    More than ``paired_copies`` equal texts take the class form, told apart by
+    ``form`` (see ``copies.expand``); None pairs all copies. Different texts of
+    one word set are all paired.
     """
     members, classes = similar_sets(records, threshold, **kw)
     members, classes = cut(members), cut(classes)
-    return copies.expand(members, classes.select("kind", "class_a", "class_b"), ["kind"])
+    return copies.expand(members, classes.select("kind", "class_a", "class_b"), ["kind"], paired_copies, form=form)
 
 
 def duplicate_classes(records: DataFrame, threshold: float = 0.8, **kw) -> DataFrame:

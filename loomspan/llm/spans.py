@@ -10,9 +10,11 @@ least half of the remaining length to the left or to the right. The two windows
 that extend a gram by that half are its keys: no run is lost, and sharing a key
 means that about two thirds of ``length`` agree already.
 
-Records that share a key are compared around the gram; where a key is not unique
-in its record, by the hashes of all windows of the full length, whose repeats
-merge into maximal intervals. Characters are compared before anything comes out.
+Two results come from the keys. ``sharing_pairs`` compares the records that share
+a key around the gram; where a key is not unique in its record, by the hashes of
+all windows of the full length; characters are compared before a pair comes out.
+``shared_spans`` forms no pairs: the windows of the full length around repeated
+keys are counted by hash in Spark, and repeated ones merge into maximal intervals.
 
 Copies of one text are one class and cost one set of rows per task. Keys that
 more than ``run_limit`` texts share are cut into block pairs (see ``runs``).
@@ -28,7 +30,7 @@ import os.path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import chars, copies, runs
@@ -37,8 +39,8 @@ from loomspan.session import cut
 SEEN = 1 << 18
 
 
-def keys_of(part: list[str], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, key, position of its gram or -1 if the key is not unique there), distinct per text."""
+def occurrences(part: list[str], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, key, position of its gram) of every key, in no order."""
     width, side = length - gram + 1, (length - gram) // 2
     cp, bounds = chars.code_points(part)
     h = chars.window_hashes(cp, gram)
@@ -62,7 +64,12 @@ def keys_of(part: list[str], length: int, gram: int) -> tuple[np.ndarray, np.nda
     d = np.concatenate([doc[left], doc[right]])
     key = np.concatenate([wide[pos[left] - side], wide[pos[right]]])
     at = np.concatenate([pos[left], pos[right]])
-    at = at - bounds[d]
+    return d, key, at - bounds[d]
+
+
+def keys_of(part: list[str], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, key, position of its gram or -1 if the key is not unique there), distinct per text."""
+    d, key, at = occurrences(part, length, gram)
     order = np.lexsort((at, key, d))
     d, key, at = d[order], key[order], at[order]
     new = np.append(True, (d[1:] != d[:-1]) | (key[1:] != key[:-1]))[: len(d)]
@@ -123,41 +130,21 @@ def _runs_here(a: str, b: str, pa_: int, pb: int, length: int) -> bool:
     return ahead + back >= length
 
 
-def _intervals(hit: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal [start, end) covered by the windows that begin where ``hit`` is true."""
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return []
-    cut_at = np.flatnonzero(np.diff(at) > length)
-    begins = at[np.append(0, cut_at + 1)]
-    ends = at[np.append(cut_at, len(at) - 1)] + length
-    return list(zip(begins.tolist(), ends.tolist(), strict=True))
-
-
-def common_windows(a: str, b: str, length: int, ha: np.ndarray | None = None, hb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of each text stand in the other, hashes checked against the characters."""
-    ha = chars.window_hashes(chars.code_points([a])[0], length) if ha is None else ha
-    hb = chars.window_hashes(chars.code_points([b])[0], length) if hb is None else hb
-    in_a, in_b = np.isin(ha, hb), np.isin(hb, ha)
-    if not in_a.any():
-        return in_a, in_b
-    first = {}
-    for i in np.flatnonzero(in_b)[::-1].tolist():
+def common_windows(a: str, b: str, length: int) -> bool:
+    """Whether a window of one text stands in the other, hashes checked against the characters."""
+    ha, hb = (chars.window_hashes(chars.code_points([t])[0], length) for t in (a, b))
+    first: dict[int, int] = {}
+    both = np.intersect1d(ha, hb)
+    for i in np.flatnonzero(np.isin(hb, both))[::-1].tolist():
         first[int(hb[i])] = i
-    at = np.flatnonzero(in_a)
-    # Checking every length-th hit and each run's ends covers all characters of the run.
-    step = np.flatnonzero(np.append(True, np.diff(at) > 1))
-    for s, e in zip(step, np.append(step[1:], len(at)), strict=True):
-        for i in {*at[s:e:length].tolist(), int(at[e - 1])}:
-            j = first[int(ha[i])]
-            if a[i : i + length] != b[j : j + length]:
-                wrong = ha == ha[i]
-                in_b[hb == ha[i]] = False
-                in_a[wrong] = False
-    return in_a, in_b
-
-
-def _verify(length: int, intervals: bool):
+    for i in np.flatnonzero(np.isin(ha, both)).tolist():
+        j = first[int(ha[i])]
+        if a[i : i + length] == b[j : j + length]:
+            return True
+    return False
+
+
+def _verify(length: int):
     def shared(a: str, b: str, row: dict) -> bool:
         for x, y in {(row["first"]["pos_a"], row["first"]["pos_b"]), (row["last"]["pos_a"], row["last"]["pos_b"])}:
             if x >= 0 and y >= 0 and _runs_here(a, b, x, y, length):
@@ -165,29 +152,20 @@ def _verify(length: int, intervals: bool):
         known = min(row["first"]["pos_a"], row["first"]["pos_b"], row["lowest"]) >= 0
         if known and (row["n"] <= 2 or row["first"] == row["last"]):
             return False
-        return bool(common_windows(a, b, length)[0].any())
+        return common_windows(a, b, length)
 
     def run(batches):
-        last = None
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                a, b, ca, cb = row["text_a"], row["text_b"], row["class_a"], row["class_b"]
-                if not intervals:
-                    if shared(a, b, row):
-                        rows.append((ca, cb))
-                    continue
-                if last is None or last[0] != ca:
-                    last = (ca, chars.window_hashes(chars.code_points([a])[0], length))
-                in_a, in_b = common_windows(a, b, length, last[1])
-                rows += [(ca, cb, s, e) for s, e in _intervals(in_a, length)]
-                rows += [(cb, ca, s, e) for s, e in _intervals(in_b, length)]
-            names = ["class", "other", "span_start", "span_end"] if intervals else ["class_a", "class_b"]
-            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
+            rows = [(r["class_a"], r["class_b"]) for r in batch.to_pylist() if shared(r["text_a"], r["text_b"], r)]
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["class_a", "class_b"])
 
     return run
 
 
+def _gram(length: int, gram: int) -> int:
+    return gram or max(8, length * 8 // 25)
+
+
 def _classes(docs: DataFrame, length: int) -> DataFrame:
     """id, class, text of the texts that are long enough; equal texts have one class."""
     return docs.select("id", F.xxhash64("text").alias("class"), "text").filter(F.char_length("text") >= length)
@@ -201,54 +179,125 @@ def candidate_pairs(docs: DataFrame, length: int, gram: int, run_limit: int) ->
     return pairs.groupBy("class_a", "class_b").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min(F.least("pos_a", "pos_b")).alias("lowest"), F.count("*").alias("n"))
 
 
-def _matches(docs: DataFrame, length: int, gram: int, run_limit: int, intervals: bool) -> DataFrame:
-    gram = gram or max(8, length * 8 // 25)
-    pairs = cut(candidate_pairs(docs, length, gram, run_limit))
+def _matches(docs: DataFrame, length: int, gram: int, run_limit: int) -> DataFrame:
+    pairs = cut(candidate_pairs(docs, length, _gram(length, gram), run_limit))
     texts = _classes(docs, length).select("class", "text").dropDuplicates(["class"])
     a = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "class_a").join(b, "class_b")
-    schema = "class long, other long, span_start long, span_end long" if intervals else "class_a long, class_b long"
-    return both.mapInArrow(_verify(length, intervals), schema)
+    return both.mapInArrow(_verify(length), "class_a long, class_b long")
 
 
-def sharing_pairs(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: int = 8192) -> DataFrame:
+def sharing_pairs(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: int = 8192, paired_copies: int | None = copies.PAIRED_COPIES, form: bool = False) -> DataFrame:
     """id_a, id_b (smaller first) of records with a common run of at least ``length`` characters.
 
     ``docs``: id, text. ``gram`` 0 takes a third of the length. Groups of more
-    than ``copies.PAIRED_COPIES`` equal texts take the class form.
+    than ``paired_copies`` equal texts take the class form, told apart by
+    ``form`` (see ``copies.expand``); None pairs all copies.
     """
-    classes = cut(_matches(docs, length, gram, run_limit, False))
+    classes = cut(_matches(docs, length, gram, run_limit))
     members = cut(_classes(docs, length).select("id", "class").distinct())
-    return copies.expand(members, classes, [])
+    return copies.expand(members, classes, [], paired_copies, form=form)
+
 
+def _repeated_windows(length: int, gram: int):
+    """Windows that hold a gram of a repeated key; ``first`` marks one of each hash in a text."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, classes, starts, firsts = [], [], [], []
+            for c, t, keys in zip(batch.column("class").to_pylist(), batch.column("text").to_pylist(), batch.column("keys"), strict=True):
+                _, key, at = occurrences([t], length, gram)
+                at = at[np.isin(chars.signed(key), keys.values.to_numpy())]
+                h = chars.window_hashes(chars.code_points([t])[0], length)
+                # A window that holds a gram begins at most length - gram before it.
+                edge = np.zeros(len(h) + 1, np.int32)
+                np.add.at(edge, np.maximum(at - (length - gram), 0), 1)
+                np.add.at(edge, np.minimum(at + 1, len(h)), -1)
+                pos = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                h = h[pos]
+                once = np.zeros(len(h), np.bool_)
+                once[np.unique(h, return_index=True)[1]] = True
+                hashes.append(chars.signed(h))
+                classes.append(np.full(len(h), c, np.int64))
+                starts.append(pos.astype(np.int32))
+                firsts.append(once)
+            if hashes:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (hashes, classes, starts, firsts)], names=["window", "class", "pos", "first"])
 
-def shared_spans(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: int = 8192) -> DataFrame:
+    return run
+
+
+def _merge(length: int):
+    """Maximal intervals from (class, pos, n) rows in order of class and pos."""
+
+    def run(batches):
+        open_ = None  # class, start, end, most
+        for batch in batches:
+            cls, pos, n = (batch.column(c).to_numpy() for c in ("class", "pos", "n"))
+            if not len(cls):
+                continue
+            new = np.append(True, (cls[1:] != cls[:-1]) | (pos[1:] > pos[:-1] + length))
+            at = np.flatnonzero(new)
+            ends = np.append(at[1:], len(cls)) - 1
+            spans = list(zip(cls[at].tolist(), pos[at].tolist(), (pos[ends] + length).tolist(), np.maximum.reduceat(n, at).tolist(), strict=True))
+            if open_ is not None:
+                c, s, e, m = spans[0]
+                if c == open_[0] and s <= open_[2]:
+                    spans[0] = (c, open_[1], e, max(m, open_[3]))
+                else:
+                    spans.insert(0, open_)
+            open_ = spans.pop()
+            yield _span_rows(spans)
+        if open_ is not None:
+            yield _span_rows([open_])
+
+    return run
+
+
+def _span_rows(spans: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([s[k] for s in spans], pa.int64()) for k in range(4)], names=["class", "span_start", "span_end", "partners"])
+
+
+def shared_spans(docs: DataFrame, length: int = 200, gram: int = 0) -> DataFrame:
     """id, span_start, span_end, partners: maximal intervals of each record that stand elsewhere.
 
+    No pair of records is formed. Keys that at least two texts have lead to the
+    windows of the full length around their grams; those windows are counted by
+    hash, one count per text, and the ones of at least two texts merge into
+    maximal intervals. Rows are in proportion to the characters near a repeated
+    key. Two windows of one 64-bit hash count as equal here.
+
     Positions are code points, the end exclusive; overlapping finds merge, and
-    ``partners`` counts the other texts that contributed. A text held by several
-    ids is shared as a whole.
+    ``partners`` is the largest number of other texts that hold one and the same
+    window of the interval. A text held by several ids is shared as a whole,
+    with its other ids as partners where they are more.
     """
-    found = _matches(docs, length, gram, run_limit, True)
-    members = cut(_classes(docs, length).select("id", "class", F.char_length("text").cast("long").alias("n")).distinct())
-    same = members.groupBy("class").agg(F.countDistinct("id").alias("c"), F.max("n").alias("n")).filter("c > 1").select("class", F.col("class").alias("other"), F.lit(0).cast("long").alias("span_start"), F.col("n").alias("span_end"))
-    found = found.union(same)
-    # Gaps and islands: a span begins where nothing before it reaches.
-    w = Window.partitionBy("class").orderBy("span_start", "span_end", "other")
-    reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("new", F.when(reach.isNull() | (F.col("span_start") > reach), 1).otherwise(0))
-    island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    merged = marked.withColumn("island", island).groupBy("class", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.countDistinct("other").alias("partners"))
-    return merged.join(members, "class").select("id", "span_start", "span_end", "partners")
-
-
-def share_report(docs: DataFrame, length: int = 200, gram: int = 0, run_limit: int = 8192) -> DataFrame:
+    gram = _gram(length, gram)
+    texts = _classes(docs, length).select("class", "text").dropDuplicates(["class"])
+    # Whether a key stands in two texts shows in its least and greatest class, which combine ahead of the shuffle.
+    keys = cut(texts.mapInArrow(_anchors(length, gram), "key long, class long, pos long").select("key", "class"))
+    repeated = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    wanted = keys.join(repeated, "key").groupBy("class").agg(F.collect_list("key").alias("keys"))
+    windows = cut(texts.join(wanted, "class").mapInArrow(_repeated_windows(length, gram), "window long, class long, pos int, first boolean"))
+    counted = windows.filter("first").groupBy("window").agg((F.count("*") - 1).alias("n")).filter("n > 0")
+    found = windows.join(counted, "window").select("class", "pos", "n").repartition("class").sortWithinPartitions("class", "pos")
+    merged = found.mapInArrow(_merge(length), "class long, span_start long, span_end long, partners long")
+    members = cut(_classes(docs, length).select("id", "class", F.char_length("text").cast("long").alias("size")).distinct())
+    whole = members.groupBy("class").agg(F.countDistinct("id").alias("c"), F.max("size").alias("size")).filter("c > 1")
+    spans = merged.join(members, "class").join(whole.select("class", "c"), "class", "left").filter("c is null").select("id", "span_start", "span_end", "partners")
+    most = merged.groupBy("class").agg(F.max("partners").alias("partners"))
+    copied = members.join(whole.select("class", "c"), "class").join(most, "class", "left").select("id", F.lit(0).cast("long").alias("span_start"), F.col("size").alias("span_end"), F.greatest(F.col("c") - 1, F.coalesce("partners", F.lit(0))).alias("partners"))
+    # An id with several texts has the spans of each.
+    return spans.union(copied)
+
+
+def share_report(docs: DataFrame, length: int = 200, gram: int = 0) -> DataFrame:
     """id, n_chars, n_spans, shared_chars, shared_fraction for every record.
 
     Null texts count 0 characters; the fraction of an empty record is 0.
     """
-    spans = shared_spans(docs, length, gram, run_limit).groupBy("id").agg(F.count("*").alias("n_spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
+    spans = shared_spans(docs, length, gram).groupBy("id").agg(F.count("*").alias("n_spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
     size = docs.groupBy("id").agg(F.coalesce(F.max(F.char_length("text")), F.lit(0)).cast("long").alias("n_chars"))
     n, s = F.coalesce("n_spans", F.lit(0)).cast("long"), F.coalesce("shared_chars", F.lit(0)).cast("long")
     return size.join(spans, "id", "left").select("id", "n_chars", n.alias("n_spans"), s.alias("shared_chars"), F.when(F.col("n_chars") > 0, F.round(s / F.col("n_chars"), 6)).otherwise(0.0).alias("shared_fraction"))

@@ -39,6 +39,7 @@ _NUMBER = re.compile(r"[ \t]*(\d{1,3}|[A-Za-z])[.)][ \t]+\S")
 _RULE = re.compile(r"[ \t]*([=\-~_*])\1{2,}[ \t]*$")
 _END = re.compile(r"[.!?。！？]+")
 _LINE = re.compile(r"[^\n]*\n?")
+_GAP = re.compile(r"\s+(?=\S)")
 
 
 def _ends_sentence(line: str) -> bool:
@@ -177,30 +178,38 @@ def natural_places(text: str) -> list[tuple[int, int]]:
 
 
 def split_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """[start, end) of consecutive pieces of at most ``limit`` that repeat about ``overlap``."""
+    """[start, end) of consecutive pieces of at most ``limit`` that repeat about ``overlap``.
+
+    Candidates are at most ``near`` apart and a piece goes on from at most
+    ``limit - near - 1`` before the end of the last one. The longest piece from
+    any start is therefore followed by a later start, and the dynamic
+    programming reaches the end of every text.
+    """
     n = len(text)
     if n <= limit:
         return [(0, n)]
     kind = {0: HEADING, **{p: k for p, k in reversed(natural_places(text))}}
-    near = max(20, overlap // 2)
+    near = max(1, min(max(20, overlap // 2), limit // 4))
+    step = max(1, near // 2)
+    back_most = min(2 * overlap, limit - near - 1)
     marks = [*sorted(kind), n]
     for a, b in zip(marks, marks[1:], strict=False):
         # Stand-ins where places are further apart than an overlap can bridge.
         if b - a <= near:
             continue
-        p = a + near // 2
+        p = a + step
         while p < b:
-            m = re.compile(r"\s+(?=\S)").search(text, p, min(b, p + near // 2))
+            m = _GAP.search(text, p, min(b, p + near - step))
             q = m.end() if m else p
             kind.setdefault(q, WORD if m else CHARACTER)
-            p = q + near // 2
+            p = q + step
     cand = sorted(kind)
     count = -(-(n - overlap) // (limit - overlap))
     ideal = (n + overlap * (count - 1)) / count
 
     def start_for(end: int) -> int:
         """The best place to go on from, for a piece that ends here."""
-        lo, hi = bisect_left(cand, end - 2 * overlap), bisect_right(cand, end - near)
+        lo, hi = bisect_left(cand, end - back_most), bisect_right(cand, end - near)
         options = cand[lo:hi] or [max(0, end - overlap)]
         return min(options, key=lambda p: (PENALTY[kind.get(p, CHARACTER)] + abs(end - overlap - p) / overlap, p)) if overlap else end
 
@@ -209,13 +218,13 @@ def split_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     cost, back = [0.0] + [float("inf")] * len(ends), [-1] * (len(ends) + 1)
     for i in range(len(ends)):
         s = begin[i]
-        if cost[i] == float("inf") or (i and s <= begin[back[i]]):
+        if cost[i] == float("inf"):
             continue
         for j in range(bisect_right(ends, s), len(ends)):
             e = ends[j]
             if e - s > limit:
                 break
-            if j + 1 <= i:
+            if j + 1 <= i or begin[j + 1] <= s:
                 continue
             if e == n:
                 c = 0.5 * max(0.0, (ideal - (e - s)) / ideal) ** 2
@@ -223,6 +232,8 @@ def split_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 c = PENALTY[kind[e]] + PENALTY[kind.get(begin[j + 1], CHARACTER)] + ((e - s) / ideal - 1) ** 2 + 0.3 * abs(e - begin[j + 1] - overlap) / max(1, overlap) + 0.2
             if cost[i] + c < cost[j + 1]:
                 cost[j + 1], back[j + 1] = cost[i] + c, i
+    if cost[-1] == float("inf"):
+        raise AssertionError(f"no way to cut a text of {n} characters")
     out, i = [], len(ends)
     while i > 0:
         b = back[i]

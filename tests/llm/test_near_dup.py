@@ -65,6 +65,16 @@ def test_many_copies_take_the_class_form(spark):
     assert got == {("c0000", f"c{i:04d}") for i in range(1, 700)} | {("c0000", f"d{i}") for i in range(3)} | {("d0", "d1"), ("d0", "d2"), ("d1", "d2")}
 
 
+def test_every_pair_of_copies_where_asked_for(spark):
+    rows = [(0, f"c{i:04d}", "one two three four five six", 0) for i in range(300)] + [(0, "d", "one two three four five seven six", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["id_a"], r["id_b"]) for r in near_dup.similar_pairs(df, 0.8, paired_copies=None).collect()}
+    ids = [r[1] for r in rows]
+    assert got == {(a, b) for a in ids for b in ids if a < b}
+    forms = near_dup.similar_pairs(df, 0.8, form=True).groupBy("form").count().collect()
+    assert {r["form"]: r["count"] for r in forms} == {"copy": 299, "pair": 1}
+
+
 def test_classes_and_links(spark):
     chain = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h l k", "z y x w v u t s"]
     rows = [(0, f"n{i}", t, 0) for i, t in enumerate(chain)]

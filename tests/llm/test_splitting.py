@@ -33,6 +33,24 @@ def test_pieces_cover_the_text(text, limit, overlap):
     assert all(a < c <= b < d for (a, b), (c, d) in zip(p, p[1:], strict=False))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab. \n!?数。"), max_size=600), st.sampled_from(["", "x" * 900, "数" * 700, " " * 800, "word " * 160]), st.integers(8, 120), st.floats(0, 1))
+def test_pieces_cover_unbroken_texts_for_every_overlap(text, more, limit, share):
+    text, overlap = text + more, int(share * (limit // 2 - 1))
+    p = splitting.split_points(text, limit, overlap)
+    assert p[0][0] == 0 and p[-1][1] == len(text)
+    assert all(0 <= e - s <= limit for s, e in p)
+    assert all(a < c <= b < d for (a, b), (c, d) in zip(p, p[1:], strict=False))
+
+
+def test_large_overlaps_lose_no_text():
+    for text in ("x" * 5000, "数" * 5000, " " * 5000, "y" * 2500, "Plain words go on. " * 400, "w" * 2500 + " and more"):
+        for overlap in (0, 200, 600, 1100, 1199):
+            p = splitting.split_points(text, 2400, overlap)
+            assert p[0][0] == 0 and p[-1][1] == len(text) and all(e - s <= 2400 for s, e in p)
+            assert all(a < c <= b < d for (a, b), (c, d) in zip(p, p[1:], strict=False))
+
+
 def test_overlap_and_natural_starts():
     text = " ".join(f"Sentence number {i} says a little more than the one before it did." for i in range(200))
     places = {p for p, _ in splitting.natural_places(text)}
