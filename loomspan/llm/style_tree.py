@@ -5,19 +5,24 @@ merged from lines: host -> presentation style of a line -> content of a line.
 
 * Content nodes. A content is a line without marker, host name and numbers. On
   a host with m pages the importance of a content that k of them have is
-  1 - log k / log m, one minus the normalised entropy of where it stands; over
-  all hosts the same with hosts for pages. What recurs is unimportant.
+  1 - log k / log m, one minus the normalised entropy of where it stands; what
+  recurs is unimportant. Over all hosts a content is unimportant from a share of
+  the hosts on (``host_share``); the entropy of its hosts grows with that share.
 * Presentation nodes: shape of the line's link (first path segment, fragment),
   the label before a colon, the line with rare words left out, its last words, a
-  leading hash sign. A style's importance is composed from its surroundings:
-  the share of its occurrences that stand beside important content.
-
-Three scans: contents and words over all hosts; styles over all hosts; then each
-page with its host's tree. Hosts of more than ``block_pages`` pages are cut into
-blocks by page, small ones share a task. Only contents, words and styles that
-at least ``host_share`` of all hosts have are sent to the tasks: the sum over
-hosts of their distinct entries is an upper bound of kept entries x hosts x
-host_share, so at most 1 / host_share times a host's mean number is kept.
+  leading hash sign. They are kept per host and over all hosts. A style's
+  importance is composed of that of its surroundings, the share of its
+  occurrences that stand beside important content, and on its own host, with the
+  weight 1 - ``GAMMA``, of its own: 1 - log k / log m for k of m pages. A line
+  goes if either its host or all hosts together call one of its styles
+  unimportant.
+
+Three scans: contents and words; styles; then each page with its host's tree.
+What is common over all hosts goes to the tasks as a filter of a fixed size
+(``filters``), what is known of a host only to the tasks with its pages. Hosts of
+more than ``block_pages`` pages are cut into blocks by page; their contents are
+counted over all their pages all the same. A host's recurring contents stand on
+2 % of its pages at least, so they are at most 50 times a page's lines.
 
 A page keeps the lines of important branches between its title and the end of
 its body. Pages of which no paragraph, code, list, table or heading is left, and
@@ -39,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import filters
 from loomspan.session import cut
 
 _MARK = re.compile(r"^([*•‣◦▪\-–+]|#{1,6}|\d{1,3}[.)])\s+")
@@ -65,6 +71,11 @@ def _h(kind: str, s: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\0{s}") - (1 << 63)
 
 
+def _content_hash(c: str) -> int:
+    """Odd for single words, which meet by chance: they have to be twice as common."""
+    return _h("c", c) & ~1 | (" " not in c)
+
+
 def _tidy(s: str) -> str:
     return " ".join(s.split())
 
@@ -72,11 +83,11 @@ def _tidy(s: str) -> str:
 class Line:
     """A line; ``words`` are listed of short lines only, ``n`` counts those of any."""
 
-    __slots__ = ("no", "text", "low", "mark", "key", "words", "n", "anchor", "styles", "common", "linked", "labelled")
+    __slots__ = ("no", "text", "low", "mark", "key", "words", "n", "anchor", "styles", "common", "linked", "labelled", "hash")
 
     def __init__(self, no: int, text: str, low: str, mark: str, key: str, words: list[str], n: int):
         self.no, self.text, self.low, self.mark, self.key, self.words, self.n = no, text, low, mark, key, words, n
-        self.anchor, self.styles, self.common, self.linked, self.labelled = None, (), False, False, False
+        self.anchor, self.styles, self.common, self.linked, self.labelled, self.hash = None, (), False, False, False, 0
 
 
 def _site(host: str | None) -> tuple[str, ...]:
@@ -169,26 +180,27 @@ def anchors_of(links: str | None, host: str | None) -> dict[str, str]:
 
 
 class Known:
-    """Which contents and words are common, by text."""
+    """Which contents and words are common over all hosts, by text."""
 
-    def __init__(self, entries: dict[int, int], least: int):
-        self.entries, self.least = entries, least
+    def __init__(self, entries: bytes):
+        self.entries = entries
         self.words: dict[str, bool] = {}
-        self.contents: dict[str, bool] = {}
+        self.contents: dict[str, tuple[int, bool]] = {}
 
     def word(self, w: str) -> bool:
         k = self.words.get(w)
         if k is None:
             if len(self.words) > 200_000:
                 self.words.clear()
-            k = self.words[w] = _h("w", w) in self.entries
+            k = self.words[w] = filters.holds(self.entries, _h("w", w) & ~1)
         return k
 
-    def content(self, c: str) -> bool:
+    def content(self, c: str) -> tuple[int, bool]:
+        """Hash of a content and whether it is common."""
         k = self.contents.get(c)
         if k is None:
-            # Single words meet by chance; they have to be twice as common.
-            k = self.entries.get(_h("c", c), 0) >= (self.least if " " in c else 2 * self.least)
+            h = _content_hash(c)
+            k = (h, filters.holds(self.entries, h))
             if len(c) < 60:
                 if len(self.contents) > 100_000:
                     self.contents.clear()
@@ -202,14 +214,14 @@ def describe(lines: list[Line], anchors: dict[str, str], known: Known) -> None:
     for x in lines:
         low = x.low
         x.anchor = anchors.get(low)
-        x.common = content(x.key)
+        x.hash, x.common = content(x.key)
         styles = []
         if x.anchor:
             styles.append(f"a {x.anchor}")
         elif _has_parts(x.text):
             parts = [p for p in _PARTS.split(x.text[len(x.mark) :].strip()) if p and p.strip()]
             if len(parts) > 1:
-                x.linked = all(p in anchors or content(_NUMBER.sub("0", p)) for p in (_tidy(p).lower() for p in parts))
+                x.linked = all(p in anchors or content(_NUMBER.sub("0", p))[1] for p in (_tidy(p).lower() for p in parts))
         if ":" in low or "：" in low:
             m = _LABEL.match(low)
             if m:
@@ -249,54 +261,85 @@ def _no_cycles():
             gc.enable()
 
 
-def _scan_contents(batches):
-    with _no_cycles():
-        yield from _contents(batches)
+def _quick(scan):
+    def run(batches):
+        with _no_cycles():
+            yield from scan(batches)
+
+    return run
 
 
 def _contents(batches):
+    """(entry, host) of the distinct contents and words of each host in a batch."""
     hashes: dict[str, int] = {}
     for b in batches:
-        by_host: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-        for host, text in zip(b.column("host").to_pylist(), b.column("text").to_pylist(), strict=True):
-            contents, words = by_host[host or ""]
+        by_host: dict[tuple, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+        for hid, host, text in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text")), strict=True):
+            contents, words = by_host[hid, host]
             for r in _rows(text, _site(host)):
                 contents.add(r[4])
                 words.update(r[5])
         entries, hosts = [], []
         if len(hashes) > 200_000:
             hashes.clear()
-        for host, (contents, words) in by_host.items():
-            entries += [_h("c", c) for c in contents]
+        for (hid, _), (contents, words) in by_host.items():
+            entries += map(_content_hash, contents)
             for w in words:
                 k = hashes.get(w)
                 if k is None:
-                    k = hashes[w] = _h("w", w)
+                    k = hashes[w] = _h("w", w) & ~1
                 entries.append(k)
-            hosts += [_h("h", host)] * (len(contents) + len(words))
-        yield pa.record_batch([pa.array(entries, pa.int64()), pa.array(hosts, pa.int64())], names=["entry", "host"])
+            hosts += [hid] * (len(contents) + len(words))
+        yield pa.record_batch([pa.array(entries, pa.int64()), pa.array(hosts, pa.int64())], names=["entry", "hid"])
 
 
-def _scan_styles(plan, least: int):
-    def run(batches):
-        with _no_cycles():
-            yield from styles(batches)
+def _counted_contents(batches):
+    """(hid, entry, pages) of the contents of each host in a batch."""
+    for b in batches:
+        count: dict[tuple[int, str], int] = defaultdict(int)
+        for hid, host, text in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text")), strict=True):
+            for c in {r[4] for r in _rows(text, _site(host))}:
+                count[hid, c] += 1
+        yield pa.record_batch([pa.array([h for h, _ in count], pa.int64()), pa.array([_content_hash(c) for _, c in count], pa.int64()), pa.array(list(count.values()), pa.int64())], names=["hid", "entry", "pages"])
+
+
+# What a style is judged by.
+PLAIN, OPENER, LABEL, TEMPLATE, FILLED = range(5)
+
+
+def _rule(style: str) -> int:
+    if style[0] == "o":
+        return OPENER
+    if style[0] == "p":
+        return LABEL
+    if style[0] in "ts":
+        words = _TILDE.findall(style[2:])
+        slots = sum(w in ("~", "0") for w in words)
+        # One text with a name filled in, on many hosts.
+        return FILLED if len(words) - slots >= 5 + (slots > 1) and slots <= 2 else TEMPLATE
+    return PLAIN
 
+
+COUNTS = ("beside", "dull", "before", "n", "pages")
+
+
+def _scan_styles(plan):
     def styles(batches):
-        known = Known(plan.value, least)
+        known = Known(plan.value)
+        names: dict[str, tuple[int, int]] = {}
         for b in batches:
             seen: dict[tuple[str, int], list[int]] = {}
-            for host, text, links in zip(*(b.column(c).to_pylist() for c in ("host", "text", "links")), strict=True):
-                h = _h("h", host or "")
+            for hid, host, text, links in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text", "links")), strict=True):
                 lines = lines_of(text, _site(host))
                 describe(lines, anchors_of(links, host), known)
                 last = len(lines) - 1
+                here = set()
                 for i, x in enumerate(lines):
                     if x.common and not x.anchor:
-                        k = (f"o {x.key}", h)
+                        k = (f"o {x.key}", hid)
                         s = seen.get(k)
                         if s is None:
-                            s = seen[k] = [0, 0, 0, 0]
+                            s = seen[k] = [0, 0, 0, 0, 0]
                         s[3] += 1
                         nxt = lines[i + 1] if i < last else None
                         if nxt is not None and not nxt.common:
@@ -307,10 +350,10 @@ def _scan_styles(plan, least: int):
                         continue
                     p, q = lines[i - 1] if i else None, lines[i + 1] if i < last else None
                     for st in x.styles:
-                        k = (st, h)
+                        k = (st, hid)
                         s = seen.get(k)
                         if s is None:
-                            s = seen[k] = [0, 0, 0, 0]
+                            s = seen[k] = [0, 0, 0, 0, 0]
                         if p is not None and st not in p.styles:
                             s[0] += 1
                             s[1] += p.common or p.linked
@@ -319,54 +362,96 @@ def _scan_styles(plan, least: int):
                             s[1] += q.common or q.linked
                         s[2] += x.labelled if st[0] == "p" else p is not None and (p.common or p.linked)
                         s[3] += 1
+                        if st not in here:
+                            here.add(st)
+                            s[4] += 1
+            if len(names) > 200_000:
+                names.clear()
+            ids, rules = [], []
+            for st, _ in seen:
+                got = names.get(st)
+                if got is None:
+                    got = names[st] = (_h("s", st), _rule(st))
+                ids.append(got[0])
+                rules.append(got[1])
             yield pa.record_batch(
-                [pa.array([k for k, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int64()), *(pa.array([int(v[i]) for v in seen.values()], pa.int64()) for i in range(4))],
-                names=["style", "host", "beside", "dull", "before", "n"],
+                [pa.array(ids, pa.int64()), pa.array(rules, pa.int32()), pa.array([h for _, h in seen], pa.int64()), *(pa.array([int(v[i]) for v in seen.values()], pa.int32()) for i in range(len(COUNTS)))],
+                names=["style", "rule", "hid", *COUNTS],
             )
 
-    return run
+    return _quick(styles)
+
+
+def _dull_share():
+    """Share of a style's occurrences in unimportant surroundings."""
+    share = F.col("dull") / F.greatest(F.lit(1), F.col("beside"))
+    before = F.col("before") / F.greatest(F.lit(1), F.col("n"))
+    # Of a label, ``before`` counts how often a link or a list of keywords follows it.
+    share = F.when((F.col("rule") == LABEL) & (before >= 0.4), F.lit(1.0)).otherwise(share)
+    return F.when(F.col("rule").isin(TEMPLATE, FILLED), F.greatest(share, before)).otherwise(share)
+
+
+def _levels(share):
+    """2 where lines of the style go, 1 where those go that are nothing but a link."""
+    return F.when(1 - share < LEAST, 2).when(1 - share < LEAST_LINK, 1).otherwise(0)
+
+
+def _over_hosts(sums: DataFrame, least: int) -> DataFrame:
+    """hash: what is known of the styles of many hosts, as entries of the filter."""
+    total = sums.groupBy("style", "rule").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(c) for c in COUNTS)).filter(F.col("hosts") >= least)
+    share = F.when(F.col("rule") == FILLED, F.lit(1.0)).otherwise(_dull_share())
+    opens = F.when((F.col("beside") >= 3) & (F.col("dull") >= 0.4 * F.col("beside")), 3).when((F.col("beside") >= 3) & (F.col("before") >= 0.4 * F.col("beside")), 4).otherwise(0)
+    level = F.when(F.col("rule") == OPENER, opens).when(F.col("n") >= STYLED, _levels(share)).otherwise(0)
+    known = total.select("style", level.cast("long").alias("level")).filter("level > 0")
+    return known.select(F.col("style").bitwiseXOR(F.col("level") * LEVEL).alias("hash"))
 
 
 class Tree:
-    """What is known of all hosts: common entries and dull styles."""
-
-    def __init__(self, common: dict[int, int], least: int, styles: dict[str, tuple[int, int, int, int]]):
-        self.common, self.least = common, least
-        self.dull_style: dict[str, float] = {}
-        self.opens: dict[str, str] = {}
-        for s, (beside, dull, before, n) in styles.items():
-            if s.startswith("o "):
-                if beside >= 3 and dull >= 0.4 * beside:
-                    self.opens[s[2:]] = "related"
-                elif beside >= 3 and before >= 0.4 * beside:
-                    self.opens[s[2:]] = "contents"
-                continue
-            if n < 10:
-                continue
-            share = dull / max(1, beside)
-            if s[0] == "p":
-                # Of a label, ``before`` counts how often a link or a list of keywords follows it.
-                share = max(share, 1.0 if before >= 0.4 * n else 0.0)
-            elif s[0] in "ts":
-                share = max(share, before / max(1, n))
-                words = _TILDE.findall(s[2:])
-                slots = sum(w in ("~", "0") for w in words)
-                if len(words) - slots >= 5 + (slots > 1) and slots <= 2:
-                    share = 1.0  # one text with a name filled in, on many hosts
-            self.dull_style[s] = share
-
-    def importance(self, x: Line) -> float:
-        """Importance of the line's presentation; 1 where nothing is known."""
-        dull = 0.0
+    """What is known of the styles of all hosts, by name."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.styles: dict[str, tuple[int, int]] = {}
+        self.openers: dict[str, str | None] = {}
+
+    def _has(self, style: int, level: int) -> bool:
+        return filters.holds(self.data, style ^ level * LEVEL)
+
+    def style(self, s: str) -> tuple[int, int]:
+        """Hash and level of a style."""
+        k = self.styles.get(s)
+        if k is None:
+            if len(self.styles) > 200_000:
+                self.styles.clear()
+            h = _h("s", s)
+            k = self.styles[s] = (h, 2 if self._has(h, 2) else int(self._has(h, 1)))
+        return k
+
+    def opens(self, key: str) -> str | None:
+        """Which block a common line opens."""
+        if key not in self.openers:
+            if len(self.openers) > 100_000:
+                self.openers.clear()
+            h = _h("s", f"o {key}")
+            self.openers[key] = "related" if self._has(h, 3) else "contents" if self._has(h, 4) else None
+        return self.openers[key]
+
+    def level(self, x: Line, local: dict[int, int]) -> int:
+        """2 where the line's branch is unimportant, 1 where it is if nothing but a link."""
+        top = 0
         for s in x.styles:
-            d = self.dull_style.get(s)
-            if d is not None and d > dull:
-                dull = d
-        return 1.0 - dull
+            h, k = self.style(s)
+            top = max(top, k, local.get(h, 0))
+        return top
 
 
 LEAST = 0.35  # importance under which a branch goes
 LEAST_LINK = 0.7  # and one that is nothing but a link
+LEVEL = 1 << 44 | 1 << 20  # what tells the entries of a style's levels apart
+STYLED = 10  # occurrences from which on a style is judged
+GAMMA = 0.9  # weight of a style's surroundings against its own spread over its host's pages
+CONTENT = 0.65  # importance under which a content of a host goes
+RECURS = 0.02  # and the least share of its pages
 
 
 def _strong(x: Line) -> bool:
@@ -375,7 +460,7 @@ def _strong(x: Line) -> bool:
     return len(t) >= 60 or (x.n >= 8 and t[-1] in ".!?。！？:") or x.mark != "" or t.startswith(("$ ", "```", "|")) or " = " in t or bool(re.search(r"\w: \S|\w \| \w", t))
 
 
-def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: set[str], status: int | None) -> list[int]:
+def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: set[int], status: int | None, local: dict[int, int]) -> list[int]:
     """Numbers of the lines of the main body."""
     if status is not None and status >= 400:
         return []
@@ -388,7 +473,7 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
     name = _tidy(title or "").lower()
     for i, x in enumerate(lines):
         parts = [_tidy(p).lower() for p in _CRUMB.split(x.text)] if x.n <= 30 and ("/" in x.text or ">" in x.text or "»" in x.text or "›" in x.text) else []
-        if x.common or x.linked or x.key in host_common:
+        if x.common or x.linked or x.hash in host_common:
             drop[i] = True
         elif len(parts) > 1 and not x.mark and (parts[-1] == name or parts[-1] in where):
             drop[i] = True  # a path that ends in the page's own title
@@ -400,27 +485,27 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
             pass  # a heading or its entry in the contents list
         elif x.anchor and x.anchor not in ("out",) and not x.mark and x.n > 1:
             drop[i] = True  # a branch that is nothing but a link
-        elif bare[i] != name and tree.importance(x) < (LEAST_LINK if x.anchor else LEAST):
+        elif bare[i] != name and x.styles and tree.level(x, local) >= (1 if x.anchor else 2):
             drop[i] = True
 
     # A single word that others use as well, between lines of the body, is an item of it.
     for i in range(1, n - 1):
         x = lines[i]
-        if drop[i] and not x.anchor and x.n == 1 and not (drop[i - 1] or drop[i + 1]) and x.key not in tree.opens:
+        if drop[i] and not x.anchor and x.n == 1 and not (drop[i - 1] or drop[i + 1]) and not tree.opens(x.key):
             drop[i] = False
 
     # Blocks that a common line opens.
     has_links = any(x.anchor and x.anchor not in ("/", "#") for x in lines)
     i = 0
     while i < n:
-        kind = tree.opens.get(lines[i].key) if drop[i] else None
+        kind = tree.opens(lines[i].key) if drop[i] else None
         i += 1
         if kind is None:
             continue
         j = i
         while j < n:
             x = lines[j]
-            if bare[j] == name or x.mark.startswith("#") or (x.common or x.key in host_common):
+            if bare[j] == name or x.mark.startswith("#") or (x.common or x.hash in host_common):
                 break
             if kind == "contents":
                 if x.anchor == "#" or (len(where[bare[j]]) > 1 and any(k > j or k < i - 1 for k in where[bare[j]])):
@@ -472,48 +557,81 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
     return out
 
 
-def host_contents(pages: list[list[Line]]) -> set[str]:
+def host_contents(pages: list[list[Line]]) -> set[int]:
     """Contents of one host that are too evenly spread over its pages to be important."""
     m = len(pages)
     if m < 4:
         return set()
-    count = Counter(k for lines in pages for k in {x.key for x in lines})
-    least = max(3, 0.02 * m)
-    return {k for k, c in count.items() if c >= least and 1 - math.log(c) / math.log(m) < 0.65}
+    count = Counter(k for lines in pages for k in {x.hash for x in lines})
+    least = max(3, RECURS * m)
+    return {k for k, c in count.items() if c >= least and 1 - math.log(c) / math.log(m) < CONTENT}
+
 
+def _host_contents(pages: DataFrame, large: DataFrame) -> DataFrame:
+    """hid, entry: the same of the hosts that are cut into blocks, over all their pages."""
+    one = pages.join(large, "hid").groupBy("page_id", "hid").agg(F.min(F.struct("text", "host")).alias("r")).select("hid", "r.host", "r.text")
+    count = one.mapInArrow(_quick(_counted_contents), "hid long, entry long, pages long").groupBy("hid", "entry").agg(F.sum("pages").alias("c"))
+    size = one.groupBy("hid").agg(F.count("*").alias("m"))
+    c, m = F.col("c"), F.col("m")
+    recurs = (c >= F.greatest(F.lit(3.0), RECURS * m)) & (1 - F.log(c) / F.log(m) < CONTENT)
+    return count.filter("c >= 3").join(size, "hid").filter(recurs).select("hid", "entry")
 
-def main_lines(pages: DataFrame, host_share: float = 0.005, block_pages: int = 2000) -> DataFrame:
+
+def main_lines(pages: DataFrame, host_share: float = 0.005, block_pages: int = 2000, task_pages: int = 500) -> DataFrame:
     """page_id, line_no of the lines of the main body.
 
     ``pages``: page_id, host, title, text, links array<struct<url, text, ...>>, status.
     """
     spark = pages.sparkSession
-    pages = pages.select("page_id", "host", "title", "text", links_column().alias("links"), "status").filter("text is not null and page_id is not null")
-    texts = pages.select("host", "text")
-    sizes = cut(texts.groupBy("host").agg(F.count("*").alias("n")))
-    hosts, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
+    pages = pages.select("page_id", F.xxhash64("host").alias("hid"), "host", "title", "text", links_column().alias("links"), "status").filter("text is not null and page_id is not null")
+    texts = pages.select("hid", "host", "text")
+    sizes = cut(texts.groupBy("hid").agg(F.count("*").alias("m")))
+    hosts, total = sizes.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).collect()[0]
     least = max(3, math.ceil(host_share * hosts))
-    entries = texts.mapInArrow(_scan_contents, "entry long, host long").distinct()
-    kept = entries.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    common = spark.sparkContext.broadcast({r["entry"]: r["n"] for r in kept.collect()})
-    found = pages.select("host", "text", "links").mapInArrow(_scan_styles(common, least), "style string, host long, beside long, dull long, before long, n long")
-    sums = found.groupBy("style").agg(F.approx_count_distinct("host", 0.02).alias("hosts"), *(F.sum(c).alias(c) for c in ("beside", "dull", "before", "n"))).filter(F.col("hosts") >= least)
-    styles = {r["style"]: (r["beside"], r["dull"], r["before"], r["n"]) for r in sums.collect()}
-    tree = spark.sparkContext.broadcast(Tree(common.value, least, styles))
-
-    large = sizes.filter(F.col("n") > block_pages).select("host", F.ceil(F.col("n") / block_pages).cast("long").alias("blocks"))
-    tasks = max(1, math.ceil(total / block_pages))
-    spread = pages.join(large, "host", "left") if not large.isEmpty() else pages.withColumn("blocks", F.lit(None).cast("long"))
-    part = F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("blocks")), F.lit(0))
-    spread = spread.withColumn("part", part).withColumn("task", F.pmod(F.xxhash64("host", "part"), F.lit(tasks))).drop("blocks")
-
-    def run(t: pa.Table) -> pa.Table:
+    entries = texts.mapInArrow(_quick(_contents), "entry long, hid long").distinct()
+    kept = entries.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least * (1 + F.col("entry").bitwiseAND(F.lit(1))))
+    common = spark.sparkContext.broadcast(filters.build(kept, "entry"))
+    found = pages.select("hid", "host", "text", "links").mapInArrow(_scan_styles(common), "style long, rule int, hid long, " + ", ".join(f"{c} int" for c in COUNTS))
+    sums = cut(found.groupBy("style", "rule", "hid").agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    tree = spark.sparkContext.broadcast(filters.build(_over_hosts(sums, least), "hash"))
+
+    large = sizes.filter(F.col("m") > block_pages).select("hid", F.ceil(F.col("m") / block_pages).cast("long").alias("blocks"))
+    cut_up = not large.isEmpty()
+    # What is known of a host alone: levels of its styles, and its recurring contents (level 0).
+    own = sums.filter((F.col("n") >= STYLED) & (F.col("rule") != OPENER)).join(sizes.filter("m >= 4"), "hid")
+    spread_out = 1 - F.log(F.least("pages", "m")) / F.log("m")
+    level = _levels(1 - (GAMMA * (1 - _dull_share()) + (1 - GAMMA) * spread_out))
+    own = own.select("hid", F.col("style").alias("entry"), level.alias("level")).filter("level > 0")
+    if cut_up:
+        own = own.union(_host_contents(pages.select("page_id", "hid", "host", "text"), large.select("hid")).withColumn("level", F.lit(0)))
+    spread = pages
+    if cut_up:
+        own, spread = own.join(large, "hid", "left"), spread.join(large, "hid", "left")
+    else:
+        own, spread = (d.withColumn("blocks", F.lit(None).cast("long")) for d in (own, spread))
+    groups = max(1, math.ceil(total / task_pages))
+    task = F.pmod(F.xxhash64("hid", "part"), F.lit(groups)).alias("task")
+    spread = spread.withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("blocks")), F.lit(0))).select(task, "page_id", "hid", "part", "host", "title", "text", "links", "status", F.col("blocks").isNull().alias("whole"))
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0))))).select(task, "hid", "entry", "level")
+    # Partitions of a bounded number of pages; a group is a few hundred pages and a host's block at most.
+    n = min(groups, max(3 * spark.sparkContext.defaultParallelism, math.ceil(total / (4 * block_pages))))
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
         with _no_cycles():
-            return body(t)
-
-    def body(t: pa.Table) -> pa.Table:
-        known = tree.value
-        entries = Known(known.common, known.least)
+            return body(t, known)
+
+    state: list = []
+
+    def body(t: pa.Table, known: pa.Table) -> pa.Table:
+        if not state:
+            state.extend((Known(common.value), Tree(tree.value)))
+        entries, styles = state
+        recurring, local = defaultdict(set), defaultdict(dict)
+        for hid, entry, level in zip(*(known.column(c).to_pylist() for c in ("hid", "entry", "level")), strict=True):
+            if level:
+                local[hid][entry] = level
+            else:
+                recurring[hid].add(entry)
         once: dict[int, dict] = {}
         for values in zip(*(t.column(c).to_pylist() for c in t.column_names), strict=True):
             r = dict(zip(t.column_names, values, strict=True))
@@ -522,18 +640,19 @@ def main_lines(pages: DataFrame, host_share: float = 0.005, block_pages: int = 2
                 once[r["page_id"]] = r
         by_host = defaultdict(list)
         for r in once.values():
-            by_host[(r["host"], r["part"])].append(r)
+            by_host[(r["hid"], r["host"], r["part"])].append(r)
         ids, nos = [], []
-        for (host, _), group in by_host.items():
+        for (hid, host, _), group in by_host.items():
             names = _site(host)
             parsed = [lines_of(r["text"], names) for r in group]
-            local = host_contents(parsed)
             for r, lines in zip(group, parsed, strict=True):
                 describe(lines, anchors_of(r["links"], host), entries)
-                got = keep_lines(lines, r["title"], known, local, r["status"])
+            found = host_contents(parsed) if group[0]["whole"] else recurring[hid]
+            for r, lines in zip(group, parsed, strict=True):
+                got = keep_lines(lines, r["title"], styles, found, r["status"], local[hid])
                 ids += [r["page_id"]] * len(got)
                 nos += got
         return pa.table({"page_id": pa.array(ids, pa.int64()), "line_no": pa.array(nos, pa.int32())})
 
-    out = spread.groupBy("task").applyInArrow(run, "page_id long, line_no int")
+    out = spread.repartition(n, "task").groupBy("task").cogroup(own.repartition(n, "task").groupBy("task")).applyInArrow(run, "page_id long, line_no int")
     return out.distinct()
