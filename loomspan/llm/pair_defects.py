@@ -1,13 +1,13 @@
 """Broken prompt and response pairs: a multi-label linear classifier.
 
-Features are hashed word n-grams (beginning, end and whole of the response) and
+Features are hashed word n-grams (the end and the whole of the response) and
 pair features in buckets: how many of the names and numbers of the source, and
 of its last sentence, the response repeats; how much of its other wording is the
 source's; the share of its text in the target language; length against what is
 usual between the two languages; how it ends. One logistic regression per
 defect is trained on a bounded sample of pairs (``sample_rows``, the rows of
 the smallest hashes) that agree with themselves, and on defects made from
-them: placeholders, refusals, copies, responses asked for in another language,
+them: placeholders, refusals composed from a grammar (``refusals``), copies, responses asked for in another language,
 and cut responses; harmless variants stay negative. Thresholds are those of the
 best F1 on a held-out fifth. The languages are told apart by a softmax on word
 and character n-grams, trained on the same sample. Every row is scored.
@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.refusals import refusal
+
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 DIM = 1 << 17
 LID_DIM = 1 << 16
@@ -37,15 +39,6 @@ LID_DIM = 1 << 16
 # What stands for a missing response.
 PLACEHOLDERS = ("", " ", "\n", " ", "​", "-", "--", "—", ".", "...", "…", '""', "''", "[]", "{}", "()", "N/A", "n/a", "None", "none", "null", "NULL", "nil", "NaN", "undefined", "(empty)", "[empty]", "<empty>", "(none)", "[no output]", "no output", "[no translation]", "(no translation)", "TODO", "TBD", "???", "```\n```", "<p></p>", "<br>", "<br/>", "<div></div>", "Translation:", "Traduction :", "Übersetzung:", "Traducción:", "翻译：", "译文：", "(leer)", "(vide)", "(vacío)", "无", "空")
 LABELS = ("Translation: ", "Traduction : ", "Übersetzung: ", "Traducción: ", "翻译：", "译文：", "Here is the translation: ", "Output: ", "Answer: ", "> ", "- ")
-# Ways to decline, by language. {x} is a name from the source.
-REFUSALS = (
-    "I'm sorry, but I can't translate this text.", "I cannot help with that request.", "I can't assist with this.", "Apologies, I must decline to translate this.", "As an assistant I am not able to provide a translation of {x}.", "Unfortunately this content can't be translated.", "I won't be able to do this one. Please rephrase your request about {x}.", "My guidelines don't allow me to translate the passage on {x}.", "I am unable to comply with this request.", "As an AI language model, I cannot translate {x}.", "I must refuse.", "This request goes against my policy.", "Sorry, I can't do that.", "I'd rather not translate this. Please rephrase.", "Reason: policy 12.",
-    "Es tut mir leid, aber ich kann diesen Text nicht übersetzen.", "Dabei kann ich leider nicht helfen.", "Diese Anfrage muss ich ablehnen.", "Als Assistent ist es mir nicht möglich, den Abschnitt zu {x} zu übersetzen.", "Ich darf diesen Inhalt nicht übertragen. Bitte formulieren Sie die Anfrage um.", "Leider darf ich diesen Text nicht übersetzen.", "Meine Richtlinien erlauben mir nicht, {x} zu übersetzen.", "Ich möchte das lieber nicht übersetzen.", "Grund: Regel 12.",
-    "Je suis désolé, mais je ne peux pas traduire ce texte.", "Je ne peux pas répondre à cette demande.", "En tant qu'assistant, il m'est impossible de traduire le passage sur {x}.", "Je préfère ne pas traduire cela. Merci de reformuler.", "Je dois refuser cette demande.", "Malheureusement, ce contenu ne peut pas être traduit.", "Mes règles ne me permettent pas de traduire {x}.", "Je ne suis pas autorisé à traduire ce contenu.", "Motif : règle 12.",
-    "Lo siento, pero no puedo traducir este texto.", "No puedo ayudar con esa solicitud.", "Debo rechazar esta petición. Por favor, reformúlala.", "Como asistente no me es posible traducir el pasaje sobre {x}.", "Lamentablemente no estoy autorizado a traducir este contenido.", "Mis normas no me permiten traducir {x}.", "Prefiero no traducir esto.", "Motivo: norma 12.",
-    "抱歉，我无法翻译这段文字。", "我不能协助完成该请求。", "作为助手，我无法提供关于{x}的翻译。", "抱歉，这项内容我不便翻译，请换一种说法。", "对不起，我必须拒绝这个请求。", "根据规定，我不能翻译该内容。", "原因：规定12。",
-)
-
 STOPS = ".!?。！？"
 
 _TOKEN = re.compile(r"https?://\S+|[\w][\w.@/-]*[\w]|\w", re.UNICODE)
@@ -96,6 +89,7 @@ class Languages:
         self.names = names
         self.w = np.zeros((LID_DIM, max(1, len(names))), np.float32)
         self._seen: dict[str, list[int]] = {}
+        self._sums: dict[str, tuple[np.ndarray, int]] = {}
 
     def features(self, words: list[str]) -> np.ndarray:
         ids: list[int] = []
@@ -108,9 +102,22 @@ class Languages:
             ids += got
         return np.array(ids, np.int64)
 
+    def _logits(self, words: list[str]) -> np.ndarray:
+        """Sums of each word's weights, which are looked up once a word."""
+        total, n = np.zeros(self.w.shape[1], np.float32), 0
+        for w in words:
+            got = self._sums.get(w)
+            if got is None:
+                ids = self.features([w])
+                if len(self._sums) > 200_000:
+                    self._sums.clear()
+                got = self._sums[w] = (self.w[ids].sum(axis=0), len(ids))
+            total += got[0]
+            n += got[1]
+        return total / max(1.0, n**0.5)
+
     def scores(self, words: list[str]) -> np.ndarray:
-        ids = self.features(words)
-        s = self.w[ids].sum(axis=0) / max(1.0, len(ids) ** 0.5) if len(ids) else np.zeros(len(self.names))
+        s = self._logits(words)
         e = np.exp(s - s.max())
         return e / e.sum()
 
@@ -132,15 +139,17 @@ class Languages:
                 u = np.unique(ids)
                 grad2[u] += g * g
                 self.w[u] -= 0.5 * g / np.sqrt(grad2[u])
+        self._sums.clear()
 
     def best(self, words: list[str]) -> str | None:
-        return self.names[int(np.argmax(self.scores(words)))] if words and self.names else None
+        return self.names[int(np.argmax(self._logits(words)))] if words and self.names else None
 
 
 class Model:
     def __init__(self, langs: Languages, vocab: set[str]):
         self.langs, self.vocab = langs, vocab
         self._names: dict[str, bool] = {}
+        self._buckets: dict[str, int] = {}
         self._source: tuple | None = None
         self.ratio: dict[tuple[str | None, str | None], tuple[float, float]] = {}
         self.w = np.zeros((DIM, len(DEFECTS)), np.float32)
@@ -162,29 +171,33 @@ class Model:
         s, o = source or "", output or ""
         if self._source is None or self._source[0] != s:
             # Pairs of one source come in a row where defects are made from it.
-            sw = tokens(_FENCE.sub(" ", s))
-            plain = [t for t in sw if not self.is_name(t)]
+            every = tokens(s)
+            plain = [t for t in (tokens(_FENCE.sub(" ", s)) if "```" in s else every) if not self.is_name(t)]
             parts = sentences(s)
             last = [t for t in tokens(parts[-1]) if self.is_name(t)] if parts else []
-            self._source = (s, plain, [t for t in tokens(s) if self.is_name(t)], parts, last, self.langs.best(plain), Counter(plain))
+            self._source = (s, plain, [t for t in every if self.is_name(t)], parts, last, self.langs.best(plain), Counter(plain))
         _, s_plain, names, parts, last, src, s_count = self._source
-        o_bare = _TAG.sub(" ", o)
-        ow = tokens(_FENCE.sub(" ", o_bare))
+        o_bare = _TAG.sub(" ", o) if "<" in o else o
+        fenced = "```" in o_bare
+        # Words never run over the end of a sentence, so those of the sentences are all.
+        o_parts = sentences(_FENCE.sub(" ", o_bare) if fenced else o_bare)
+        by_part = [tokens(p) for p in o_parts]
+        ow = [t for w in by_part for t in w]
         o_plain = [t for t in ow if not self.is_name(t)]
-        have = set(tokens(o_bare))
+        have = set(tokens(o_bare)) if fenced else set(ow)
         joined = o.lower()
         found = [n for n in names if n in have or (len(n) > 3 and n in joined)]
         last_found = [n for n in last if n in have or (len(n) > 3 and n in joined)]
-        common = sum((Counter(o_plain) & s_count).values())
+        common = sum(min(c, s_count[t]) for t, c in Counter(o_plain).items() if t in s_count)
         share, total = 0.0, 0
-        o_parts = sentences(_FENCE.sub(" ", o_bare))
-        for p in o_parts:
-            w = [t for t in tokens(p) if not self.is_name(t)]
-            n = sum(map(len, w)) if w else 0
+        known = target in self.langs.names
+        for w in by_part:
+            w = [t for t in w if not self.is_name(t)]
+            n = sum(map(len, w))
             if n and self.langs.names:
                 k = 3 if _CJK.match(w[0]) else 1
                 total += n * k
-                if target not in self.langs.names or self.langs.best(w) == target:
+                if not known or self.langs.best(w) == target:
                     share += n * k
         return {
             "words": len(ow), "name": len(names), "recall": len(found) / len(names) if names else 1.0,
@@ -227,24 +240,48 @@ class Model:
         if nothing and p["same"]:
             f.append("rightly same")
         ow = ["#" if self.is_name(t) else t for t in p["ow"]]
-        if p["recall"] < 0.5:
-            for i in range(min(24, len(ow))):
-                f.append(f"u {ow[i]}")
-                f.append(f"b {' '.join(ow[i : i + 2])}")
+        # Whether the names come back decides what the wording says, so n-grams are told apart by it.
+        gate = "b" if p["name"] and p["recall"] >= 0.5 else "u"
+        f += [f"{gate} {w}" for w in set(ow)]
+        f += [f"{gate}{gate} {a} {b}" for a, b in set(zip(ow, ow[1:], strict=False))]
         for k in (1, 2, 3):
             if len(ow) >= k:
                 f.append(f"e{k} {'s' if stop else 'n'}{whole_end} {' '.join(ow[-k:])}")
-        return np.array([_bucket(x, DIM) for x in f], np.int64)
+        return np.array([self.bucket(x) for x in f], np.int64)
+
+    def bucket(self, feature: str) -> int:
+        b = self._buckets.get(feature)
+        if b is None:
+            if len(self._buckets) > 500_000:
+                self._buckets.clear()
+            b = self._buckets[feature] = _bucket(feature, DIM)
+        return b
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.w[ids].sum(axis=0) + self.bias)))
 
+    def defects(self, sources: list[str | None], outputs: list[str | None], targets: list[str | None]) -> list[str | None]:
+        """The defect of each pair of a batch; all weights are summed at once."""
+        out: list[str | None] = [None] * len(outputs)
+        rows, ids = [], []
+        for i, (s, o, t) in enumerate(zip(sources, outputs, targets, strict=True)):
+            p = self.pair(s, o, t)
+            if p["words"] == 0 and not p["same"]:
+                out[i] = "empty"  # by definition: blanks, markup or punctuation only
+            else:
+                rows.append(i)
+                ids.append(self.features(p))
+        if rows:
+            at = np.cumsum([0] + [len(x) for x in ids[:-1]])
+            score = np.add.reduceat(self.w[np.concatenate(ids)], at, axis=0) + self.bias
+            hit = 1 / (1 + np.exp(-score)) >= self.threshold
+            for i, any_, first in zip(rows, hit.any(axis=1).tolist(), hit.argmax(axis=1).tolist(), strict=True):
+                if any_:
+                    out[i] = DEFECTS[first]
+        return out
+
     def defect(self, source: str | None, output: str | None, target: str | None) -> str | None:
-        p = self.pair(source, output, target)
-        if p["words"] == 0 and not p["same"]:
-            return "empty"  # by definition: blanks, markup or punctuation only
-        hit = self.probabilities(self.features(p)) >= self.threshold
-        return next((d for d, h in zip(DEFECTS, hit, strict=True) if h), None)
+        return self.defects([source], [output], [target])[0]
 
 
 def corrupt(rng: random.Random, s: str, o: str, t: str, others: list[str], names: list[str]) -> list[tuple[str, str, str, str | None]]:
@@ -257,9 +294,9 @@ def corrupt(rng: random.Random, s: str, o: str, t: str, others: list[str], names
         out.append((s, o.rstrip()[:-1], t, None))
     out.append((s, rng.choice(PLACEHOLDERS), t, "empty"))
     for _ in range(2):
-        r = rng.choice(REFUSALS).format(x=rng.choice(names) if names else "this")
+        r = refusal(rng, rng.choice(names) if names else "this")
         if rng.random() < 0.35:
-            r += rng.choice([" ", "\n\n"]) + rng.choice(REFUSALS).format(x=rng.choice(names) if names else "this")
+            r += rng.choice([" ", "\n\n"]) + refusal(rng, rng.choice(names) if names else "this")
         r = rng.choice(["{}", "{}", "{}", "> {}", '"{}"']).format(r.upper() if rng.random() < 0.1 else r)
         out.append((s, r, t, "refusal"))
     words = s.split(" ")
@@ -311,6 +348,7 @@ def fit(rows: list[tuple[str, str, str]], seed: int = 3) -> Model:
         if not data:
             break
         langs.w[:] = 0
+        langs._sums.clear()
         langs.train([d for d, _ in data], [y for _, y in data])
         if turn == 0:
             data = [(d, y) for d, y in data if int(np.argmax(langs.scores(d))) == y] or data
@@ -366,7 +404,7 @@ def fit(rows: list[tuple[str, str, str]], seed: int = 3) -> Model:
             f1 = [2 * ((p[:, d] >= th) & true).sum() / max(1, (p[:, d] >= th).sum() + true.sum()) for th in grid]
             # The middle of all thresholds that are as good as the best.
             model.threshold[d] = float(np.mean(grid[np.array(f1) >= max(f1) - 1e-3]))
-    langs._seen, model._names, model._source = {}, {}, None
+    langs._seen, langs._sums, model._names, model._buckets, model._source = {}, {}, {}, {}, None
     return model
 
 
@@ -381,7 +419,8 @@ def find(pairs: DataFrame, sample_rows: int = 4000) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            found = [m.defect(s, o, language(t)) for s, o, t in zip(*(b.column(c).to_pylist() for c in ("source", "output", "target")), strict=True)]
+            sources, outputs, targets = (b.column(c).to_pylist() for c in ("source", "output", "target"))
+            found = m.defects(sources, outputs, [language(t) for t in targets])
             keep = pa.array([i for i, f in enumerate(found) if f], pa.int64())
             yield pa.record_batch([b.column("id").take(keep), pa.array([f for f in found if f], pa.string())], names=["id", "defect"])
 
