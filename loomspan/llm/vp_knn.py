@@ -4,11 +4,14 @@ Vectors are scaled to unit length; the distance is the chord, a metric with
 cosine = 1 - d^2 / 2. Three levels:
 
 * equal vectors (to six decimals) are one representative; a representative
-  keeps the k + 1 smallest ids of its copies, which is all a list of k can use;
-* per space, a routing tree fitted on a bounded sample (``sample_rows``) cuts
-  the space into shards of about ``shard_rows`` vectors. Every vector is
-  indexed in exactly one shard and asks every shard that the relaxed triangle
-  inequality does not exclude;
+  keeps the k + 1 smallest ids of its copies, which is all a list of k can use.
+  Until the lists are named it goes by a 64-bit hash of space and vector;
+* per space, a routing tree cuts the space into shards of about ``shard_rows``
+  vectors. It is fitted on a bounded sample: ``LEAF_SAMPLE`` vectors a shard, at
+  least ``sample_rows`` and at most ``SAMPLE_MOST``, which is enough for 537
+  million vectors a space; beyond that shards grow. Every vector is indexed in
+  exactly one shard and asks every shard that the relaxed triangle inequality
+  does not exclude; its own it asks with the row by which it is indexed;
 * in each shard a vantage-point tree with leaves of ``leaf_rows`` vectors. All
   queries of a shard descend together; a leaf is one matrix product.
 
@@ -26,6 +29,7 @@ smaller id; cosines are compared to six decimals. Extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -38,6 +42,9 @@ from loomspan.llm import chars
 from loomspan.session import cut
 
 DIGITS = 6
+LEAF_SAMPLE = 8  # sample vectors a shard
+SAMPLE_MOST = 1 << 18
+POINT, QUERY = 1, 2  # what a routed row is; 3 is both
 
 
 @dataclass
@@ -61,10 +68,9 @@ def build(x: np.ndarray, max_leaves: int, leaf_rows: int, rng: np.random.Generat
     is taken. Vectors that no distance separates stay in one leaf.
     """
     nodes = [Node(rows=np.arange(len(x)))]
-    todo, leaves = [0], 1
+    todo, leaves = [(-len(x), 0)], 1
     while todo:
-        todo.sort(key=lambda i: len(nodes[i].rows))
-        at = todo.pop()
+        at = heapq.heappop(todo)[1]
         rows = nodes[at].rows
         if leaves >= max_leaves or len(rows) <= leaf_rows:
             continue
@@ -80,7 +86,8 @@ def build(x: np.ndarray, max_leaves: int, leaf_rows: int, rng: np.random.Generat
             continue
         nodes[at] = Node(v, radius, len(nodes), len(nodes) + 1)
         nodes += [Node(rows=rows[inside]), Node(rows=rows[~inside])]
-        todo += [len(nodes) - 2, len(nodes) - 1]
+        for i in (len(nodes) - 2, len(nodes) - 1):
+            heapq.heappush(todo, (-len(nodes[i].rows), i))
         leaves += 1
     for i, n in enumerate(x for x in nodes if x.rows is not None):
         n.leaf = i
@@ -206,6 +213,19 @@ def _rows_of(col) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1) if raw else np.empty((0, 1), np.float32)
 
 
+def sample_size(shards: int, sample_rows: int) -> int:
+    """Sample vectors for a routing tree of so many shards."""
+    return min(max(sample_rows, LEAF_SAMPLE * shards), max(sample_rows, SAMPLE_MOST))
+
+
+def router(sample: np.ndarray, shards: int) -> list[Node]:
+    """The routing tree of a space: as many leaves as shards, without the sample itself."""
+    nodes = build(sample, shards, LEAF_SAMPLE // 2, np.random.default_rng(11))
+    for n in nodes:
+        n.rows = None
+    return nodes
+
+
 def neighbour_lists(records: DataFrame, k: int = 10, min_similarity: float | None = None, factor: float = 0.25, shard_rows: int = 16384, leaf_rows: int = 128, sample_rows: int = 4096, query_rows: int = 65536) -> DataFrame:
     """space_id, cid, neighbours: array<struct<cosine, cid>> of at most k, best first.
 
@@ -216,34 +236,35 @@ def neighbour_lists(records: DataFrame, k: int = 10, min_similarity: float | Non
     spark = records.sparkSession
     # Unknown how near the k-th is, the search starts from everything.
     floor = -1.0 if min_similarity is None else float(min_similarity) - 2 * 10**-DIGITS
-    base = records.select("space_id", "cid", "dim", "embedding").filter("cid is not null and space_id is not null")
-    base = base.mapInArrow(_units, "space_id string, cid string, same long, unit binary")
-    base = cut(base.groupBy("space_id", "cid").agg(F.min(F.struct("same", "unit")).alias("v")).select("space_id", "cid", "v.same", "v.unit"))
-    members = base.select("space_id", "cid", "same")
-    reps = base.groupBy("space_id", "same").agg(F.min(F.struct("cid", "unit")).alias("v")).select("space_id", F.col("v.cid").alias("rep"), "v.unit")
-
-    # One row per space; the sample is a fixed number of vectors of each.
+    usable = records.select("space_id", "cid", "dim", "embedding").filter("cid is not null and space_id is not null").mapInArrow(_units, "space_id string, cid string, same long, unit binary")
+    # Ids and vectors are made unique apart, so that vectors are shuffled once.
+    members = cut(usable.groupBy("space_id", "cid").agg(F.min("same").alias("same")).select("space_id", "cid", "same", F.xxhash64("space_id", "same").alias("vid")))
+    names = members.groupBy("space_id", "same").agg(F.min("cid").alias("rep"))
+    units = usable.groupBy("space_id", "same").agg(F.min("unit").alias("unit"))
+    reps = cut(units.join(names, ["space_id", "same"]).select("space_id", F.xxhash64("space_id", "same").alias("vid"), "rep", "unit"))
+
+    # One row per space; the sample is a bounded number of vectors of each.
     sizes = {r["space_id"]: r["n"] for r in reps.groupBy("space_id").agg(F.count("*").alias("n")).collect()}
     routers, near = {}, {}
-    large = [s for s, n in sizes.items() if n > shard_rows]
-    if large:
-        w = Window.partitionBy("space_id").orderBy(F.xxhash64("rep"), "rep")
-        some = reps.filter(F.col("space_id").isin(large)).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample_rows)
+    shards = {s: math.ceil(n / shard_rows) for s, n in sizes.items() if n > shard_rows}
+    if shards:
+        w = Window.partitionBy("space_id").orderBy(F.xxhash64("vid"), "vid")
+        most = F.element_at(F.create_map(*(F.lit(v) for s, n in shards.items() for v in (s, sample_size(n, sample_rows)))), F.col("space_id"))
+        some = reps.filter(F.col("space_id").isin(list(shards))).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(sample_size(n, sample_rows) for n in shards.values()))
         sample: dict[str, list[bytes]] = {}
-        for r in some.select("space_id", "unit").collect():
+        for r in some.filter(F.col("r") <= most).select("space_id", "unit").collect():
             sample.setdefault(r["space_id"], []).append(r["unit"])
         for s, raw in sample.items():
             x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
-            routers[s] = build(x, math.ceil(sizes[s] / shard_rows), 8, np.random.default_rng(11))
-            for n in routers[s]:
-                n.rows = None
+            routers[s] = router(x, shards[s])
             # Without a least similarity the shards are chosen by the k-th distance in the sample.
             kth = np.sort(chord(x[:256] @ x.T), axis=1)[:, min(k, len(x) - 1)]
             near[s] = 2.0 if factor >= 1 else float(np.quantile(kth, 0.95))
     # Queries of one shard are cut into blocks, each of which sees all the shard's points.
     blocks = {s: max(1, math.ceil(n / query_rows)) for s, n in sizes.items()}
     for s, nodes in routers.items():
-        tau = np.full(len(x := np.frombuffer(b"".join(sample[s]), np.float32).reshape(len(sample[s]), -1)), _first_tau(floor, min_similarity, near[s]))
+        x = np.frombuffer(b"".join(sample[s][:sample_rows]), np.float32).reshape(min(len(sample[s]), sample_rows), -1)
+        tau = np.full(len(x), _first_tau(floor, min_similarity, near[s]))
         asked = sum(len(idx) for _, idx in reach(nodes, x, lambda tau=tau: tau, factor)) / len(x)
         blocks[s] = max(1, math.ceil(sizes[s] * asked / sum(n.leaf >= 0 for n in nodes) / query_rows))
     plan = spark.sparkContext.broadcast((routers, blocks, near))
@@ -258,58 +279,60 @@ def neighbour_lists(records: DataFrame, k: int = 10, min_similarity: float | Non
                 if s in trees:
                     mine = home(trees[s], q)
                     tau = np.full(len(q), _first_tau(floor, min_similarity, near[s]))
-                    asks = [(n.leaf, idx) for n, idx in reach(trees[s], q, lambda tau=tau: tau, factor)]
+                    asks = [(n.leaf, idx[mine[idx] != n.leaf]) for n, idx in reach(trees[s], q, lambda tau=tau: tau, factor)]
                 else:
-                    mine, asks = np.zeros(len(q), np.int64), [(0, np.arange(len(q)))]
+                    mine, asks = np.zeros(len(q), np.int64), []
+                block = (chars.mix(np.arange(len(q), dtype=np.uint64) + np.uint64(len(q))) % np.uint64(blocks[s])).astype(np.int64)
                 for b in range(blocks[s]):
-                    yield _routed(batch, rows, mine, b, False)
-                spread = chars.mix(np.arange(len(q), dtype=np.uint64) + np.uint64(len(q)))
+                    yield _routed(batch, rows, mine, np.full(len(rows), b), np.where(block == b, POINT | QUERY, POINT))
                 for leaf, idx in asks:
-                    yield _routed(batch, rows[idx], np.full(len(idx), leaf), (spread[idx] % np.uint64(blocks[s])).astype(np.int64), True)
+                    if len(idx):
+                        yield _routed(batch, rows[idx], np.full(len(idx), leaf), block[idx], np.full(len(idx), QUERY))
 
-    def _routed(batch, rows, shard, block, asks):
-        n = len(rows)
+    def _routed(batch, rows, shard, block, part):
         take = pa.array(rows)
+        # Only points are named: their order decides ties.
+        rep = pa.compute.if_else(pa.array(part != QUERY), batch.column("rep").take(take), None)
         return pa.record_batch(
-            [batch.column("space_id").take(take), batch.column("rep").take(take), batch.column("unit").take(take), pa.array(shard, pa.int64()), pa.array(np.broadcast_to(block, n), pa.int64()), pa.array(np.full(n, asks))],
-            names=["space_id", "rep", "unit", "shard", "block", "asks"],
+            [batch.column("space_id").take(take), batch.column("vid").take(take), rep, batch.column("unit").take(take), pa.array(shard, pa.int64()), pa.array(block, pa.int64()), pa.array(part, pa.int32())],
+            names=["space_id", "vid", "rep", "unit", "shard", "block", "part"],
         )
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        asks = t.column("asks").to_numpy()
-        points, queries = t.filter(pa.array(~asks)).sort_by("rep"), t.filter(pa.array(asks))
-        empty = {"space_id": pa.array([], pa.string()), "rep": pa.array([], pa.string()), "near": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())}
+        part = t.column("part").to_numpy()
+        points, queries = t.filter(pa.array(part & POINT > 0)).sort_by("rep"), t.filter(pa.array(part & QUERY > 0))
         if not len(points) or not len(queries):
-            return pa.table(empty)
+            return pa.table({"vid": pa.array([], pa.int64()), "near": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
         x, q = _rows_of(points.column("unit")), _rows_of(queries.column("unit"))
-        names = points.column("rep").to_pylist()
-        at = {n: i for i, n in enumerate(names)}
-        own = np.array([at.get(r, -1) for r in queries.column("rep").to_pylist()])
+        ids, asking = points.column("vid").to_numpy(), queries.column("vid").to_numpy()
+        order = np.argsort(ids)
+        at = np.minimum(np.searchsorted(ids, asking, sorter=order), len(ids) - 1)
+        own = np.where(ids[order[at]] == asking, order[at], -1)
         cos, row = search(x, q, own, k, floor, factor, leaf_rows)
         i, j = np.nonzero(cos > -1.5)
         to = row[i, j]
         exact = np.round(np.einsum("ij,ij->i", q[i].astype(np.float64), x[to].astype(np.float64)), DIGITS)
-        return pa.table({"space_id": queries.column("space_id").take(pa.array(i)), "rep": queries.column("rep").take(pa.array(i)), "near": points.column("rep").take(pa.array(to)), "cosine": pa.array(exact)})
+        return pa.table({"vid": pa.array(asking[i]), "near": pa.array(ids[to]), "cosine": pa.array(exact)})
 
-    routed = reps.mapInArrow(route, "space_id string, rep string, unit binary, shard long, block long, asks boolean")
-    found = cut(routed.groupBy("space_id", "shard", "block").applyInArrow(answer, "space_id string, rep string, near string, cosine double"))
+    routed = reps.mapInArrow(route, "space_id string, vid long, rep string, unit binary, shard long, block long, part int")
+    found = cut(routed.groupBy("space_id", "shard", "block").applyInArrow(answer, "vid long, near long, cosine double"))
     if min_similarity is not None:
         found = found.filter(F.col("cosine") >= min_similarity)
-    both = found.union(found.select("space_id", F.col("near").alias("rep"), F.col("rep").alias("near"), "cosine")).distinct()
-    # The limit on a row number is applied before the shuffle as well, so a hub costs k rows per task.
-    w = Window.partitionBy("space_id", "rep").orderBy(F.desc("cosine"), "near")
-    both = both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
-
-    rep_of = members.groupBy("space_id", "same").agg(F.min("cid").alias("rep"))
-    w = Window.partitionBy("space_id", "same").orderBy("cid")
-    firsts = members.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).join(rep_of, ["space_id", "same"]).select("space_id", "rep", "cid")
-    theirs = both.join(firsts.withColumnRenamed("rep", "near"), ["space_id", "near"]).select("space_id", "rep", "cosine", "cid")
-    listed = theirs.union(firsts.select("space_id", "rep", F.lit(1.0).alias("cosine"), "cid"))
-    w = Window.partitionBy("space_id", "rep").orderBy(F.desc("cosine"), "cid")
+    both = found.union(found.select(F.col("near").alias("vid"), F.col("vid").alias("near"), "cosine"))
+    # The limit on the rank is applied before the shuffle as well, so a hub costs about k rows a task; ties stay
+    # in until they have names. A pair found from both sides is there twice, which the limit has to allow for.
+    w = Window.partitionBy("vid").orderBy(F.desc("cosine"))
+    both = both.withColumn("r", F.rank().over(w)).filter(F.col("r") <= 2 * k).select("vid", "near", "cosine").distinct()
+
+    w = Window.partitionBy("vid").orderBy("cid")
+    firsts = members.select("vid", "cid").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).drop("r")
+    theirs = both.join(firsts.withColumnRenamed("vid", "near"), "near").select("vid", "cosine", "cid")
+    listed = theirs.union(firsts.select("vid", F.lit(1.0).alias("cosine"), "cid"))
+    w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "cid")
     listed = listed.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
-    lists = listed.groupBy("space_id", "rep").agg(F.array_sort(F.collect_list(F.struct("r", "cosine", "cid"))).alias("all"))
-    out = members.join(rep_of, ["space_id", "same"]).join(lists, ["space_id", "rep"])
+    lists = listed.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("r", "cosine", "cid"))).alias("all"))
+    out = members.select("space_id", "cid", "vid").join(lists, "vid")
     others = F.slice(F.filter("all", lambda x: x["cid"] != F.col("cid")), 1, k)
     return out.select("space_id", "cid", F.transform(others, lambda x: F.struct(x["cosine"].alias("cosine"), x["cid"].alias("cid"))).alias("neighbours")).filter(F.size("neighbours") > 0)
 

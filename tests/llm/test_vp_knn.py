@@ -86,3 +86,19 @@ def test_every_usable_record_gets_its_neighbours(spark):
             asked += len(best)
             found += sum(x >= best[-1] - 2e-6 for x in mine)
     assert asked and found / asked >= 0.9
+
+
+def test_shards_stay_bounded_in_a_large_space():
+    rng = np.random.default_rng(5)
+    n, shard_rows = 100_000_000, 16384
+    shards = -(-n // shard_rows)
+    size = vp_knn.sample_size(shards, 4096)
+    x = rng.normal(size=(size, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = vp_knn.router(x, shards)
+    leaves = sum(m.leaf >= 0 for m in nodes)
+    fresh = rng.normal(size=(200_000, 16)).astype(np.float32)
+    fresh /= np.linalg.norm(fresh, axis=1, keepdims=True)
+    rows = np.bincount(vp_knn.home(nodes, fresh), minlength=leaves) * (n / len(fresh))
+    assert leaves >= 0.99 * shards and np.quantile(rows, 0.99) <= 5 * shard_rows
+    assert vp_knn.sample_size(1 << 30, 4096) == vp_knn.SAMPLE_MOST
