@@ -36,6 +36,12 @@ def sentence_groups(text: Column, per: int = 3) -> Column:
 STRATEGIES = {"sliding_window": windows, "regex": regex_pieces, "sentence": sentence_groups}
 
 
+def register(name: str, make) -> None:
+    """Adds a strategy, a function column -> array of texts (E2). Doing so twice is fine, another one of a known name is an error."""
+    if STRATEGIES.setdefault(name, make) is not make:
+        raise ValueError(f"{name!r} is another strategy already")
+
+
 def strategy(name: str):
     """A chunking strategy by name (C4)."""
     if name not in STRATEGIES:

@@ -123,13 +123,27 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return r.select("id", F.when(kk >= 2, F.round(c / (kk * (kk - 1)), 6)).otherwise(0.0).alias("clustering"))
 
 
+#: Graphs that one task takes whole; larger ones are an error.
+MOST_VERTICES = 1 << 18
+
+
+def _small(rows: DataFrame, what: str, most: int = MOST_VERTICES) -> None:
+    """An error for a table that is too large for one task; no more than one row over the bound is counted."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"{what} takes the whole graph in each task and is limited to {most} rows here")
+
+
 def betweenness(vertices: DataFrame, edges: DataFrame, sources: int | None = None) -> DataFrame:
     """id, betweenness (G7): Brandes' accumulation, parallel over source vertices.
 
     Every vertex is a source unless ``sources`` takes only the first ones by
     id. Parallel edges are paths of their own. The whole graph goes to each
-    task as arrays, so it is for graphs declared small (thousands of vertices).
+    task as arrays, so it is for graphs of at most ``MOST_VERTICES`` vertices;
+    a larger one is an error.
     """
+    _small(vertices, "betweenness")
+    _small(edges, "betweenness", 40 * MOST_VERTICES)
     ids = [r["id"] for r in vertices.select("id").distinct().orderBy("id").collect()]
     n = len(ids)
     at = {v: i for i, v in enumerate(ids)}
@@ -257,6 +271,7 @@ def centrality(tensor: DataFrame, vertices: DataFrame, weights: dict[str, float]
     """
     pairs = F.create_map(*(x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))))
     m = tensor.groupBy("i", "j").agg(F.sum(F.col("v") * F.element_at(pairs, F.col("relation"))).alias("v"))
+    _small(vertices, "centrality")
     rows = vertices.select(F.col("id").alias("i"), F.lit(None).cast(dict(vertices.dtypes)["id"]).alias("j"), F.lit(0.0).alias("v")).union(m.select("i", "j", "v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -306,3 +321,44 @@ def schema_of(edges: DataFrame, kinds: DataFrame) -> DataFrame:
     many, manys = F.col("per_src") > 1.1, F.col("per_dst") > 1.1
     card = F.when(many & manys, "N:M").when(many, "1:N").when(manys, "N:1").otherwise("1:1")
     return s.join(t, keys).select(*keys, "edges", card.alias("cardinality"))
+
+
+def complexity(vertices: DataFrame, edges: DataFrame, rank: DataFrame | None = None, closeness: DataFrame | None = None) -> DataFrame:
+    """complexity and its parts, one row (G12): coupling, spread of rank, tightness, orphans, instability."""
+    rank = pagerank(vertices, edges) if rank is None else rank
+    closeness = clustering(vertices, edges) if closeness is None else closeness
+    d = degrees(vertices, edges).agg(F.avg(F.col("orphan").cast("double")).alias("orphan_ratio"), F.avg("instability").alias("instability_mean"))
+    one = density(vertices, edges).select("density").transform(beside, d)
+    one = one.transform(beside, rank.agg(F.var_pop("rank").alias("rank_variance"))).transform(beside, closeness.agg(F.avg("clustering").alias("clustering_mean")))
+    c = F.coalesce
+    zero = F.lit(0.0)
+    total = c("density", zero) * 0.25 + c("rank_variance", zero) * 100 * 0.25 + c("clustering_mean", zero) * 0.20 + c("orphan_ratio", zero) * 0.15 + c("instability_mean", zero) * 0.15
+    return one.select(F.round(total, 6).alias("complexity"), "density", *(F.round(c(x, zero), 6).alias(x) for x in ("rank_variance", "clustering_mean", "orphan_ratio", "instability_mean")))
+
+
+def standing_out(vertices: DataFrame, edges: DataFrame, cycle_kind: str, between: DataFrame | None = None, closeness: DataFrame | None = None) -> DataFrame:
+    """pattern, id of vertices that stand out (G13): in cycles, hubs, orphans, unstable, gatekeepers, tightly coupled."""
+    d = degrees(vertices, edges)
+    means = d.agg(F.avg("in_degree").alias("mean_in"), F.avg("out_degree").alias("mean_out"))
+    flags = d.transform(beside, means)
+    named = {
+        "hub": (F.col("in_degree") > 3 * F.col("mean_in")) | (F.col("out_degree") > 3 * F.col("mean_out")),
+        "orphan": F.col("orphan"),
+        "unstable": F.col("instability") > 0.8,
+    }
+    out = flags.select("id", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named.items())), lambda x: x.isNotNull())).alias("pattern"))
+    if between is not None:
+        out = out.union(between.filter("betweenness > 0.1").select("id", F.lit("gatekeeper")))
+    closeness = clustering(vertices, edges) if closeness is None else closeness
+    out = out.union(closeness.filter("clustering > 0.5").select("id", F.lit("tight")))
+    strong = components(edges.filter(F.col("kind") == cycle_kind))
+    large = strong.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    out = out.union(strong.join(large, "component").select("id", F.lit("cycle")))
+    return out.select("pattern", "id")
+
+
+def long_chains(edges: DataFrame, starts: DataFrame, least: int = 7, depth: int = 10) -> DataFrame:
+    """src, dst, vertices: ends whose shortest path has at least ``least`` vertices, from given starts among themselves."""
+    hops = reach(edges, starts, depth)
+    ends = hops.join(starts.select("id"), "id", "left_semi").filter("start < id")
+    return ends.filter(F.col("distance") + 1 >= least).select(F.col("start").alias("src"), F.col("id").alias("dst"), (F.col("distance") + 1).alias("vertices"))

@@ -172,3 +172,18 @@ def spine(calls: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
         at = at.join(first, at.id == first.src).select("start", F.lit(d).alias("depth"), F.col("dst").alias("id"))
         out = out.union(at)
     return out
+
+
+def envelopes(df: DataFrame, kind: str, version: str, payload: str) -> DataFrame:
+    """The rows with kind, version, payload and cid of an artifact (T5); the cid is the content's."""
+    e = df.withColumn("payload", F.col(payload)).withColumn("kind", F.lit(kind)).withColumn("version", F.lit(version))
+    return e.withColumn("cid", _envelope_cid())
+
+
+def _envelope_cid() -> Column:
+    return F.concat("kind", F.lit("-"), F.substring(F.sha2(F.concat_ws("|", "kind", "version", "payload"), 256), 1, 32))
+
+
+def envelope_holds() -> Column:
+    """Whether an envelope is complete and its cid is that of its content (T5)."""
+    return F.coalesce(F.col("cid") == _envelope_cid(), F.lit(False))

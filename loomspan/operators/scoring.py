@@ -160,3 +160,28 @@ def patterns(degrees: DataFrame) -> DataFrame:
     d = degrees.transform(beside, mean)
     name = F.when(F.col("orphan"), "orphan").when(F.col("out_degree") + F.col("in_degree") > 3 * F.col("mean"), "hub").when((F.col("instability") > 0.8) & (F.col("in_degree") >= 3), "unstable")
     return d.select("id", name.alias("pattern")).filter("pattern is not null")
+
+
+def fingerprint(*columns: str) -> Column:
+    """Content id of some columns as canonical JSON, in order of their names."""
+    return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns))), 256), 1, 16)
+
+
+def escalate(arms: list[tuple[Column, Column, float]]) -> tuple[Column, Column]:
+    """(label, rung) of the first arm whose confidence reaches its threshold (E4), null if none does."""
+    label = F.coalesce(*(F.when(c >= t, a) for a, c, t in arms))
+    return label, F.coalesce(*(F.when(c >= t, F.lit(i)) for i, (_, c, t) in enumerate(arms)))
+
+
+def clocked_state(log: DataFrame, key: str, tick: str, window: int, now: Column) -> DataFrame:
+    """key, status of transactions over a logical clock.
+
+    ``log``: key, tick, op (propose, abandon, supersede; others do nothing). A
+    proposal commits ``window`` ticks after its last submission; abandoning works
+    until then only, superseding always. What was never proposed has no status.
+    """
+    at = lambda op: F.max(F.when(F.col("op") == op, F.col(tick)))
+    s = log.groupBy(key).agg(at("propose").alias("p"), at("abandon").alias("a"), F.max(F.col("op") == "supersede").alias("s")).filter("p is not null")
+    due = F.col("p") + window
+    status = F.when(F.col("s"), "superseded").when((F.col("a") > F.col("p")) & (F.col("a") < due), "abandoned").when(now < due, "pending").otherwise("committed")
+    return s.select(key, status.alias("status"))

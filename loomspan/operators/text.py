@@ -85,14 +85,19 @@ def chunk_kind(score: Column) -> Column:
     return F.when(score >= 1.0, "rule").when(score >= 0.6, "fact").otherwise("narrative")
 
 
+def kept_sentences(text: Column, threshold: float = 0.6) -> Column:
+    """Sentences that score or carry a signal; Spark evaluates the same expression of several outputs once."""
+    return F.filter(sentences(text), lambda s: (fact_score(s) >= threshold) | signal(s))
+
+
 def stem_text(text: Column, threshold: float = 0.6) -> Column:
     """Sentences that score or carry a signal, joined by a blank."""
-    return F.array_join(F.filter(sentences(text), lambda s: (fact_score(s) >= threshold) | signal(s)), " ")
+    return F.array_join(kept_sentences(text, threshold), " ")
 
 
 def fact_sentences(text: Column, threshold: float = 0.6) -> Column:
     """The same sentences, each once in order of first sight."""
-    return F.array_distinct(F.filter(sentences(text), lambda s: (fact_score(s) >= threshold) | signal(s)))
+    return F.array_distinct(kept_sentences(text, threshold))
 
 
 def version_bucket(text: Column, as_of: date) -> Column:

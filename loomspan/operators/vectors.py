@@ -74,8 +74,8 @@ def classify(records: DataFrame, key: str, label: str, vector: str) -> DataFrame
     return records.transform(beside, every).select(key, best.alias("b")).select(key, F.col("b.l").alias("nearest"), (-F.col("b.s")).alias("score"))
 
 
-def axes_stress(records: DataFrame, vector: str, k: int = 3) -> DataFrame:
-    """stress: share of the variance outside the first ``k`` principal axes.
+def _covariance(records: DataFrame, vector: str) -> tuple[int, np.ndarray | None, np.ndarray | None]:
+    """(rows, mean, covariance) of vectors of one dimension, null ones left out.
 
     The sums of products are taken per task and added up; what reaches the
     driver is one matrix of the vectors' dimension.
@@ -96,7 +96,7 @@ def axes_stress(records: DataFrame, vector: str, k: int = 3) -> DataFrame:
     i = parts.select("n", F.posexplode("p").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
     total = parts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
     if total == 0:
-        return records.sparkSession.createDataFrame([(0, 0.0)], "n long, stress double")
+        return 0, None, None
     prods = np.zeros(i.count())
     for r in i.collect():
         prods[r["at"]] = r["v"]
@@ -104,9 +104,44 @@ def axes_stress(records: DataFrame, vector: str, k: int = 3) -> DataFrame:
     sums = np.zeros(d)
     for r in parts.select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
         sums[r["at"]] = r["v"]
-    values = np.sort(np.linalg.eigvalsh(prods.reshape(d, d) / total - np.outer(sums, sums) / total**2))[::-1]
+    return int(total), sums / total, prods.reshape(d, d) / total - np.outer(sums, sums) / total**2
+
+
+def axes_stress(records: DataFrame, vector: str, k: int = 3) -> DataFrame:
+    """n, stress: share of the variance outside the first ``k`` principal axes."""
+    n, _, covariance = _covariance(records, vector)
+    if not n:
+        return records.sparkSession.createDataFrame([(0, 0.0)], "n long, stress double")
+    values = np.sort(np.linalg.eigvalsh(covariance))[::-1]
     stress = 1 - values[:k].sum() / max(values.sum(), 1e-300)
-    return records.sparkSession.createDataFrame([(int(total), round(float(stress), 6))], "n long, stress double")
+    return records.sparkSession.createDataFrame([(n, round(float(stress), 6))], "n long, stress double")
+
+
+def principal_axes(records: DataFrame, vector: str, k: int = 3) -> list[list[float]]:
+    """The first ``k`` axes (A14, A15), each with its largest component positive."""
+    n, _, covariance = _covariance(records, vector)
+    if not n:
+        return []
+    axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :k].T
+    return [(a if a[np.abs(a).argmax()] > 0 else -a).tolist() for a in axes]
+
+
+def project(records: DataFrame, key: str, vector: str, axes: list[list[float]]) -> DataFrame:
+    """key, x0, x1, ... : products of each vector with the axes."""
+    lit = lambda a: F.array(*(F.lit(float(x)) for x in a))
+    return records.select(key, *(F.round(dot(F.col(vector), lit(a)), 6).alias(f"x{i}") for i, a in enumerate(axes)))
+
+
+def drifting_centroid(rows: DataFrame, keys: list[str], order: str, vector: str, alpha: float = 0.3) -> DataFrame:
+    """keys, centroid, runs: vectors of a key folded in order, each weighing ``alpha`` against what was.
+
+    The first is taken as it is; every step is rounded to six digits, as it is
+    stored. A key's vectors are folded from one sorted array.
+    """
+    every = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))))
+    step = lambda a, x: F.when(F.size(a) == 0, F.transform(x["v"], lambda y: F.round(y, 6))).otherwise(F.zip_with(a, x["v"], lambda p, n: F.round(alpha * n + (1 - alpha) * p, 6)))
+    g = rows.groupBy(*keys).agg(every.alias("_all"))
+    return g.select(*keys, F.aggregate("_all", F.array().cast("array<double>"), step).alias("centroid"), F.size("_all").alias("runs"))
 
 
 def band_pairs(records: DataFrame, key: str, group: str, position: str, vector: str, width: int = 79, least: float = 0.72) -> DataFrame:

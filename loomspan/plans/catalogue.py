@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.plans import event_queries, graph_queries, ranking_queries, record_queries, scoring_queries, text_queries, vector_queries  # noqa: F401
+from loomspan.plans import event_queries, graph_queries, io_queries, queue_queries, ranking_queries, record_queries, relation_queries, scoring_queries, signal_queries, text_queries, vector_queries  # noqa: F401
 from loomspan.plans.registry import ORACLES, QUERIES, Query
 
 

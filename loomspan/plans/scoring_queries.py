@@ -122,10 +122,14 @@ def next_frontier(spark, sf):
     return sc.fold_frontier(p, found, 3)
 
 
-@query()
+_REACHED = gq._REACH.format(f="dst", t="src", d=3)
+
+
+@query(f"""WITH b AS ({gq._between_sql(8)}), p AS ({gq._pagerank_sql()}), i AS ({_REACHED})
+    SELECT id, round(max(pow(distance + 1, -1.5) * (1 + 5 * betweenness) * (1 + 10 * rank)), 6) AS score FROM i JOIN b USING (id) JOIN p USING (id) GROUP BY 1""")
 def change_propagation(spark, sf):
     """Impact of changes to five parts within three steps."""
-    v, e = gq.vertices(spark, sf), gq.all_edges(spark, sf)
+    v, e = gq.vertices(spark, sf), gq.edges(spark, sf)
     starts = spark.createDataFrame([(s,) for s in (1, 2, 3, 5, 8)], "id long")
     impacted = g.reach(e, starts, 3, reverse=True).select("id", "distance")
     return sc.propagation(impacted, g.betweenness(v, e), g.pagerank(v, e))

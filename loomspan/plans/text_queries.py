@@ -137,9 +137,8 @@ _SIGNAL = " OR ".join(f"regexp_matches({ascii_words('s')}, {q(p)})" for p in (fi
     k AS (SELECT doc_id, i, s FROM s WHERE {_SIGNAL} OR {_score_sql('s')} >= 0.6)
     SELECT d.doc_id, coalesce(string_agg(k.s, ' ' ORDER BY k.i), '') AS stem_text, count(DISTINCT k.s) AS facts FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1""")
 def doc_stem_text(spark, sf):
-    # A sentence is scored once and both outputs are taken from what is left.
-    kept = F.filter(text.sentences(F.col("text")), lambda s: (text.fact_score(s) >= 0.6) | text.signal(s))
-    return documents(spark, sf).select("doc_id", kept.alias("k")).select("doc_id", F.array_join("k", " ").alias("stem_text"), F.size(F.array_distinct("k")).cast("long").alias("facts"))
+    t = F.col("text")
+    return documents(spark, sf).select("doc_id", text.stem_text(t).alias("stem_text"), F.size(text.fact_sentences(t)).cast("long").alias("facts"))
 
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS entity_type, {hits(ascii_words('text'), p)} AS n FROM ({DOCS}) WHERE {hits(ascii_words('text'), p)} > 0" for k, p in fixed.MENTIONS.items()))

@@ -70,3 +70,51 @@ def content_manifest(df: DataFrame, key: str) -> DataFrame:
     """key, sha of each row's canonical JSON (K12): what an export is verified against."""
     cols = sorted(df.columns)
     return df.select(key, F.sha2(F.to_json(F.struct(*cols)), 256).alias("sha"))
+
+
+def graph_map(vertices: DataFrame, edges: DataFrame, nodes: int = 40, links: int = 120) -> str:
+    """The weightiest vertices and the links among them as a Mermaid text (K11); a bounded export.
+
+    ``vertices``: id, label, weight; ``edges``: src, dst, kind, weight. Of the ``links``
+    weightiest links those between listed vertices are drawn.
+    """
+    top = vertices.orderBy(F.desc("weight"), "id").limit(nodes).select("id", "label").collect()
+    listed = {r["id"] for r in top}
+    name = lambda x: "n" + str(x).replace("-", "_")
+    lines = [f'  {name(r["id"])}["{str(r["label"]).replace(chr(34), chr(39))}"]' for r in top]
+    for r in edges.orderBy(F.desc("weight"), "src", "dst", "kind").limit(links).collect():
+        if r["src"] in listed and r["dst"] in listed:
+            lines.append(f"  {name(r['src'])} -->|{r['kind']}| {name(r['dst'])}")
+    return "graph TD\n" + "\n".join(lines) + "\n"
+
+
+def learning_export(vertices: DataFrame, edges: DataFrame, features: DataFrame, path: str) -> None:
+    """nodes and edges as CSV with a header, features as JSON lines."""
+    vertices.select("id", "label", "kind", "weight").write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
+    edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "kind", "weight").write.mode("overwrite").option("header", True).csv(f"{path}/edges")
+    features.write.mode("overwrite").json(f"{path}/features")
+
+
+def cache_put(stored: DataFrame, new: DataFrame, content: str = "content") -> DataFrame:
+    """What a content cache has to take up (K13): hash, content and size of contents it does not hold yet."""
+    hashed = new.withColumn("hash", F.sha2(F.col(content), 256)).withColumn("bytes", F.octet_length(F.col(content)))
+    return insert_ignore(stored, hashed, ["hash"])
+
+
+def cache_get(stored: DataFrame, wanted: DataFrame, content: str = "content") -> DataFrame:
+    """hash, content of wanted hashes; contents that no longer match their hash are not given out."""
+    return stored.join(wanted.select("hash").distinct(), "hash", "left_semi").filter(F.sha2(F.col(content), 256) == F.col("hash")).select("hash", content)
+
+
+def append_chained(log: DataFrame, new: DataFrame, keys: list[str], order: str, body: str) -> DataFrame:
+    """A chained log with new bodies at its end; a log whose chain is broken takes none.
+
+    ``log``: keys, order, body, sequence, prev_hash, entry_hash as ``events.chain``
+    gives them; ``new``: keys, order, body, later than what is there.
+    """
+    from loomspan.operators import events as ev
+
+    bad = ev.verify_chain(log, keys, body).filter("failed_at is not null")
+    if not bad.isEmpty():
+        raise ValueError(f"the chain is broken: {bad.first().asDict()}")
+    return ev.chain(log.select(*keys, order, body).unionByName(new.select(*keys, order, body)), keys, order, body)
