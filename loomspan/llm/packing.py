@@ -154,3 +154,23 @@ def pack(docs: DataFrame, capacity: int = 2048, targets: dict[str, float] | None
             return done
         parts = max(1, min(-(-parts // fan_in), -(-rest // part_items)) if -(-rest // part_items) > 1 else 1)
         level += 1
+
+
+def share_deviation(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """source, share, mean_off, most_off: a source's share of all tokens, and how far containers are from it on average and at most.
+
+    A container without a source counts with 0 of it; the last containers, of which there is nothing
+    left to choose, count like all others.
+    """
+    size = F.col("token_end") - F.col("token_start")
+    total = docs.filter("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("all"))
+    share = total.select("source", (F.col("all") / F.sum("all").over(Window.partitionBy())).alias("share"))
+    n = packed.agg(F.count_distinct("container_id").alias("containers"))
+    whole = packed.groupBy("container_id").agg(F.sum(size).alias("whole"))
+    each = packed.groupBy("container_id", "source").agg(F.sum(size).alias("own")).join(whole, "container_id").join(share, "source")
+    off = F.abs(F.col("own") / F.col("whole") - F.col("share"))
+    seen = each.groupBy("source", "share").agg(F.sum(off).alias("off"), F.max(off).alias("most"), F.count("*").alias("in"))
+    absent = F.col("containers") - F.col("in")
+    out = seen.select("*", n.scalar().alias("containers"))
+    most = F.greatest("most", F.when(absent > 0, F.col("share")).otherwise(0.0))
+    return out.select("source", F.round("share", 6).alias("share"), F.round((F.col("off") + absent * F.col("share")) / F.col("containers"), 6).alias("mean_off"), F.round(most, 6).alias("most_off"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import mixing, near_dup, packing, pair_defects, spans, splitting, style_tree, tokens, vp_knn
+from loomspan.session import cut
 from loomspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,40 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return spans.share_report(_p8_records(spark, sf), length=200).withColumnRenamed("id", "doc_id")
 
 
+def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the pieces of each oversized chunk cover it, stay under the limit and overlap."""
+    p = splitting.split(table(spark, sf, "chunks"), limit=2400, overlap=200)
+    w = Window.partitionBy("document_id", "parent_id").orderBy("piece")
+    p = p.withColumn("gap", F.col("span_start") - F.lag("span_end").over(w)).withColumn("size", F.col("span_end") - F.col("span_start"))
+    g = p.groupBy("document_id", F.col("parent_id").alias("chunk_id")).agg(F.count("*").alias("n"), F.max("span_end").cast("long").alias("n_chars"), (F.min("span_start") == 0).alias("from_start"), (F.max("size") <= 2400).alias("fits"), (F.max("gap") < 0).alias("overlaps"), (F.min("gap") >= -400).alias("moderate"))
+    return g.filter("n > 1").drop("n")
+
+
+def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every document's tokens are packed once and no container is over its capacity."""
+    sized = cut(_sized(spark, sf))
+    packed = cut(packing.pack(sized, capacity=2048))
+    packed = packed.withColumn("tokens", F.col("token_end") - F.col("token_start"))
+    per = packed.groupBy("doc_id").agg(F.sum("tokens").alias("packed"), F.count("*").alias("pieces"))
+    docs = sized.filter("n_tokens > 0").join(per, "doc_id", "full").agg(F.count("*").alias("documents"), F.count_if(~F.col("packed").eqNullSafe(F.col("n_tokens"))).alias("wrong"), F.count_if((F.col("n_tokens") <= 2048) & (F.col("pieces") > 1)).alias("divided"))
+    over = packed.groupBy("container_id").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > 2048).alias("over"))
+    return docs.select("documents", "wrong", "divided", over.scalar().alias("over"))
+
+
+def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """source, share of all tokens, and the mean and largest distance of a container's share from it."""
+    sized = cut(_sized(spark, sf))
+    return packing.share_deviation(packing.pack(sized, capacity=2048), sized)
+
+
+def p7_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets whose texts are used more often than they may be: none."""
+    same = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("same")).distinct()
+    used = p7_select(spark, sf).join(same, "doc_id").groupBy("source", "same").agg(F.sum("copies").alias("copies"))
+    most = _p7_targets(spark, sf).select("source", "max_repeats")
+    return used.join(most, "source", "left").groupBy().agg(F.count_if(F.col("max_repeats").isNull() | (F.col("copies") > F.col("max_repeats"))).alias("over"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -114,16 +149,50 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p3_documents": p3_documents,
+        "p3_coverage": p3_coverage,
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p6_pack": p6_pack,
+        "p6_totals": p6_totals,
+        "p6_shares": p6_shares,
         "p7_select": p7_select,
         "p7_shares": p7_shares,
+        "p7_limits": p7_limits,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
         "p8_report": p8_report,
     }
 
 
+P1_SQL = """WITH u AS (SELECT space_id, cid, min(e) AS e FROM (SELECT space_id, cid, embedding::DOUBLE[] AS e FROM vector_records WHERE cid IS NOT NULL AND space_id IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) GROUP BY 1, 2),
+    s AS (SELECT a.space_id, a.cid AS x, b.cid AS y, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.space_id = b.space_id AND a.cid <> b.cid),
+    r AS (SELECT x, y, c, row_number() OVER (PARTITION BY space_id, x ORDER BY round(c, 6) DESC, y) AS n FROM s)
+    SELECT DISTINCT least(x, y) AS cid_a, greatest(x, y) AS cid_b FROM r WHERE n <= 10 AND c >= 0.85"""
+
+P2_SQL = """WITH t AS (SELECT 'chunks' AS table_name, chunk_id AS id, text FROM chunks UNION ALL SELECT 'global_facts', fact_hash, fact_text FROM global_facts),
+    d AS (SELECT DISTINCT table_name, id, list_sort(list_distinct(regexp_extract_all(nfc_normalize(lower(text)), '[\\p{L}\\p{N}]+'))) AS w FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+    k AS (SELECT *, row_number() OVER () AS k, len(w) AS n FROM d WHERE len(w) > 0), p AS (SELECT k, table_name, n, unnest(w) AS x FROM k),
+    c AS (SELECT a.k AS ka, b.k AS kb, count(*) AS m FROM p a JOIN p b ON a.table_name = b.table_name AND a.x = b.x AND a.k < b.k AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2)
+    SELECT DISTINCT a.table_name, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM c JOIN k a ON a.k = ka JOIN k b ON b.k = kb WHERE a.id <> b.id AND m >= 0.8 * (a.n + b.n - m) - 1e-9"""
+
+_WINDOWS = "SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)"
+
+P8_SQL = f"""WITH g AS (SELECT DISTINCT doc_id, h FROM ({_WINDOWS})), m AS (SELECT list_sort(list(doc_id)) AS ids FROM g GROUP BY h HAVING count(*) > 1), u AS (SELECT DISTINCT ids FROM m)
+    SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM (SELECT unnest(ids) AS a, ids FROM u), LATERAL (SELECT unnest(ids) AS b) WHERE a < b"""
+
+P8_REPORT_SQL = f"""WITH g AS MATERIALIZED ({_WINDOWS}), r AS (SELECT h FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1), p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g SEMI JOIN r USING (h)),
+    s AS (SELECT doc_id, count(*) FILTER (before IS NULL OR i > before + 200) AS n_spans, CAST(sum(least(200, i - coalesce(before, i - 200))) AS BIGINT) AS shared_chars FROM p GROUP BY 1)
+    SELECT doc_id, n, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n > 0 THEN round(coalesce(shared_chars, 0) / n, 6) ELSE 0.0 END AS shared_fraction FROM (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents) LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force over all pairs or windows; queries without an entry are tested in ``tests/llm``."""
+    return {
+        "p1_found": P1_SQL,
+        "p2_found": P2_SQL,
+        "p3_coverage": "SELECT document_id, chunk_id, max(length(text)) AS n_chars, true AS from_start, true AS fits, true AS overlaps, true AS moderate FROM chunks WHERE length(text) > 2400 GROUP BY 1, 2",
+        "p6_totals": "SELECT count(DISTINCT doc_id) FILTER (text <> '') AS documents, 0 AS wrong, 0 AS divided, 0 AS over FROM documents",
+        "p7_limits": "SELECT 0 AS over",
+        "p8_found": P8_SQL,
+        "p8_report": P8_REPORT_SQL.replace("doc_id, n, ", "doc_id, n AS n_chars, ", 1),
+    }
