@@ -54,7 +54,21 @@ def simhash(text: Column) -> Column:
     return run(text)
 
 
-def near_by_simhash(docs: DataFrame, key: str, text: str = "text", most: int = 3) -> DataFrame:
+def _close(banded: DataFrame, most: int, key_rows: int) -> DataFrame:
+    """early, late of rows (h, first, b, v) with one key whose hashes differ in at most ``most`` bits.
+
+    Keys of more than ``key_rows`` rows are cut into blocks by hash; every pair of blocks is a key of its own.
+    """
+    sized = banded.groupBy("b", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    one = banded.join(sized, ["b", "v"])
+    blocks = F.ceil(F.col("n") / key_rows).cast("int")
+    one = one.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = lambda s: one.select("b", "v", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *(F.col(c).alias(f"{c}_{s}") for c in ("h", "first", "block")))
+    j = side("x").join(side("y"), ["b", "v", "low", "high"]).filter((F.col("first_x") < F.col("first_y")) & ((F.col("low") == F.col("high")) | (F.col("block_x") != F.col("block_y"))))
+    return j.filter(F.bit_count(F.col("h_x").bitwiseXOR(F.col("h_y"))) <= most).select(F.col("first_x").alias("early"), F.col("first_y").alias("late")).distinct()
+
+
+def near_by_simhash(docs: DataFrame, key: str, text: str = "text", most: int = 3, key_rows: int = 4096) -> DataFrame:
     """key, kept, near: documents in order of key; one within ``most`` bits of a kept one is near it.
 
     Equal hashes are one row first, so that candidates are an equality join of
@@ -73,9 +87,7 @@ def near_by_simhash(docs: DataFrame, key: str, text: str = "text", most: int = 3
     key_of = lambda c: F.shiftleft(blocks[c[0]], 22).bitwiseOR(F.shiftleft(blocks[c[1]], 11)).bitwiseOR(blocks[c[2]])
     keys = F.array(*(F.struct(F.lit(i).alias("b"), key_of(c).alias("v")) for i, c in enumerate(combinations(range(6), 3))))
     banded = one.select("h", "first", F.explode(keys).alias("k")).select("h", "first", "k.b", "k.v")
-    x, y = banded.alias("x"), banded.alias("y")
-    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.first") < F.col("y.first")) & (F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))) <= most))
-    pairs = cut(pairs.select(F.col("x.first").alias("early"), F.col("y.first").alias("late")).distinct())
+    pairs = cut(_close(banded, most, key_rows))
     state = cut(one.select("first", F.lit(None).cast("string").alias("state")))
     while True:
         early = pairs.join(state.select(F.col("first").alias("early"), F.col("state").alias("s")), "early")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import accumulate
+from itertools import chain as chain_of
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,42 +77,54 @@ def robust_z(events: DataFrame, keys: list[str], value: str, at: str, tie: str,
     return med.withColumn("z", F.coalesce(F.round(F.abs(F.col(value) - F.col("_m")) / (1.4826 * mad), 4), F.lit(0.0))).drop("_b", "_m", "_d")
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], out: str, start: Callable, step: Callable) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: list[str], needs: str, out: str, start: Callable, run: Callable) -> DataFrame:
     """``df`` with a column per field of ``out``: a sequential pass over each key's rows in order.
 
-    ``step(state, row tuple) -> (state, values)`` sees the rows of a key one by
-    one, beginning with ``start()``. Rows stream through a task sorted by key,
-    so memory is one state however many rows a key has; keys run in parallel.
+    ``run(state, values) -> (state, lists)`` gets the values of ``needs`` in a stretch of one key's
+    rows, beginning with ``start()``. Rows stream through a task sorted by key, so memory is one
+    batch and one state however many rows a key has; keys run in parallel.
     """
-    names = df.columns
     fields = [f.strip() for f in out.split(",")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *fields])
     new = [f.split()[0] for f in fields]
 
-    def run(batches):
+    def fold_batches(batches):
         last, state = object(), None
         for pdf in batches:
-            got = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
+            n = len(pdf)
+            if not n:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            first = np.zeros(n, bool)
+            first[0] = True
+            for k in keys:
+                v = pdf[k]
+                first[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy()[1:]
+            at = [*np.flatnonzero(first).tolist(), n]
+            values, heads = pdf[needs].tolist(), zip(*(pdf[k].iloc[at[:-1]].tolist() for k in keys), strict=True)
+            got: list[list] = [[] for _ in new]
+            for i, j, head in zip(at, at[1:], heads, strict=False):
+                key = tuple(None if pd.isna(x) else x for x in head)
                 if key != last:
                     last, state = key, start()
-                state, values = step(state, row)
-                got.append(values)
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(got, columns=new)], axis=1) if got else pd.DataFrame(columns=[*names, *new])
+                state, lists = run(state, values[i:j])
+                for g, x in zip(got, lists, strict=True):
+                    g += x
+            yield pdf.assign(**dict(zip(new, got, strict=True)))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold_batches, schema)
 
 
 def smoothed(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3) -> DataFrame:
     """keys, at, tie, value, smooth: exponentially weighted average up to each row, the first value as it is."""
 
-    def step(state, row):
-        x = float(getattr(row, value))
-        s = x if state is None else alpha * x + (1 - alpha) * state
-        return s, (s,)
+    def run(state, values):
+        x = map(float, values)
+        out = list(accumulate(x if state is None else chain_of([state], x), lambda s, v: alpha * v + (1 - alpha) * s))
+        out = out if state is None else out[1:]
+        return out[-1], (out,)
 
-    return fold(events.select(*keys, at, tie, value), keys, [at, tie], "smooth double", lambda: None, step)
+    return fold(events.select(*keys, at, tie, value), keys, [at, tie], value, "smooth double", lambda: None, run)
 
 
 def ewma(events: DataFrame, keys: list[str], value: str, at: str, tie: str, alpha: float = 0.3) -> DataFrame:
@@ -147,12 +162,16 @@ def chain(events: DataFrame, keys: list[str], order: str, body: str) -> DataFram
     parallel across keys.
     """
 
-    def step(state, row):
+    def run(state, values):
         n, prev = state
-        h = hashlib.sha256(f"{prev}|{getattr(row, body)}".encode()).hexdigest()
-        return (n + 1, h), (n + 1, prev, h)
-
-    return fold(events.select(*keys, order, body), keys, [order], "sequence int, prev_hash string, entry_hash string", lambda: (0, ""), step)
+        before, after = [], []
+        for x in values:
+            before.append(prev)
+            prev = hashlib.sha256(f"{prev}|{x}".encode()).hexdigest()
+            after.append(prev)
+        return (n + len(after), prev), (list(range(n + 1, n + len(after) + 1)), before, after)
+
+    return fold(events.select(*keys, order, body), keys, [order], body, "sequence int, prev_hash string, entry_hash string", lambda: (0, ""), run)
 
 
 def verify_chain(log: DataFrame, keys: list[str], body: str) -> DataFrame:

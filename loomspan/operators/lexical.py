@@ -77,7 +77,7 @@ def search(docs: DataFrame, key: str, queries: dict[str, str], k: int, text: str
     tf = d.filter(F.size("hit") > 0).select(key, "len", F.explode("hit").alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     q = spark.createDataFrame([(name, w, len(ws)) for name, ws in wanted.items() for w in ws], "query string, token string, need int")
-    scored = tf.join(F.broadcast(q), "token").join(F.broadcast(df), "token").transform(beside, totals)
+    scored = tf.join(q, "token").join(df, "token").transform(beside, totals)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean_len")))
     hits = scored.groupBy("query", key, "need").agg(F.count("*").alias("found"), F.sum(part).alias("s")).filter("found = need")

@@ -4,58 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import fixed
 from loomspan.operators import chunking, lexical, text, vectors
-from loomspan.session import spread
-
-
-def similarity_to(query: str, dims: int = 256):
-    """A function column -> cosine of a text's hash embedding with a query's; no vector leaves the worker."""
-    q = np.array(vectors.embed_query(query, dims))
-
-    @F.pandas_udf("double")
-    def run(col: pd.Series) -> pd.Series:
-        import hashlib
-        import re
-
-        slots: dict[str, float] = {}
-        where: dict[str, int] = {}
-        stop = set(fixed.STOP_EN)
-        out = np.zeros(len(col))
-        for k, t in enumerate(col):
-            terms = [w for w in re.findall(fixed.TERM, (t or "").lower()) if len(w) > 1 and w not in stop]
-            v: dict[int, float] = {}
-            for f in [*terms, *(f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False))]:
-                i = where.get(f)
-                if i is None:
-                    h = hashlib.blake2b(f.encode("utf-8"), digest_size=8).digest()
-                    i = int.from_bytes(h[:4], "big") % dims
-                    if len(where) < 500_000:
-                        where[f], slots[f] = i, 1.0 if h[4] % 2 == 0 else -1.0
-                    s = 1.0 if h[4] % 2 == 0 else -1.0
-                else:
-                    s = slots[f]
-                v[i] = v.get(i, 0.0) + s
-            n = sum(x * x for x in v.values()) ** 0.5
-            out[k] = sum(x * q[i] for i, x in v.items()) / n if n > 1e-12 else 0.0
-        return pd.Series(np.round(out, 6))
-
-    return run
-
-
-def candidates(docs: DataFrame, query: str, k: int = fixed.RECALL_K) -> DataFrame:
-    """doc_id, source, position, chunk_id, text, recall: the ``k`` chunks most similar to the query.
-
-    Chunks are made, deduplicated by content and scored in one pass; a top-k
-    per task is all that is gathered.
+from loomspan.session import cut, spread
+
+
+def candidates(docs: DataFrame, query: str, k: int = fixed.RECALL_K) -> tuple[DataFrame, float]:
+    """(doc_id, source, position, chunk_id, text, recall of the ``k`` chunks most similar to the query, mean chunk length).
+
+    Chunks are made and scored in one pass that counts their words as well. Ids
+    and scores are shuffled to find equal chunks, not texts: those of the ``k``
+    best are cut from their documents again.
     """
+    lengths = Observation()
     chunks = spread(docs).select("doc_id", "source", F.posexplode(chunking.windows(F.col("text"))).alias("position", "text"))
-    one = chunks.groupBy(chunking.chunk_id(F.col("text")).alias("chunk_id")).agg(F.min(F.struct("doc_id", "position", "source", "text")).alias("c"))
-    scored = one.select("chunk_id", "c.*").withColumn("recall", similarity_to(query)(F.col("text")))
-    return scored.orderBy(F.desc("recall"), "chunk_id").limit(k)
+    chunks = chunks.withColumn("words", F.size(text.words_of(F.col("text")))).observe(lengths, F.avg("words").alias("mean"))
+    scored = chunks.select("doc_id", "source", "position", chunking.chunk_id(F.col("text")).alias("chunk_id"), vectors.similarity_to(query)(F.col("text")).alias("recall"))
+    one = scored.groupBy("chunk_id").agg(F.min(F.struct("doc_id", "position", "source")).alias("c"), F.max("recall").alias("recall"))
+    top = cut(one.select("chunk_id", "c.*", "recall").orderBy(F.desc("recall"), "chunk_id").limit(k))
+    # At most k rows go to the documents.
+    cutting = F.get(chunking.windows(F.col("text")), F.col("position")).alias("text")
+    # Ids of documents are unique; where they are not, the chunk's own id tells which one is meant.
+    whole = docs.select("doc_id", "text").join(top, "doc_id").select("doc_id", "source", "position", "chunk_id", cutting, "recall")
+    whole = whole.filter(chunking.chunk_id(F.col("text")) == F.col("chunk_id")).dropDuplicates(["chunk_id"])
+    return whole, float(lengths.get.get("mean") or 120.0)
 
 
 def fast_rank(cands: DataFrame, query: str, mean_len: float, k: int = fixed.FAST_K) -> DataFrame:
@@ -134,9 +109,8 @@ def pack(ranked: DataFrame, limit_tokens: int = 1500) -> DataFrame:
 
 def ranked_pack(docs: DataFrame, query: str, limit_tokens: int = 6000) -> DataFrame:
     """The whole pipeline over documents (doc_id, source, text) for one query."""
-    lengths = docs.select(F.explode(chunking.windows(F.col("text"))).alias("c")).agg(F.avg(F.size(text.words_of(F.col("c")))).alias("m"))
-    mean_len = lengths.collect()[0]["m"] or 120.0
-    top = rerank(heavy_rank(fast_rank(candidates(docs, query), query, float(mean_len))))
+    best, mean_len = candidates(docs, query)
+    top = rerank(heavy_rank(fast_rank(best, query, mean_len)))
     return pack(top, limit_tokens).select("place", "chunk_id", "doc_id", "position", "source", "final", "heavy", "fast", "noise", "tokens", "packed")
 
 

@@ -87,14 +87,19 @@ def dequeue(queue: DataFrame, n: int) -> DataFrame:
     return queue.filter("status = 'queued'").orderBy(F.desc("priority"), "enqueued_at", "item_id").limit(n)
 
 
-def order_hits(hits: DataFrame, terms: list[str], by_year: bool) -> DataFrame:
-    """hits with year, found, place (O9): newest year first if the query names years, else most terms first."""
+def order_hits(hits: DataFrame, terms: list[str], by_year: bool, k: int | None = None) -> DataFrame:
+    """hits with year, found, in order (O9): newest year first if the query names years, else most terms first.
+
+    With ``k`` only the first ``k``, with their place.
+    """
     bag = F.lower(F.concat_ws(" ", "title", "snippet", "url"))
     year = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(bag, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))), F.lit(0))
     found = sum((bag.contains(t).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
     h = hits.withColumn("year", year).withColumn("found", found)
     order = [F.desc("year"), F.desc("found")] if by_year else [F.desc("found"), F.desc("year")]
-    return h.withColumn("place", F.row_number().over(Window.orderBy(*order, "url")))
+    if k is None:
+        return h.orderBy(*order, "url")
+    return h.orderBy(*order, "url").limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order, "url")))
 
 
 def roles(models: DataFrame, role: str, tiers: list[str]) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import fixed
 from loomspan.functions.columns import beside
 
-from loomspan.functions import fixed
+_TERM, _STOP = re.compile(fixed.TERM), frozenset(fixed.STOP_EN)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -172,6 +176,45 @@ def band_pairs(records: DataFrame, key: str, group: str, position: str, vector:
     return both.groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}, score double")
 
 
+def against_corpus(corpus: DataFrame, queries: DataFrame, key: str, vector: str, most: int, least: int, corpus_rows: int = 16384, query_rows: int = 2048) -> DataFrame:
+    """key, other, score: the ``most`` best and ``least`` worst cosines of each query in each block of the corpus.
+
+    Queries and corpus are cut into blocks by hash; a pair of blocks is one matrix product, so the
+    corpus travels once for each block of queries. A record is not compared with itself. Rows of
+    either side without a vector are left out; vectors have one dimension.
+    """
+    q, c = (d.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and v is not null") for d in (queries, corpus))
+    nq, nc = max(1, -(-q.count() // query_rows)), max(1, -(-c.count() // corpus_rows))
+    ids = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    left = q.select("k", "v", block(nq).alias("qb"), ids(nc).alias("cb"), F.lit(True).alias("asks"))
+    right = c.select("k", "v", ids(nq).alias("qb"), block(nc).alias("cb"), F.lit(False).alias("asks"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        a, b = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+        if not len(a) or not len(b):
+            return pa.table({"key": a.column("k")[:0], "other": a.column("k")[:0], "score": pa.array([], pa.float64())})
+        x, y = (np.array(s.column("v").to_pylist(), float) for s in (a, b))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None] for m in (x, y))
+        s = np.round(np.clip(x @ y.T, -1, 1), 6)
+        names = np.array(b.column("k").to_pylist(), object)
+        s[np.array(a.column("k").to_pylist(), object)[:, None] == names[None, :]] = np.nan
+        # Ties go to the smaller key: columns in order of keys, then a stable sort.
+        by_key = np.argsort(names, kind="stable")
+        s, b = s[:, by_key], b.take(pa.array(by_key))
+        up, down = np.argsort(-s, axis=1, kind="stable")[:, :most], np.argsort(s, axis=1, kind="stable")[:, :least]
+        rows = np.repeat(np.arange(len(a)), up.shape[1] + down.shape[1])
+        cols = np.concatenate([up, down], axis=1).ravel()
+        score = s[rows, cols]
+        ok = ~np.isnan(score)
+        return pa.table({"key": a.column("k").take(pa.array(rows[ok])), "other": b.column("k").take(pa.array(cols[ok])), "score": pa.array(score[ok])})
+
+    kind = dict(corpus.dtypes)[key]
+    return left.union(right).groupBy("qb", "cb").applyInArrow(run, f"key {kind}, other {kind}, score double").distinct()
+
+
 def rank_fusion(lists: list[DataFrame], key: str, k: int = fixed.RRF_K) -> DataFrame:
     """key, score, place: reciprocal rank fusion of lists of (key, place)."""
     every = lists[0].select(key, "place")
@@ -181,51 +224,58 @@ def rank_fusion(lists: list[DataFrame], key: str, k: int = fixed.RRF_K) -> DataF
     return fused.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def hash_embed(text: Column, dims: int = 256) -> Column:
-    """Unit vector of signed hash buckets of the text's terms and term pairs (V4, V5, V6).
+_slots: dict[int, dict[str, tuple[int, float]]] = {}
+
+
+def term_weights(text: str | None, dims: int = 256) -> dict[int, float]:
+    """Sums of signed hash buckets of a text's terms and term pairs (V4, V6), by bucket.
 
-    The bucket is BLAKE2b, which is no built-in: an Arrow function over batches.
+    The bucket is BLAKE2b, which is no built-in; a worker looks each term up once.
     """
+    known = _slots.setdefault(dims, {})
+    terms = [w for w in _TERM.findall((text or "").lower()) if len(w) > 1 and w not in _STOP]
+    out: dict[int, float] = {}
+    for f in chain(terms, map(" ".join, zip(terms, terms[1:], strict=False))):
+        got = known.get(f)
+        if got is None:
+            if len(known) > 500_000:
+                known.clear()
+            h = hashlib.blake2b(f.encode("utf-8"), digest_size=8).digest()
+            got = known[f] = (int.from_bytes(h[:4], "big") % dims, 1.0 if h[4] % 2 == 0 else -1.0)
+        out[got[0]] = out.get(got[0], 0.0) + got[1]
+    return out
+
+
+def embed_query(text: str | None, dims: int = 256) -> list[float]:
+    """Unit vector of a text's signed hash buckets (V5), to six digits."""
+    v = np.zeros(dims)
+    for i, x in term_weights(text, dims).items():
+        v[i] = x
+    n = math.sqrt(float(v @ v))
+    return np.round(v / n if n > 1e-12 else v, 6).tolist()
+
+
+def hash_embed(text: Column, dims: int = 256) -> Column:
+    """The same vector of every text of a column, over Arrow batches (V5)."""
 
     @F.pandas_udf("array<double>")
-    def embed(col):
-        import re
-
-        seen: dict[str, tuple[int, float]] = {}
-        stop = set(fixed.STOP_EN)
-
-        def slot(f: str) -> tuple[int, float]:
-            got = seen.get(f)
-            if got is None:
-                h = hashlib.blake2b(f.encode("utf-8"), digest_size=8).digest()
-                got = seen[f] = (int.from_bytes(h[:4], "big") % dims, 1.0 if h[4] % 2 == 0 else -1.0)
-            return got
-
-        out = []
-        for t in col:
-            terms = [w for w in re.findall(fixed.TERM, (t or "").lower()) if len(w) > 1 and w not in stop]
-            v = np.zeros(dims)
-            for f in [*terms, *(f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False))]:
-                i, s = slot(f)
-                v[i] += s
-            n = math.sqrt(float(v @ v))
-            out.append(np.round(v / n if n > 1e-12 else v, 6).tolist())
-        import pandas as pd
-
-        return pd.Series(out)
+    def embed(col: pd.Series) -> pd.Series:
+        return pd.Series([embed_query(t, dims) for t in col])
 
     return embed(text)
 
 
-def embed_query(text: str, dims: int = 256) -> list[float]:
-    """The same vector of one query text, on the driver."""
-    import re
+def similarity_to(query: str, dims: int = 256):
+    """A function column -> cosine of a text's vector with a query's; no vector leaves the worker."""
+    q = embed_query(query, dims)
 
-    stop = set(fixed.STOP_EN)
-    terms = [w for w in re.findall(fixed.TERM, text.lower()) if len(w) > 1 and w not in stop]
-    v = np.zeros(dims)
-    for f in [*terms, *(f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False))]:
-        h = hashlib.blake2b(f.encode("utf-8"), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "big") % dims] += 1.0 if h[4] % 2 == 0 else -1.0
-    n = math.sqrt(float(v @ v))
-    return np.round(v / n if n > 1e-12 else v, 6).tolist()
+    @F.pandas_udf("double")
+    def run(col: pd.Series) -> pd.Series:
+        out = np.zeros(len(col))
+        for k, t in enumerate(col):
+            v = term_weights(t, dims)
+            n = math.sqrt(sum(x * x for x in v.values()))
+            out[k] = sum(x * q[i] for i, x in v.items()) / n if n > 1e-12 else 0.0
+        return pd.Series(np.round(out, 6))
+
+    return run

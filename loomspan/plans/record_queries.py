@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import encoding
 from loomspan.operators import records as rc
+from loomspan.operators import vectors as vc
 from loomspan.plans import graph_queries as gq
 from loomspan.plans.registry import query
 from loomspan.sources.tables import table, texts
@@ -81,13 +82,13 @@ def work_dequeue(spark, sf):
     return rc.dequeue(q, 50).select("item_id", "priority")
 
 
-@query("""WITH s AS (SELECT a.vec_id AS k, b.vec_id AS o, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 20 AND a.label <> b.label), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, o) AS u, row_number() OVER (PARTITION BY k ORDER BY s, o) AS d FROM s)
+@query("""WITH s AS (SELECT a.vec_id AS k, b.vec_id AS o, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, o) AS u, row_number() OVER (PARTITION BY k ORDER BY s, o) AS d FROM s)
     SELECT k, round(greatest(0.0, least(1.0, avg(s) FILTER (u <= 5))), 6) AS idiom, string_agg(CAST(o AS VARCHAR), ',' ORDER BY u) FILTER (u <= 3) AS nearest, string_agg(CAST(o AS VARCHAR), ',' ORDER BY d) FILTER (d <= 3) AS farthest FROM r GROUP BY 1""")
 def idiom_scores(spark, sf):
-    from loomspan.operators import vectors as vc
-
-    pairs = vc.band_pairs(table(spark, sf, "embeddings"), "vec_id", "label", "vec_id", "embedding", 20, -1.0)
-    return rc.idiom_scores(pairs.select(F.col("a").alias("k"), F.col("b").alias("other"), "score"), "k")
+    """Every record whose id is divisible by 20 against the whole corpus, in blocks."""
+    e = table(spark, sf, "embeddings")
+    scored = vc.against_corpus(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5, 3)
+    return rc.idiom_scores(scored.withColumnRenamed("key", "k"), "k")
 
 
 @query("""WITH c AS (SELECT event_type AS slug, count(*) AS n FROM events GROUP BY 1) SELECT q AS query, q AS slug, 1 AS rung FROM (SELECT unnest(['view', 'click']) AS q) WHERE q IN (SELECT slug FROM c) UNION ALL SELECT 'rchas', 'purchase', 4 FROM c WHERE slug = 'purchase'""")

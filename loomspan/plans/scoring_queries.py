@@ -41,7 +41,7 @@ def event_mix_divergence(spark, sf):
     p = n.join(totals, "user_id").select("user_id", "outcome", (F.col("n") / F.col("t")).alias("p"))
     every = e.groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"))
     share = every.transform(beside, e.agg(F.count("*").alias("t"))).select("outcome", (F.col("n") / F.col("t")).alias("p"))
-    q = p.select("user_id", "outcome").join(F.broadcast(share), "outcome").select("user_id", "outcome", "p")
+    q = p.select("user_id", "outcome").join(share, "outcome").select("user_id", "outcome", "p")
     return sc.divergence(p, q, ["user_id"])
 
 
@@ -66,11 +66,6 @@ def symbol_clusters(spark, sf):
     return sc.prefix_clusters(texts(spark, sf, "documents").select(t), "t")
 
 
-@query("SELECT document_id, count(DISTINCT source_id) AS values FROM chunks GROUP BY 1 HAVING count(DISTINCT source_id) > 1")
-def constants_with_two_values(spark, sf):
-    return sc.distinct_values(table(spark, sf, "chunks"), "document_id", "source_id")
-
-
 @query("""WITH m AS (SELECT doc_id, kind, node, min(i) AS pos FROM (SELECT doc_id, substr(t, 1, 3) AS kind, t AS node, i FROM (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?:run|cfg)_[0-9a-f]{5}') AS x FROM documents))) GROUP BY 1, 2, 3)
     SELECT a.node AS src, b.node AS dst, count(*) AS n FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.kind <> b.kind AND a.pos < b.pos GROUP BY 1, 2""")
 def entity_cooccurrence_edges(spark, sf):

@@ -176,4 +176,4 @@ def vocabulary_correction(spark, sf):
 
     a = w.select("word", F.explode(halves("word", False)).alias("k"))
     b = v.select("token", F.explode(halves("token", True)).alias("k"))
-    return b.join(F.broadcast(a), "k").filter(F.levenshtein("word", "token") <= 1).groupBy("word").agg(F.min("token").alias("fixed"))
+    return b.join(a, "k").filter(F.levenshtein("word", "token") <= 1).groupBy("word").agg(F.min("token").alias("fixed"))

@@ -63,6 +63,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """The same, partitioned by keys in a way that later plans know of and need not repeat.
+
+    A checkpoint keeps its partitioning only where it was planned without
+    adaptive execution, which is off for this one write. What is costly to
+    compute is better cut before.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder of its own below the shared checkpoint folder, for tables that are written and read again."""
     ensure_checkpoint_dir(spark)
