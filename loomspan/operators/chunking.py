@@ -77,3 +77,12 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def identified_windows(docs: DataFrame, key: str, text: str = "text", size: int = 320, overlap: int = 48) -> DataFrame:
+    """key, position, cid, word_count, simhash, chunk_text of windows."""
+    from loomspan.operators import dedup
+    from loomspan.operators import text as tx
+
+    c = explode_chunks(docs, key, text, size=size, overlap=overlap)
+    return c.select(key, "position", chunk_id(F.col("chunk_text")).alias("cid"), tx.word_count(F.col("chunk_text")).alias("word_count"), dedup.simhash(F.col("chunk_text")).alias("simhash"), "chunk_text")

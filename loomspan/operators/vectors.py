@@ -279,3 +279,9 @@ def similarity_to(query: str, dims: int = 256):
         return pd.Series(np.round(out, 6))
 
     return run
+
+
+def embed_dual(df: DataFrame, text: str, model=None, dims: int = 256) -> DataFrame:
+    """``df`` with deterministic and semantic vectors (V12); the semantic one is null without ``model``, a function column -> vector."""
+    semantic = F.lit(None).cast("array<double>") if model is None else model(F.col(text))
+    return df.withColumn("deterministic", hash_embed(F.col(text), dims)).withColumn("semantic", semantic)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspan.operators import events as ev
 from loomspan.plans.registry import query
 from loomspan.session import shared_folder
-from loomspan.sources import html, readers, sinks
+from loomspan.sources import code, extract, html, readers, sinks
 from loomspan.sources.tables import table, texts
 
 _DOC = "(SELECT CAST(doc_id AS VARCHAR) AS id, text, url, title FROM documents)"
@@ -221,3 +221,68 @@ def html_main_content(spark, sf):
     body = F.concat(F.lit("<html><body><header>Site</header>"), filler, F.lit("<article><p>" + "A fact stands here. " * 20 + "</p></article>"), F.when(F.col("doc_id") % 2 == 0, filler).otherwise(F.lit("<div class='cookie-banner'>ok</div>")), F.lit("<footer>end</footer></body></html>"))
     pages = texts(spark, sf, "documents").select("doc_id", body.alias("html"), F.lit("https://a.example/").alias("url"))
     return html.main_content(pages, "doc_id").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+def _code(spark, sf):
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lines = [F.concat(F.lit("import m"), n), F.concat(F.lit("class C"), k, F.lit("(C"), (F.col("p_partkey") % 7).cast("string"), F.lit("):")), F.lit("    def run(self):"), F.concat(F.lit("        return helper_"), n, F.lit("(1)")), F.concat(F.lit("def helper_"), k, F.lit("(x):")), F.lit("    return x")]
+    return code.entities(table(spark, sf, "part").select(F.concat(F.lit("m"), k, F.lit(".py")).alias("file"), F.concat_ws("\n", *lines).alias("text")))
+
+
+@query("""SELECT 'm' || p_partkey || '.py' AS file, 'module' AS kind, 'm' || p_partkey AS name, 1 AS line FROM part UNION ALL SELECT 'm' || p_partkey || '.py', 'class', 'C' || p_partkey, 2 FROM part
+    UNION ALL SELECT 'm' || p_partkey || '.py', 'method', 'run', 3 FROM part UNION ALL SELECT 'm' || p_partkey || '.py', 'function', 'helper_' || p_partkey, 5 FROM part""")
+def code_entities(spark, sf):
+    """Modules, classes, methods and functions of a file for each part."""
+    return _code(spark, sf).select("file", "kind", "name", "line")
+
+
+@query("""WITH f AS (SELECT p_partkey AS a, p_size AS b FROM part) SELECT DISTINCT 'm' || a || '.py' AS src, 'm' || b || '.py' AS dst, k AS kind FROM f CROSS JOIN (SELECT unnest(['import', 'call']) AS k) WHERE a <> b AND b IN (SELECT p_partkey FROM part)""")
+def code_edges(spark, sf):
+    """Imports and calls led to the files they mean."""
+    e = _code(spark, sf)
+    return code.import_edges(e).union(code.call_edges(e))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n, 'm' || p_partkey || '.py:' AS f FROM part), h AS (SELECT k AS n, f || 'helper_' || k AS dst FROM p), c AS (SELECT k AS b, f || 'C' || k AS dst FROM p)
+    SELECT kind, count(*) AS n, count(DISTINCT dst) AS ends FROM (SELECT 'contains' AS kind, f || 'm' || k AS src, f || 'C' || k AS dst FROM p UNION ALL SELECT 'contains', f || 'm' || k, f || 'C' || k || ':run' FROM p UNION ALL SELECT 'contains', f || 'm' || k, f || 'helper_' || k FROM p
+    UNION ALL SELECT 'inherits', f || 'C' || k, dst FROM p JOIN c ON b = k % 7 AND b <> k UNION ALL SELECT 'calls', f || 'C' || k || ':run', dst FROM p JOIN h USING (n) UNION ALL SELECT 'imports', f || 'm' || k, 'm' || n FROM p) GROUP BY 1""")
+def code_relations(spark, sf):
+    """Relations among entities."""
+    return code.relations(_code(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("ends"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'zip' WHEN 2 THEN 'gzip' ELSE 'text' END AS format, CASE p_partkey % 4 WHEN 1 THEN p_name || chr(10) || chr(10) || p_type ELSE p_name END AS text FROM part")
+def extracted_files(spark, sf):
+    """Texts of office files, archives and plain files."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+
+    def pack(batches):
+        import gzip
+        import io
+        import zipfile
+
+        def zipped(members):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                for n, t in members.items():
+                    z.writestr(n, t)
+            return out.getvalue()
+
+        for pdf in batches:
+            body = []
+            for k, n, t in zip(pdf["p_partkey"], pdf["p_name"], pdf["p_type"], strict=True):
+                doc = f"<w:document xmlns:w='w'><w:p><w:r><w:t>{n}</w:t></w:r></w:p></w:document>"
+                body.append([zipped({"word/document.xml": doc}), zipped({"a.txt": n, "b.txt": t}), gzip.compress(n.encode()), n.encode()][k % 4])
+            yield pdf[["p_partkey"]].assign(content=body)
+
+    return extract.texts(p.mapInPandas(pack, "p_partkey long, content binary"), "p_partkey")
+
+
+@query("SELECT md5(source_text || chr(31) || model_output) AS pair, CASE WHEN regexp_matches(trim(target_lang, ' '), '^[A-Za-z]{2}') THEN lower(regexp_extract(trim(target_lang, ' '), '^([A-Za-z]{2,3})', 1)) END AS target_lang, count(*) AS n FROM translation_feedback WHERE trim(source_text, ' ') <> '' AND trim(model_output, ' ') <> '' GROUP BY 1, 2")
+def parallel_pairs(spark, sf):
+    """Aligned pairs written as JSON lines and read as a corpus."""
+    path = f"{shared_folder(spark)}/pairs.jsonl"
+    t = table(spark, sf, "translation_feedback")
+    sinks.jsonl(t.select("source_text", F.col("model_output").alias("target_text"), "target_lang"), path)
+    c = readers.parallel_corpus(spark, path)
+    return c.groupBy(F.md5(F.concat_ws("\x1f", "source_text", "target_text")).alias("pair"), "target_lang").agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@
 Values are quoted or bare strings, numbers, true, false and null. A verb is a
 function ``(DataFrame, **args) -> DataFrame`` with the columns it needs and
 gives, its risk and its argument names; a chain whose step needs a column that
-no step before gives is refused before anything runs.
+no step before gives is refused before anything runs. A column may be written
+with its type, ``name:type``; what is given must be that type or a narrower one.
 """
 
 from __future__ import annotations
@@ -109,9 +110,24 @@ def plan_id(steps: list[tuple[str, dict]]) -> str:
     return hashlib.sha256(canonical(steps).encode()).hexdigest()[:16]
 
 
-def check(steps: list[tuple[str, dict]], registry: Registry, columns: list[str]) -> int:
-    """Highest risk of the steps, after verbs, arguments and columns were checked in order."""
-    have, risk = set(columns), 0
+#: Which types may stand in for which, each for itself and for those after it.
+_WIDER = (("tinyint", "smallint", "int", "bigint", "double"), ("float", "double"), ("date", "timestamp"))
+
+
+def fits(given: str | None, wanted: str | None) -> bool:
+    """Whether a column of one type may be used as another; unknown types fit."""
+    if given is None or wanted is None or given == wanted:
+        return True
+    if given.startswith("array<") and wanted.startswith("array<"):
+        return fits(given[6:-1], wanted[6:-1])
+    return any(given in row and wanted in row[row.index(given) :] for row in _WIDER)
+
+
+def check(steps: list[tuple[str, dict]], registry: Registry, columns: list[str] | dict[str, str]) -> int:
+    """Highest risk of the steps, after verbs, arguments, columns and their types were checked in order."""
+    split = lambda c: (c.split(":", 1)[0], c.split(":", 1)[1] if ":" in c else None)
+    have: dict[str, str | None] = dict(columns) if isinstance(columns, dict) else dict.fromkeys(columns)
+    risk = 0
     for i, (name, args) in enumerate(steps):
         verb = registry.verbs.get(name)
         if verb is None:
@@ -119,17 +135,21 @@ def check(steps: list[tuple[str, dict]], registry: Registry, columns: list[str])
         unknown = set(args) - set(verb.args)
         if unknown:
             raise PipelineError(f"step {i}: {name} takes no {', '.join(sorted(unknown))}")
-        missing = [c for c in verb.needs if c not in have]
+        needs = dict(map(split, verb.needs))
+        missing = [c for c in needs if c not in have]
         if missing:
             raise PipelineError(f"step {i}: {name} needs {', '.join(missing)}")
-        have |= set(verb.gives)
+        wrong = [f"{c} as {t}, not {have[c]}" for c, t in needs.items() if not fits(have[c], t)]
+        if wrong:
+            raise PipelineError(f"step {i}: {name} needs {', '.join(wrong)}")
+        have |= dict(map(split, verb.gives))
         risk = max(risk, verb.risk)
     return risk
 
 
 def execute(src: str, df: DataFrame, registry: Registry) -> DataFrame:
     steps = parse(src)
-    check(steps, registry, df.columns)
+    check(steps, registry, dict(df.dtypes))
     for name, args in steps:
         df = df.transform(registry.verbs[name].run, **args)
     return df
@@ -140,10 +160,10 @@ def standard() -> Registry:
     from loomspan.operators import chunking, text
 
     r = Registry()
-    r.add("text.score", Verb(lambda df: df.withColumn("fact_score", F.round(text.fact_score(F.coalesce("text", F.lit(""))), 6)), ("text",), ("fact_score",)))
-    r.add("text.redact", Verb(lambda df: df.withColumn("text", text.redact(F.col("text"))), ("text",), ("text",)))
-    r.add("text.contains", Verb(lambda df, query="": df.filter(F.lower("text").contains(query.lower())), ("text",), (), ("query",)))
-    r.add("chunk.window", Verb(lambda df, size=320, overlap=48: df.select(*[c for c in df.columns if c != "text"], F.posexplode(chunking.windows(F.col("text"), size, overlap)).alias("position", "text")), ("text",), ("position", "text"), ("size", "overlap")))
+    r.add("text.score", Verb(lambda df: df.withColumn("fact_score", F.round(text.fact_score(F.coalesce("text", F.lit(""))), 6)), ("text:string",), ("fact_score:double",)))
+    r.add("text.redact", Verb(lambda df: df.withColumn("text", text.redact(F.col("text"))), ("text:string",), ("text:string",)))
+    r.add("text.contains", Verb(lambda df, query="": df.filter(F.lower("text").contains(query.lower())), ("text:string",), (), ("query",)))
+    r.add("chunk.window", Verb(lambda df, size=320, overlap=48: df.select(*[c for c in df.columns if c != "text"], F.posexplode(chunking.windows(F.col("text"), size, overlap)).alias("position", "text")), ("text:string",), ("position:int", "text:string"), ("size", "overlap")))
     r.add("rows.top", Verb(lambda df, by="fact_score", n=10, then="doc_id": df.orderBy(F.desc(by), then).limit(n), (), (), ("by", "n", "then")))
-    r.add("rows.keep", Verb(lambda df, least=0.0: df.filter(F.col("fact_score") >= least), ("fact_score",), (), ("least",)))
+    r.add("rows.keep", Verb(lambda df, least=0.0: df.filter(F.col("fact_score") >= least), ("fact_score:double",), (), ("least",)))
     return r

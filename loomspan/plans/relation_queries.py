@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import fixed
+from loomspan.operators import chunking, dedup
 from loomspan.operators import graph as g
 from loomspan.operators import relations as rl
 from loomspan.operators import scoring as sc
@@ -242,3 +243,38 @@ def vertex_neighbours(spark, sf):
     """Neighbours of two vertices both ways."""
     e = table(spark, sf, "nation").select(F.col("n_regionkey").alias("src"), (F.col("n_nationkey") + 100).alias("dst"))
     return g.neighbours(e, [1, 103])
+
+
+_SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_BITS = ", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN n ELSE -n END) AS b{b}" for b in range(64))
+_HASH = " + ".join(f"CASE WHEN b{b} > 0 THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
+
+
+def _simhash_sql(texts_sql: str, key: str) -> str:
+    """FNV-1a of every token, then the sign of the sums of each bit."""
+    return f"""WITH x AS ({texts_sql}), t AS (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(string_split_regex(lower(text), '{_SPACE}')) AS w FROM x) WHERE w <> '' GROUP BY ALL),
+    v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM t)), f AS (SELECT w, list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(range(0, len(x) // 2), lambda i: ((instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::UHUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM v),
+    s AS (SELECT {key}, {_BITS} FROM t JOIN f USING (w) GROUP BY ALL), r AS (SELECT x.*, coalesce({_HASH}, 0) AS u FROM x LEFT JOIN s USING ({key}))"""
+
+
+@query(_simhash_sql("SELECT doc_id, coalesce(text, '') AS text FROM documents", "doc_id") + " SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS simhash FROM r")
+def doc_simhash(spark, sf):
+    """Simhashes of documents."""
+    return texts(spark, sf, "documents").select("doc_id", dedup.simhash(F.col("text")).alias("simhash"))
+
+
+_WINDOWS = "SELECT doc_id || '-' || i AS k, doc_id, i AS position, array_to_string(w[1 + i * 272 : i * 272 + 320], ' ') AS text FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(0, CASE WHEN len(w) <= 320 THEN 1 ELSE 1 + CAST(ceil((len(w) - 320) / 272.0) AS BIGINT) END) END) AS i FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents))"
+
+
+@query(_simhash_sql(_WINDOWS, "k") + " SELECT doc_id, CAST(position AS INT) AS position, 'chunk-' || substr(sha256(text), 1, 16) AS cid, length(text) AS n_chars, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS simhash FROM r")
+def window_identities(spark, sf):
+    """Windows with their content id and simhash."""
+    w = chunking.identified_windows(texts(spark, sf, "documents"), "doc_id")
+    return w.select("doc_id", "position", "cid", F.length("chunk_text").cast("long").alias("n_chars"), "simhash")
+
+
+@query("SELECT doc_id, n, 0 AS semantic FROM (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '[a-z][a-z0-9_+\\-.]+') THEN 256 ELSE 256 END AS n FROM documents)")
+def dual_embeddings(spark, sf):
+    """Deterministic vectors with the place of a model's beside them (V12), which is not part of the engine."""
+    d = vc.embed_dual(texts(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.size("deterministic").alias("n"), F.coalesce(F.size("semantic"), F.lit(0)).alias("s")).select("doc_id", "n", F.greatest("s", F.lit(0)).alias("semantic"))

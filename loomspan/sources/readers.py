@@ -118,3 +118,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def parallel_corpus(spark: SparkSession, path: str, source: str = "source_text", target: str = "target_text") -> DataFrame:
+    """source_text, target_text, source_lang, target_lang, pair_id of aligned sentences in JSON lines.
+
+    Pairs without either side are left out; languages are lower-case primary
+    codes, null where they are not given; the id is the pair's own content.
+    """
+    names = [source, target, "source_lang", "target_lang"]
+    df = jsonl(spark, path, _schema(names))
+    code = lambda c: F.lower(F.regexp_extract(F.trim(c), "^([A-Za-z]{2,3})", 1))
+    some = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    pair = F.substring(F.sha2(F.concat_ws("\x1f", source, target), 256), 1, 16)
+    lang = lambda c: F.when(code(c) != "", code(c)).alias(c)
+    return df.filter(some(source) & some(target)).select(F.col(source).alias("source_text"), F.col(target).alias("target_text"), lang("source_lang"), lang("target_lang"), pair.alias("pair_id"))
