@@ -185,14 +185,30 @@ P8_REPORT_SQL = f"""WITH g AS MATERIALIZED ({_WINDOWS}), r AS (SELECT h FROM g G
     SELECT doc_id, n, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n > 0 THEN round(coalesce(shared_chars, 0) / n, 6) ELSE 0.0 END AS shared_fraction FROM (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents) LEFT JOIN s USING (doc_id)"""
 
 
+P8_SPANS_SQL = """WITH t AS (SELECT DISTINCT md5_number(text) AS c, text FROM documents WHERE length(text) >= 200), w AS MATERIALIZED (SELECT c, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT c, text, unnest(range(1, length(text) - 198)) AS i FROM t)),
+    r AS (SELECT h, count(DISTINCT c) - 1 AS n FROM w GROUP BY 1 HAVING count(DISTINCT c) > 1), p AS (SELECT c, i, n, lag(i) OVER (PARTITION BY c ORDER BY i) AS before FROM w JOIN r USING (h)), g AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY i) AS island FROM p),
+    s AS (SELECT c, min(i) - 1 AS span_start, max(i) + 199 AS span_end, max(n) AS partners FROM g GROUP BY c, island), m AS (SELECT DISTINCT doc_id, md5_number(text) AS c, length(text) AS n FROM documents WHERE length(text) >= 200), k AS (SELECT c, count(*) AS k FROM m GROUP BY 1)
+    SELECT doc_id, span_start, span_end, partners FROM m JOIN k USING (c) JOIN s USING (c) WHERE k = 1 UNION ALL SELECT doc_id, 0, n, greatest(k - 1, coalesce((SELECT max(partners) FROM s WHERE s.c = m.c), 0)) FROM m JOIN k USING (c) WHERE k > 1"""
+
+P2_CLASSES_SQL = """WITH RECURSIVE t AS (SELECT 'chunks' AS table_name, chunk_id AS id, text FROM chunks UNION ALL SELECT 'global_facts', fact_hash, fact_text FROM global_facts),
+    d AS (SELECT DISTINCT table_name, id, list_sort(list_distinct(regexp_extract_all(nfc_normalize(lower(text)), '[\\p{L}\\p{N}]+'))) AS w FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+    s AS MATERIALIZED (SELECT table_name, w, len(w) AS n, row_number() OVER () AS k FROM (SELECT DISTINCT table_name, w FROM d WHERE len(w) > 0)), p AS (SELECT k, table_name, n, unnest(w) AS x FROM s),
+    c AS (SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS m FROM p a JOIN p b ON a.table_name = b.table_name AND a.x = b.x AND a.k <> b.k AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY ALL), near AS MATERIALIZED (SELECT ka, kb FROM c WHERE m >= 0.8 * (na + nb - m) - 1e-9),
+    m AS MATERIALIZED (SELECT table_name, id, k FROM d JOIN s USING (table_name, w)), f AS (SELECT k, min(id) AS first FROM m GROUP BY 1), r AS (SELECT k AS a, k AS b FROM s UNION SELECT r.a, kb FROM r JOIN near ON ka = r.b),
+    g AS (SELECT a AS k, min(first) AS class_id FROM r JOIN f ON f.k = r.b GROUP BY 1), l AS (SELECT ka AS k, count(*) AS links FROM near GROUP BY 1)
+    SELECT DISTINCT table_name, id, class_id, coalesce(links, 0) AS links FROM m JOIN g USING (k) LEFT JOIN l USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Brute force over all pairs or windows; queries without an entry are tested in ``tests/llm``."""
     return {
         "p1_found": P1_SQL,
         "p2_found": P2_SQL,
+        "p2_classes": P2_CLASSES_SQL,
         "p3_coverage": "SELECT document_id, chunk_id, max(length(text)) AS n_chars, true AS from_start, true AS fits, true AS overlaps, true AS moderate FROM chunks WHERE length(text) > 2400 GROUP BY 1, 2",
         "p6_totals": "SELECT count(DISTINCT doc_id) FILTER (text <> '') AS documents, 0 AS wrong, 0 AS divided, 0 AS over FROM documents",
         "p7_limits": "SELECT 0 AS over",
         "p8_found": P8_SQL,
+        "p8_spans": P8_SPANS_SQL,
         "p8_report": P8_REPORT_SQL.replace("doc_id, n, ", "doc_id, n AS n_chars, ", 1),
     }
