@@ -5,14 +5,15 @@ holds a third of the rows is spread as well. A task keeps a queue per source
 and fills window after window by deficit round-robin: every window credits each
 source with its target share of the capacity, the source with the largest
 credit goes next, and what it puts in is charged to it. Credits carry over from
-window to window, and a task starts with the credits that all tasks before it
-leave behind; as a task packs everything it holds, these are prefix sums over
-tasks and known beforehand.
+window to window; what all tasks of a round leave a source owed or owing is
+carried over to the tasks of the next round, in equal parts.
 
 From the chosen queue the largest item is taken for whose remaining room some
 queue holds an item of exactly that size, else the largest that fits.
-Windows that stay too empty are packed again together, ``fan_in`` tasks at a
-time, until one task holds the rest.
+Windows that stay too empty, and those in which sources of more than ``DRY`` of the
+mixture are owed something but have nothing left in their task, are packed again
+together, ``fan_in`` tasks at a time, until one task holds the rest: what one
+task lacks another has too much of.
 
 An item above the capacity is divided into full containers and a remainder;
 nothing else is divided, and nothing is left out but records without tokens
@@ -21,6 +22,8 @@ nothing else is divided, and nothing is left out but records without tokens
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +34,12 @@ from loomspan.session import cut
 OUT = "container_id long, slot int, doc_id long, piece int, token_start long, token_end long, source string, open boolean"
 
 
-def fill_windows(size: np.ndarray, source: np.ndarray, shares: np.ndarray, credit: np.ndarray, capacity: int) -> list[list[int]]:
-    """Items of each window, in order of their placing; every size is in 1..capacity."""
+#: Share of the mixture that a window may miss because its task has run out of sources.
+DRY = 0.05
+
+
+def fill_windows(size: np.ndarray, source: np.ndarray, shares: np.ndarray, credit: np.ndarray, capacity: int) -> tuple[list[list[int]], list[float]]:
+    """(items of each window in order of their placing, share of the mixture that had run dry); every size is in 1..capacity."""
     n_sources = len(shares)
     stock = [[[] for _ in range(capacity + 1)] for _ in range(n_sources)]
     have = np.zeros((n_sources, capacity + 1), np.int64)
@@ -40,10 +47,12 @@ def fill_windows(size: np.ndarray, source: np.ndarray, shares: np.ndarray, credi
         stock[source[i]][size[i]].append(i)
         have[source[i], size[i]] += 1
     total = have.sum(axis=0)
-    left, credit, windows = len(size), credit.astype(np.float64).copy(), []
+    left, credit, windows, dry = len(size), credit.astype(np.float64).copy(), [], []
+    stocked = have.sum(axis=1)
 
     while left:
         credit += shares * capacity
+        dry.append(float(shares[(stocked == 0) & (credit > 0)].sum()))
         room, window = capacity, []
         while room and left:
             fits = have[:, 1 : room + 1].any(axis=1)
@@ -61,44 +70,29 @@ def fill_windows(size: np.ndarray, source: np.ndarray, shares: np.ndarray, credi
             window.append(stock[s][take].pop())
             have[s, take] -= 1
             total[take] -= 1
+            stocked[s] -= 1
             credit[s] -= take
             room -= take
             left -= 1
         windows.append(window)
-    return windows
+    return windows, dry
 
 
-def _pack(items: DataFrame, shares: dict[str, float], capacity: int, parts: int, level: int, open_below: float) -> DataFrame:
-    """One round: items (doc_id, piece, token_start, token_end, source) in ``parts`` tasks."""
+def _pack(items: DataFrame, shares: dict[str, float], credit: dict[str, float], capacity: int, parts: int, level: int, open_below: float, dry_most: float) -> DataFrame:
+    """One round: items (doc_id, piece, token_start, token_end, source) in ``parts`` tasks, which share the credits."""
     names = sorted(shares)
     at = {s: i for i, s in enumerate(names)}
     share = np.array([shares[s] for s in names])
     part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(parts)).alias("part")
     items = items.select("*", part)
-    size = F.col("token_end") - F.col("token_start")
-    used = items.groupBy("part", "source").agg(F.sum(size).alias("used"))
-    w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    all_used = items.groupBy("part").agg(F.sum(size).alias("all_used"))
-    target = F.element_at(F.create_map(*(x for s in names for x in (F.lit(s), F.lit(float(shares[s]))))), F.col("source"))
-    if parts > 1:
-        # A row for each task and source, those that a task lacks included.
-        grid = all_used.select("*", F.explode(F.array(*(F.lit(s) for s in names))).alias("source"))
-        grid = grid.join(used, ["part", "source"], "left").na.fill(0, ["used"])
-        carry = grid.withColumn("carry", F.coalesce(F.sum(target * F.col("all_used") - F.col("used")).over(w), F.lit(0.0)))
-        carry = carry.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("source", "carry"))).alias("carry"))
-        items = items.join(carry, "part")
-    else:
-        items = items.withColumn("carry", F.lit(None).cast("map<string,double>"))
+    start_credit = np.array([credit.get(s, 0.0) / parts for s in names])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         start, end = t.column("token_start").to_numpy(), t.column("token_end").to_numpy()
         src = t.column("source").to_pylist()
         code = np.array([at[s] for s in src])
-        credit = np.zeros(len(names))
-        for s, v in t.column("carry")[0].as_py() or []:
-            credit[at[s]] = v
-        windows = fill_windows(end - start, code, share, credit, capacity)
+        windows, dry = fill_windows(end - start, code, share, start_credit, capacity)
         order = np.array([i for x in windows for i in x])
         length = np.array([len(x) for x in windows])
         number = np.repeat(np.arange(len(windows)), length)
@@ -107,7 +101,7 @@ def _pack(items: DataFrame, shares: dict[str, float], capacity: int, parts: int,
         base = (level << 56) + (int(t.column("part")[0].as_py()) << 28)
         take = pa.array(order)
         return pa.table(
-            [pa.array(base + number), pa.array(slot, pa.int32()), *(t.column(c).take(take) for c in ("doc_id", "piece", "token_start", "token_end", "source")), pa.array((filled < open_below * capacity)[number])],
+            [pa.array(base + number), pa.array(slot, pa.int32()), *(t.column(c).take(take) for c in ("doc_id", "piece", "token_start", "token_end", "source")), pa.array(((filled < open_below * capacity) | (open_below > 0) & (np.array(dry) > dry_most))[number])],
             names=[c.split()[0] for c in OUT.split(", ")],
         )
 
@@ -119,7 +113,9 @@ def pack(docs: DataFrame, capacity: int = 2048, targets: dict[str, float] | None
 
     ``docs``: doc_id, source (not null), n_tokens. ``targets`` are the shares the
     mixture of each window aims at; by default each source's share of all
-    tokens, so that no queue runs dry before the others.
+    tokens, so that no queue runs dry before the others over all tasks. With
+    given targets a source can run dry for good; its windows are then closed as
+    they are.
     """
     docs = docs.select("doc_id", "source", "n_tokens").filter("n_tokens > 0")
     last = F.ceil(F.col("n_tokens") / capacity).cast("int") - 1
@@ -141,13 +137,16 @@ def pack(docs: DataFrame, capacity: int = 2048, targets: dict[str, float] | None
     scale = sum(want.values()) or 1.0
     shares = {s: v / scale for s, v in want.items()}
     parts = max(1, -(-sum(n for _, n in sums.values()) // part_items))
-    done, level = None, 0
+    done, level, credit = None, 0, dict.fromkeys(sums, 0.0)
     while True:
-        packed = cut(_pack(items, shares, capacity, parts, level, open_below if parts > 1 else 0.0))
+        packed = cut(_pack(items, shares, credit, capacity, parts, level, open_below if parts > 1 else 0.0, DRY if targets is None else math.inf))
         closed = packed.filter("not open").drop("open")
         done = closed if done is None else done.union(closed)
         if parts == 1:
             return done
+        # One row per source: what closed windows gave it, against its share of them.
+        given = {r["source"]: float(r["t"]) for r in closed.groupBy("source").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("t")).collect()}
+        credit = {s: credit[s] + shares[s] * sum(given.values()) - given.get(s, 0.0) for s in sums}
         items = packed.filter("open").select("doc_id", "piece", "token_start", "token_end", "source")
         rest = items.count()
         if not rest:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os.path
 
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,13 @@ _loaded: dict[str, tiktoken.Encoding] = {}
 
 
 def encoding(vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file, loaded once per process. Nothing is trained."""
+    """The byte-level BPE of a rank file, loaded once per process. Nothing is trained.
+
+    A worker reads the copy that was shipped to it, if there is one.
+    """
     if vocabulary not in _loaded:
-        with open(vocabulary, "rb") as f:
+        shipped = SparkFiles.get(os.path.basename(vocabulary)) if SparkFiles._is_running_on_worker else vocabulary
+        with open(shipped if os.path.exists(shipped) else vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[vocabulary] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[vocabulary]
@@ -27,6 +33,7 @@ def encoding(vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
 
 def with_sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` (with a ``text`` column) with ``text`` replaced by ``n_tokens``; null texts have 0."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     names = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
 
