@@ -28,7 +28,8 @@ def candidates(docs: DataFrame, query: str, k: int = fixed.RECALL_K) -> tuple[Da
     # At most k rows go to the documents.
     cutting = F.get(chunking.windows(F.col("text")), F.col("position")).alias("text")
     # Ids of documents are unique; where they are not, the chunk's own id tells which one is meant.
-    whole = docs.select("doc_id", "text").join(top, "doc_id").select("doc_id", "source", "position", "chunk_id", cutting, "recall")
+    whole = docs.select("doc_id", "text").join(top, "doc_id").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    whole = whole.select("doc_id", "source", "position", "chunk_id", cutting, "recall")
     whole = whole.filter(chunking.chunk_id(F.col("text")) == F.col("chunk_id")).dropDuplicates(["chunk_id"])
     return whole, float(lengths.get.get("mean") or 120.0)
 

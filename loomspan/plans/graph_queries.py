@@ -104,7 +104,8 @@ def graph_betweenness(spark, sf):
     return g.betweenness(vertices(spark, sf), edges(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_E}), r AS (SELECT id AS a, id AS b FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+    SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1""")
 def graph_strong_components(spark, sf):
     return g.components(edges(spark, sf), directed=True)
 
