@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def counts_by_window(events: DataFrame, width: str = "1 hour", delay: str = "1 h
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def admit(events: pd.DataFrame, rate: float, burst: float, tokens: float, last: float | None) -> tuple[list[bool], float, float | None]:
+def admit(events: pd.DataFrame | dict[str, list[float]], rate: float, burst: float, tokens: float, last: float | None) -> tuple[list[bool], float, float | None]:
     """Token bucket over events in order of time (M5): which are admitted, and the state after them."""
     out = []
     for t in events["t"]:
@@ -54,19 +55,32 @@ def token_bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
     """user_id, event_id, admitted: a bucket per user, its state kept across batches (M5)."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
+        user, event, t = (pdf[c].to_numpy() for c in ("user_id", "event_id", "t"))
+        order = np.lexsort((event, t))
         tokens, last = state.get if state.exists else (float(burst), None)
-        ok, tokens, last = admit(pdf, rate, burst, tokens, last)
+        ok, tokens, last = admit({"t": t[order].tolist()}, rate, burst, tokens, last)
         state.update((tokens, last))
-        yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "admitted": ok})
+        yield pd.DataFrame({"user_id": user[order], "event_id": event[order], "admitted": ok})
 
     timed = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, admitted boolean", "tokens double, last double", "append", "NoTimeout")
 
 
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Everything that is there, then stop: into a table in memory, or batch by batch into ``each``."""
+    """Everything that is there, then stop: into a table, or batch by batch into ``each``.
+
+    Rows that are appended go from the tasks to Parquet files beside the checkpoint. A
+    table in memory is held by the driver whole, so it is for complete mode alone.
+    """
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    q = (w.foreachBatch(each) if each else w.format("memory").queryName(name)).start()
-    q.awaitTermination()
-    return None if each else df.sparkSession.table(name)
+    rows = f"{checkpoint}-{name}"
+    if each:
+        w = w.foreachBatch(each)
+    else:
+        w = w.queryName(name).format("memory") if mode == "complete" else w.queryName(name).format("parquet").option("path", rows)
+    w.start().awaitTermination()
+    if each:
+        return None
+    return df.sparkSession.table(name) if mode == "complete" else df.sparkSession.read.schema(df.schema).parquet(rows)

@@ -106,3 +106,15 @@ def test_streamed_token_bucket_and_batches(spark, tmp_path):
     seen = []
     se.run_once(se.source(spark, str(tmp_path / "in")), "x", "append", str(tmp_path / "cp3"), each=lambda df, n: seen.append(df.count()))
     assert sum(seen) == batch.count()
+
+
+def test_appended_rows_stay_off_the_driver(spark, tmp_path):
+    batch = spark.read.schema(se.SCHEMA).parquet(f"{SF}/events.parquet")
+    batch.limit(40).repartition(2).write.parquet(str(tmp_path / "in"))
+    got = se.run_once(se.once(se.source(spark, str(tmp_path / "in"))).select("event_id"), "rows_out", "append", str(tmp_path / "cp"))
+    assert got.inputFiles() and got.count() == 40
+    batch.limit(0).write.parquet(str(tmp_path / "none"))
+    none = se.run_once(se.token_bucket(se.source(spark, str(tmp_path / "none")), 1.0, 2.0), "none_out", "append", str(tmp_path / "cp0"))
+    assert none.columns == ["user_id", "event_id", "admitted"] and none.count() == 0
+    (tmp_path / "bare").mkdir()
+    assert se.run_once(se.once(se.source(spark, str(tmp_path / "bare"))), "bare_out", "append", str(tmp_path / "cp1")).count() == 0
