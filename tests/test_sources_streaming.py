@@ -118,3 +118,12 @@ def test_appended_rows_stay_off_the_driver(spark, tmp_path):
     assert none.columns == ["user_id", "event_id", "admitted"] and none.count() == 0
     (tmp_path / "bare").mkdir()
     assert se.run_once(se.once(se.source(spark, str(tmp_path / "bare"))), "bare_out", "append", str(tmp_path / "cp1")).count() == 0
+
+
+def test_stream_once_reads_files_and_drops_copies(spark):
+    from loomspan.plans import queue_queries as qq
+
+    got = qq.stream_once(spark, SF)
+    assert got.inputFiles()
+    batch = spark.read.parquet(f"{SF}/events.parquet")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.select("event_id", "user_id", "event_type").distinct().collect())
