@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -232,3 +233,26 @@ def test_queries_without_sql_take_all_lines(spark, tmp_path):
     assert gq.graph_shortest_path(spark, str(tmp_path)).collect()[0]["path"] == [1, 100]
     got = {r["id"]: r["betweenness"] for r in gq.graph_betweenness(spark, str(tmp_path)).collect()}
     assert got == {i: pytest.approx(b, abs=1e-6) for i, b in brandes([1, 2, 3, 100], [(1, 2), (2, 3), (3, 1), (1, 100)]).items()}
+
+
+def test_betweenness_looks_at_few_edges(spark, monkeypatch):
+    rng = random.Random(12)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(900)] + [(60, 61), (61, 3)]
+    ids = list(range(63))
+    v = spark.createDataFrame([(i,) for i in ids], "id long")
+    for many in (pairs, pairs * 3, [(1, 2)]):
+        got = {r["id"]: r["betweenness"] for r in g.betweenness(v, spark.createDataFrame(many, "src long, dst long")).collect()}
+        assert got == {i: pytest.approx(b, abs=1e-6) for i, b in brandes(ids, many).items()}
+    looked, spans = [], g._spans
+
+    def counted(start, at):
+        looked.append(int((start[at + 1] - start[at]).sum()))
+        return spans(start, at)
+
+    monkeypatch.setattr(g, "_spans", counted)
+    e = np.array(sorted(pairs))
+    sides = [(np.searchsorted(o[:, k], np.arange(64)), o[:, 1 - k].copy(), None) for o, k in ((e, 0), (e[np.argsort(e[:, 1], kind="stable")], 1))]
+    total = g._shares(sides, ids)
+    assert {i: round(b / (62 * 61), 6) for i, b in enumerate(total)} == {i: pytest.approx(b, abs=1e-6) for i, b in brandes(ids, pairs).items()}
+    # All edges out of every vertex that is reached would be looked at else.
+    assert sum(looked) < 0.75 * len(pairs) * 62
