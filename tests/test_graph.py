@@ -256,3 +256,24 @@ def test_betweenness_looks_at_few_edges(spark, monkeypatch):
     assert {i: round(b / (62 * 61), 6) for i, b in enumerate(total)} == {i: pytest.approx(b, abs=1e-6) for i, b in brandes(ids, pairs).items()}
     # All edges out of every vertex that is reached would be looked at else.
     assert sum(looked) < 0.75 * len(pairs) * 62
+
+
+def test_change_propagation_makes_its_edges_once(spark, monkeypatch, tmp_path):
+    from loomspan.plans import graph_queries as gq
+    from loomspan.plans import scoring_queries as sq
+
+    seen = str(tmp_path / "seen")
+
+    def noted(batches):
+        for pdf in batches:
+            with open(seen, "a") as f:
+                f.write("x" * len(pdf))
+            yield pdf
+
+    pairs = [(4, 1), (6, 4), (7, 2), (1, 7)]
+    e = spark.createDataFrame([(a, b, "R", 1.0) for a, b in pairs], "src long, dst long, kind string, weight double")
+    monkeypatch.setattr(gq, "vertices", lambda *_: spark.createDataFrame([(i,) for i in range(1, 9)], "id long"))
+    monkeypatch.setattr(gq, "edges", lambda *_: e.mapInPandas(noted, e.schema))
+    assert {r["id"] for r in sq.change_propagation(spark, "").collect()} == {1, 4, 6, 7}
+    with open(seen) as f:
+        assert len(f.read()) == len(pairs)
