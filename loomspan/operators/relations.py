@@ -60,20 +60,27 @@ def similar_symbols(symbols: DataFrame, file: str, name: str, least: float = 0.8
     return out.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "similarity").distinct()
 
 
+def _numbered(df: DataFrame, name: str, group: list[str], key: str, text: str) -> DataFrame:
+    """group, name, its text with hash, and the place among equal texts of the section."""
+    d = df.select(*group, F.col(key).cast("string").alias(name), F.coalesce(text, F.lit("")).alias(f"{name}_text")).withColumn("_h", F.sha2(f"{name}_text", 256))
+    return d.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_h").orderBy(name)))
+
+
+def unchanged(old: DataFrame, new: DataFrame, group: list[str], key: str, text: str) -> DataFrame:
+    """group, old, new: the equal chunks alone of ``version_changes``, which take a join and no comparing of texts."""
+    a, b = (_numbered(df, name, group, key, text).drop(f"{name}_text") for df, name in ((old, "old"), (new, "new")))
+    return a.join(b, [*group, "_h", "_n"]).filter("old is not null and new is not null").select(*group, "old", "new")
+
+
 def version_changes(old: DataFrame, new: DataFrame, group: list[str], key: str, text: str, least: float = 0.6) -> DataFrame:
     """group, old, new, status, similarity: chunks of two versions matched within their section.
 
     Equal texts first (unchanged), then each new chunk in order takes the most
     alike one that is left (modified); the rest is removed or added. The greedy
-    second step sees the chunks of one section that have no equal; equal ones
-    are matched by a join.
+    second step sees the chunks of one section that have no equal, and compares
+    all of them; equal ones are matched by a join. ``unchanged`` is for those alone.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*group, "_h").orderBy(key)
-        d = df.select(*group, F.col(key).cast("string").alias(name), F.coalesce(text, F.lit("")).alias(f"{name}_text")).withColumn("_h", F.sha2(f"{name}_text", 256))
-        return d.withColumn("_n", F.row_number().over(w.orderBy(name)))
-
-    both = side(old, "old").join(side(new, "new"), [*group, "_h", "_n"], "full")
+    both = _numbered(old, "old", group, key, text).join(_numbered(new, "new", group, key, text), [*group, "_h", "_n"], "full")
     same = both.filter("old is not null and new is not null").select(*group, "old", "new", F.lit("unchanged").alias("status"), F.lit(1.0).alias("similarity"))
     kinds = dict(both.dtypes)
     schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", old string, new string, status string, similarity double"

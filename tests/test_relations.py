@@ -184,3 +184,17 @@ def test_tables_partitioned_once_are_not_shuffled_again(spark):
     a = cut_by(spark.range(100).withColumn("k", F.col("id") % 10), "k")
     plan = a.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_unchanged_chunks_compare_no_texts(spark):
+    from conftest import SF
+
+    from loomspan.plans import relation_queries as rq
+
+    schema = "section string, id long, body string"
+    old = spark.createDataFrame([("s1", 1, "a"), ("s1", 2, "a"), ("s1", 3, "abc"), ("s2", 4, "a"), ("s2", 5, None), (None, 6, "a"), ("s3", None, "z")], schema)
+    new = spark.createDataFrame([("s1", 11, "a"), ("s1", 12, "abd"), ("s2", 13, ""), ("s2", 14, "a"), ("s2", 15, "a"), (None, 16, "a"), ("s3", 17, "z")], schema)
+    got = {tuple(r) for r in relations.unchanged(old, new, ["section"], "id", "body").collect()}
+    assert got == {("s1", "1", "11"), ("s2", "4", "14"), ("s2", "5", "13")}
+    assert got == {(r["section"], r["old"], r["new"]) for r in relations.version_changes(old.filter("section is not null"), new.filter("section is not null"), ["section"], "id", "body").filter("status = 'unchanged'").collect()}
+    assert "InPandas" not in rq.unchanged_chunks(spark, SF)._jdf.queryExecution().executedPlan().toString()
