@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -299,39 +300,87 @@ def tensor_edges(links: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def centrality(tensor: DataFrame, vertices: DataFrame, weights: dict[str, float], tolerance: float = 1e-9, most: int = 20000) -> DataFrame:
-    """id, centrality: dominant vector of the weighted sum of relations, shifted by its largest row sum.
+    """id, centrality: dominant vector of the weighted sum of relations, shifted by its largest row sum."""
+    return centralities(tensor, vertices, [weights], tolerance, most).select("id", F.col("c0").alias("centrality"))
+
+
+#: Vertices whose rows of the matrix are packed together.
+BLOCK_VERTICES = 1 << 14
 
-    Sparse power iteration in one task, for graphs declared small; an error
-    when it does not converge.
-    """
-    pairs = F.create_map(*(x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))))
-    m = tensor.groupBy("i", "j").agg(F.sum(F.col("v") * F.element_at(pairs, F.col("relation"))).alias("v"))
-    _small(vertices, "centrality")
-    rows = vertices.select(F.col("id").alias("i"), F.lit(None).cast(dict(vertices.dtypes)["id"]).alias("j"), F.lit(0.0).alias("v")).union(m.select("i", "j", "v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf.loc[pdf["j"].isna(), "i"].unique())
-        at = {v: k for k, v in enumerate(ids)}
-        e = pdf[pdf["j"].notna()]
-        e = e[e["i"].isin(at) & e["j"].isin(at)]
-        i, j, v = e["i"].map(at).to_numpy(int), e["j"].map(at).to_numpy(int), e["v"].to_numpy(float)
-        n = len(ids)
-        x = np.full(n, 1 / np.sqrt(max(1, n)))
-        sigma = np.bincount(i, v, n).max() if len(i) else 0.0
-        if sigma > 0:
-            for _ in range(most):
-                y = sigma * x + np.bincount(i, v * x[j], n)
-                y /= np.linalg.norm(y)
-                moved = np.abs(y - x).sum()
-                x = y
-                if moved < tolerance:
-                    break
-            else:
-                raise ValueError("power iteration did not converge")
-        return pd.DataFrame({"id": ids, "centrality": x})
 
-    kind = dict(vertices.dtypes)["id"]
-    return rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: run(pdf[["i", "j", "v"]]), f"id {kind}, centrality double")
+def centralities(tensor: DataFrame, vertices: DataFrame, weights: list[dict[str, float]], tolerance: float = 1e-9, most: int = 20000) -> DataFrame:
+    """id, c0, c1, ...: the centrality of each of some weightings, found together.
+
+    The matrix is packed into blocks of rows once and stays with the tasks; the
+    vectors, a number a vertex and weighting, go to all tasks and back in each
+    step of the power iteration. An error when one does not converge.
+    """
+    spark, kind, q = vertices.sparkSession, dict(vertices.dtypes)["id"], len(weights)
+    ids = cut(vertices.select("id").distinct())
+    n = ids.count()
+    blocks = max(1, n // BLOCK_VERTICES)
+    place = F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1
+    names = cut(ids.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("k", place))
+    size = dict(names.groupBy("b").count().collect())
+    start = np.concatenate([[0], np.cumsum([size.get(i, 0) for i in range(blocks)])]).astype(np.int64)
+    at = names.withColumn("p", (F.element_at(F.lit(start.tolist()), F.col("b") + 1) + F.col("k")).cast("int"))
+    pairs = [F.create_map(*(x for k, w in each.items() for x in (F.lit(k), F.lit(float(w))))) for each in weights]
+    m = tensor.groupBy("i", "j").agg(*(F.coalesce(F.sum(F.col("v") * F.element_at(w, F.col("relation"))), F.lit(0.0)).alias(f"v{c}") for c, w in enumerate(pairs)))
+    m = m.join(at.select(F.col("id").alias("j"), "p"), "j").join(at.select(F.col("id").alias("i"), "b", "k"), "i").drop("i", "j")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["b"].iloc[0])
+        order = np.argsort(pdf["k"].to_numpy(), kind="stable")
+        per_row = np.bincount(pdf["k"], minlength=start[b + 1] - start[b]).astype(np.int32)
+        v = np.stack([pdf[f"v{c}"].to_numpy(float)[order] for c in range(q)])
+        return pd.DataFrame({"b": [b], "n": [per_row.tobytes()], "p": [pdf["p"].to_numpy(np.int32)[order].tobytes()], "v": [v.tobytes()]})
+
+    packed = cut(m.groupBy("b").applyInPandas(pack, "b int, n binary, p binary, v binary"))
+
+    def times(xs: np.ndarray) -> np.ndarray:
+        """The products of the matrices with their vectors."""
+        sent = spark.sparkContext.broadcast(xs)
+
+        def run(batches):
+            xs = sent.value
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    b, per_row, p, v = (batch.column(c)[r] for c in ("b", "n", "p", "v"))
+                    per_row, p = (np.frombuffer(x.as_buffer(), np.int32) for x in (per_row, p))
+                    v = np.frombuffer(v.as_buffer(), np.float64).reshape(len(xs), -1)
+                    i = np.repeat(np.arange(len(per_row)), per_row)
+                    y = np.stack([np.bincount(i, v[c] * xs[c][p], len(per_row)) for c in range(len(xs))])
+                    yield pa.record_batch([pa.array([b.as_py()], pa.int32()), pa.array([y.tobytes()], pa.binary())], names=["b", "y"])
+
+        out = np.zeros((q, n))
+        for b, y in packed.mapInArrow(run, "b int, y binary").collect():
+            out[:, start[b] : start[b + 1]] = np.frombuffer(y).reshape(q, -1)
+        sent.destroy()
+        return out
+
+    x = np.full((q, n), 1 / np.sqrt(max(1, n)))
+    sigma = times(np.ones((q, n))).max(axis=1, initial=0.0)
+    moving = sigma > 0
+    for _ in range(most):
+        if not moving.any():
+            break
+        y = sigma[:, None] * x + times(x)
+        for c in np.flatnonzero(moving):
+            new = y[c] / np.linalg.norm(y[c])
+            moving[c] = np.abs(new - x[c]).sum() >= tolerance
+            x[c] = new
+    if moving.any():
+        raise ValueError("power iteration did not converge")
+    sent = spark.sparkContext.broadcast(x)
+
+    def named(batches):
+        for batch in batches:
+            p = start[batch.column("b").to_numpy()] + batch.column("k").to_numpy()
+            yield pa.record_batch([batch.column("id"), *(pa.array(sent.value[c][p]) for c in range(q))], names=["id", *(f"c{c}" for c in range(q))])
+
+    out = cut(names.mapInArrow(named, f"id {kind}, " + ", ".join(f"c{c} double" for c in range(q))))
+    sent.destroy()
+    return out
 
 
 def rank_delta(weighted: DataFrame, uniform: DataFrame, share: float = 0.1) -> DataFrame:

@@ -118,7 +118,8 @@ def tensor_rank_delta(spark, sf):
     links = edges(spark, sf).withColumnRenamed("kind", "relation").withColumn("confidence", F.lit(1.0))
     v = vertices(spark, sf)
     t = g.tensor_edges(links, WEIGHTS)
-    return g.rank_delta(g.centrality(t, v, WEIGHTS), g.centrality(t, v, dict.fromkeys(WEIGHTS, 1.0)))
+    c = g.centralities(t, v, [WEIGHTS, dict.fromkeys(WEIGHTS, 1.0)])
+    return g.rank_delta(*(c.select("id", F.col(x).alias("centrality")) for x in ("c0", "c1")))
 
 
 def code_vertices(spark, sf):

@@ -277,3 +277,31 @@ def test_change_propagation_makes_its_edges_once(spark, monkeypatch, tmp_path):
     assert {r["id"] for r in sq.change_propagation(spark, "").collect()} == {1, 4, 6, 7}
     with open(seen) as f:
         assert len(f.read()) == len(pairs)
+
+
+def test_centralities_in_blocks_equal_dense_vectors(spark, monkeypatch):
+    rng = random.Random(6)
+    ids = [f"n{i}" for i in range(70)]
+    links = [(rng.choice("xy"), rng.choice(ids[:60]), rng.choice([*ids[:60], "unknown"]), rng.random()) for _ in range(300)]
+    monkeypatch.setattr(g, "MOST_VERTICES", 5)
+    monkeypatch.setattr(g._small, "__defaults__", (5,))
+    monkeypatch.setattr(g, "BLOCK_VERTICES", 8, raising=False)
+    both = ({"x": 1.0, "y": 0.3}, {"x": 1.0, "y": 1.0})
+    v = spark.createDataFrame([(i,) for i in ids], "id string")
+    t = g.tensor_edges(spark.createDataFrame(links, "relation string, src string, dst string, confidence double"), both[0])
+    for w in both:
+        got = {r["id"]: r["centrality"] for r in g.centrality(t, v, w).collect()}
+        a = np.zeros((70, 70))
+        for r, i, j, c in links:
+            if j in ids:
+                a[ids.index(i), ids.index(j)] += w[r] * c / 2
+                a[ids.index(j), ids.index(i)] += w[r] * c / 2
+        top = np.linalg.eigh(a)[1][:, -1]
+        assert [got[i] for i in ids] == pytest.approx(list(np.abs(top)), abs=1e-6)
+    two = {r["id"]: (r["c0"], r["c1"]) for r in g.centralities(t, v, list(both)).collect()}
+    assert [two[i][1] for i in ids] == pytest.approx([got[i] for i in ids], abs=1e-12)
+    none = g.centrality(t.limit(0), v, both[0]).collect()
+    assert len(none) == 70 and all(r["centrality"] == pytest.approx(70**-0.5) for r in none)
+    assert g.centrality(t, v.limit(0), both[0]).count() == 0
+    with pytest.raises(ValueError):
+        g.centrality(t, v, both[0], most=2)
