@@ -127,3 +127,12 @@ def test_stream_once_reads_files_and_drops_copies(spark):
     assert got.inputFiles()
     batch = spark.read.parquet(f"{SF}/events.parquet")
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.select("event_id", "user_id", "event_type").distinct().collect())
+
+
+def test_stream_bucket_counts_rows_of_files(spark):
+    from loomspan.plans import queue_queries as qq
+
+    got = qq.stream_bucket(spark, SF)
+    assert got.inputFiles()
+    rows = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").count().collect()
+    assert {tuple(r) for r in got.collect()} == {(u, n, n) for u, n in rows}
