@@ -44,9 +44,12 @@ def build(hashes: DataFrame, column: str, bits: int = BITS) -> bytes:
 def holds(data: bytes, h: int, bits: int = BITS) -> bool:
     """Whether the filter lets a hash (signed 64 bits) through."""
     mask = bits - 1
-    at, step = h & mask, ((h & 0xFFFFFFFFFFFFFFFF) >> (bits.bit_length() - 1)) & mask | 1
-    for _ in range(PROBES):
+    at = h & mask
+    if not data[at >> 3] >> (at & 7) & 1:
+        return False  # most end here
+    step = ((h & 0xFFFFFFFFFFFFFFFF) >> (bits.bit_length() - 1)) & mask | 1
+    for _ in range(PROBES - 1):
+        at = at + step & mask
         if not data[at >> 3] >> (at & 7) & 1:
             return False
-        at = at + step & mask
     return True

@@ -18,6 +18,8 @@ merged from lines: host -> presentation style of a line -> content of a line.
   unimportant.
 
 Three scans: contents and words; styles; then each page with its host's tree.
+Most short lines stand on many pages, so what does not depend on the page is
+found once a task (``Known.lines``); only what the rules ask for is worked out.
 What is common over all hosts goes to the tasks as a filter of a fixed size
 (``filters``), what is known of a host only to the tasks with its pages. Hosts of
 more than ``block_pages`` pages are cut into blocks by page; their contents are
@@ -37,6 +39,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from contextlib import contextmanager
+from operator import eq
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -48,10 +51,11 @@ from loomspan.llm import filters
 from loomspan.session import cut
 
 _MARK = re.compile(r"^([*•‣◦▪\-–+]|#{1,6}|\d{1,3}[.)])\s+")
-_NUMBER = re.compile(r"\b\d+\b")
+_NUMBER = re.compile(r"\d(?<!\w\d)\d*\b")  # \b\d+\b, with a first character that the search can skip to
 _WORD = re.compile(r"\w+")
 _TILDE = re.compile(r"~s?(?!\w)|\w+")
-_PARTS = re.compile(r"\s+[|·•/>»›]\s+|\s{2,}|\s*[→←]\s*")
+# \s+[|·•/>»›]\s+|\s{2,}|\s*[→←]\s*, likewise.
+_PARTS = re.compile(r"[\s→←](?:(?<=\s)(?:\s*[|·•/>»›]\s+|\s+|\s*[→←]\s*)|(?<=[→←])\s*)")
 _CRUMB = re.compile(r"\s+[/>»›]\s+")
 _LABEL = re.compile(r"^([^:：]{2,32}?)\s?[:：]\s+(.+)$")
 MARKS = "*•‣◦▪-–+#"
@@ -73,7 +77,7 @@ def _h(kind: str, s: str) -> int:
 
 def _content_hash(c: str) -> int:
     """Odd for single words, which meet by chance: they have to be twice as common."""
-    return _h("c", c) & ~1 | (" " not in c)
+    return (xxhash.xxh3_64_intdigest(f"c\0{c}") - (1 << 63)) & ~1 | (" " not in c)
 
 
 def _tidy(s: str) -> str:
@@ -81,13 +85,94 @@ def _tidy(s: str) -> str:
 
 
 class Line:
-    """A line; ``words`` are listed of short lines only, ``n`` counts those of any."""
+    """A line, whatever its page. ``words`` are listed of short lines only, ``n`` counts those of any.
 
-    __slots__ = ("no", "text", "low", "mark", "key", "words", "n", "anchor", "styles", "common", "linked", "labelled", "hash")
+    What is costly is None until a rule asks for it.
+    ``label``: style of the label or None, what follows it, and whether that is a list of keywords; False without.
+    ``parts``: those of a line of several; empty of others.
+    ``levels``: hash and level over all hosts of each of the styles, see ``Tree``.
+    """
 
-    def __init__(self, no: int, text: str, low: str, mark: str, key: str, words: list[str], n: int):
-        self.no, self.text, self.low, self.mark, self.key, self.words, self.n = no, text, low, mark, key, words, n
-        self.anchor, self.styles, self.common, self.linked, self.labelled, self.hash = None, (), False, False, False, 0
+    __slots__ = ("text", "low", "mark", "key", "words", "n", "hash", "common", "label", "parts", "styles", "levels")
+
+    def __init__(self, text: str, low: str, mark: str, key: str, words: list[str], n: int, known: Known):
+        self.text, self.low, self.mark, self.key, self.words, self.n = text, low, mark, key, words, n
+        self.hash = _content_hash(key)
+        self.common = filters.holds(known.entries, self.hash)
+        start = low[:34]  # no label is longer
+        self.label = None if ":" in start or "：" in start else False
+        self.parts = self.styles = self.levels = None
+
+    def labels(self, known: Known) -> tuple[str | None, str, bool] | bool:
+        if self.label is None:
+            self.label = _label(self.low, known)
+        return self.label
+
+    def linked(self, anchor: str | None, anchors: dict[str, str], known: Known) -> bool:
+        """Whether a line that is not common, and of which ``anchor`` is not the whole, is made of links."""
+        if self.label is not False and (label := self.labels(known)) and label[1] in anchors:
+            return True
+        if anchor:
+            return False
+        parts = self.parts
+        if parts is None:
+            parts = self.parts = _parts(self.text[len(self.mark) :]) if _has_parts(self.text) else ()
+        if not parts:
+            return False
+        alone = known.part
+        for p in parts:
+            q = alone[p]
+            if q and q not in anchors:
+                return False
+        return True
+
+    def styles_at(self, anchor: str | None, known: Known) -> list[str]:
+        if anchor:
+            return [f"a {anchor}", *_pinned(self, known)]
+        if self.styles is None:
+            self.styles = _pinned(self, known) if self.label is not False or self.text[0] == "#" else []
+            if self.words or self.n > 8:
+                self.styles += _loose(self, known)
+        return self.styles
+
+
+def _label(low: str, known: Known) -> tuple[str | None, str, bool] | bool:
+    m = _LABEL.match(low)
+    if not m:
+        return False
+    label, rest = _NUMBER.sub("0", m.group(1).strip()), m.group(2).strip()
+    keywords = "," in rest and all(k and " " not in k.strip() for k in rest.split(", "))
+    return f"p {label}" if all(map(known.words.__getitem__, _WORD.findall(label))) else None, rest, keywords
+
+
+def _parts(text: str) -> list[str] | tuple:
+    parts = [p for p in _PARTS.split(text.strip()) if p and p.strip()]
+    return parts if len(parts) > 1 else ()
+
+
+def _pinned(x: Line, known: Known) -> list[str]:
+    """Styles of a line whether or not it is a link."""
+    styles = []
+    if x.label is not False and (label := x.labels(known)) and label[0]:
+        styles.append(label[0])
+    if x.text[0] == "#" and not x.mark:
+        styles.append("#")
+    return styles
+
+
+def _loose(x: Line, known: Known) -> list[str]:
+    """Styles of a line that is no link: its template, its last words."""
+    styles, word = [], known.words
+    if x.words:
+        flags = [word[w] for w in x.words]
+        if True in flags and False in flags:
+            filled = " ".join([w if f else "~" for w, f in zip(x.words, flags, strict=True)])
+            styles.append(f"t {x.mark[:1]}{filled}" if x.key[-1].isalnum() else f"t {x.mark[:1]}{filled}{x.key[-1]}")
+    if x.n > 8 and x.text[-1].isalnum() and x.text[-1] != "0":
+        tail = _WORD.findall(x.key[-60:])[-3:]
+        if all([word[w] for w in tail]):
+            styles.append("s " + " ".join(tail))
+    return styles
 
 
 def _site(host: str | None) -> tuple[str, ...]:
@@ -119,43 +204,73 @@ def _shape(url: str, host: str) -> str:
     return f"/{seg[0]}/" if len(seg) > 1 else "/"
 
 
-def _rows(text: str, names: tuple[str, ...]):
-    """What ``Line`` takes, of each line that is not blank; case, names and numbers are folded for all at once."""
+def _folded(text: str, names: tuple[str, ...]):
+    """The site's name as the page has it; of each line: as it is, in lower case, with names and numbers folded, and whether it is the same on any host."""
     low_text = text.lower()
-    key_text = low_text
+    key_text, name = low_text, ""
     if names:
         key_text = key_text.replace(names[0], "~s")
         # A site's name in words may be a little shorter than its label in the address.
         label = names[-1]
         for n in range(len(label), max(4, len(label) - 5), -1):
             if label[:n] in key_text:
-                key_text = key_text.replace(label[:n], "~s")
+                name = label[:n]
+                key_text = key_text.replace(name, "~s")
                 break
-    key_text = _NUMBER.sub("0", key_text)
-    find, fold, marked = _WORD.findall, _tidy, _MARK.match
-    for no, (raw, low, key) in enumerate(zip(text.split("\n"), low_text.split("\n"), key_text.split("\n"), strict=True)):
-        raw = raw.strip()
+    lows = low_text.split("\n")
+    plain = [True] * len(lows) if key_text is low_text else list(map(eq, lows, key_text.split("\n")))
+    return name, zip(text.split("\n"), lows, _NUMBER.sub("0", key_text).split("\n"), plain, strict=True)
+
+
+def _row(raw: str, low: str, key: str):
+    """What ``Line`` takes, of a line of ``_folded``; None of a blank one."""
+    raw = raw.strip()
+    if not raw:
+        return None
+    low, key, mark = low.strip(), key.strip(), ""
+    c = raw[0]
+    if c in MARKS or c.isdigit():
+        m = _MARK.match(raw)
+        if m:
+            mark = m.group(1)
+            low, m = low[m.end() :], _MARK.match(key)
+            if m:
+                key = key[m.end() :]
+    if "  " in low or "\t" in low:
+        low = _tidy(low)
+    if len(key) > LONG:
+        return raw, low, mark, key, (), key.count(" ") + 1
+    words = _WORD.findall(key)
+    n = len(words)
+    return raw, low, mark, key, words if n <= SHORT else (), n
+
+
+def lines_of(text: str, names: tuple[str, ...], known: Known) -> tuple[list[int], list[Line]]:
+    """Numbers and lines, without blank ones."""
+    name, rows = _folded(text, names)
+    cache, named = known.lines, None
+    nos, lines = [], []
+    for no, (raw, low, key, plain) in enumerate(rows):
         if not raw:
             continue
-        low, key, mark = low.strip(), key.strip(), ""
-        c = raw[0]
-        if c in MARKS or c.isdigit():
-            m = marked(raw)
-            if m:
-                mark = m.group(1)
-                low, key = low[m.end() :], _MARK.sub("", key, count=1)
-        if "  " in low or "\t" in low:
-            low = fold(low)
-        if len(key) > LONG:
-            yield no, raw, low, mark, key, (), key.count(" ") + 1
+        if plain:
+            met, keep = cache, len(raw) <= LONG
         else:
-            words = find(key)
-            n = len(words)
-            yield no, raw, low, mark, key, words if n <= SHORT else (), n
-
-
-def lines_of(text: str, names: tuple[str, ...]) -> list[Line]:
-    return [Line(*r) for r in _rows(text, names)]
+            if named is None:
+                named = known.named[names[0], name]
+            met, keep = named, len(raw) <= 3 * LONG
+        x = met.get(raw) if keep else None
+        if x is None:
+            r = _row(raw, low, key)
+            if r is None:
+                continue
+            x = Line(*r, known)
+            if keep:
+                known.room()
+                met[raw] = x
+        nos.append(no)
+        lines.append(x)
+    return nos, lines
 
 
 ITEM, FIELD = "\x01", "\x02"
@@ -167,86 +282,80 @@ def links_column():
     return F.array_join(F.transform("links", one), ITEM)
 
 
-def anchors_of(links: str | None, host: str | None) -> dict[str, str]:
+def anchors_of(links: str | None, host: str | None, shapes: dict[str, str]) -> dict[str, str]:
+    """Shape of each link by its text. ``shapes``: those of paths met before, which are alike on all hosts."""
     out: dict[str, str] = {}
     if links:
         host = (host or "").lower()
+        own = f"https://{host}"
+        n = len(own)
         for item in links.lower().split(ITEM):
             t, _, u = item.partition(FIELD)
-            t = _tidy(t)
+            t = " ".join(t.split())
             if t and t not in out:
-                out[t] = _shape(u, host)
+                rest = u[n:] if u.startswith(own) else u
+                s = shapes.get(rest)
+                if s is None:
+                    s = _shape(u, host)
+                    if len(rest) < 200 and rest[:1] == "/" and rest[1:2] != "/" and "#" not in rest and "?" not in rest:
+                        if len(shapes) > 100_000:
+                            shapes.clear()
+                        shapes[rest] = s
+                out[t] = s
     return out
 
 
-class Known:
-    """Which contents and words are common over all hosts, by text."""
+class _Words(dict):
+    """Whether a word is common over all hosts."""
 
     def __init__(self, entries: bytes):
         self.entries = entries
-        self.words: dict[str, bool] = {}
-        self.contents: dict[str, tuple[int, bool]] = {}
 
-    def word(self, w: str) -> bool:
-        k = self.words.get(w)
-        if k is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            k = self.words[w] = filters.holds(self.entries, _h("w", w) & ~1)
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        k = self[w] = filters.holds(self.entries, _h("w", w) & ~1)
         return k
 
-    def content(self, c: str) -> tuple[int, bool]:
-        """Hash of a content and whether it is common."""
-        k = self.contents.get(c)
-        if k is None:
-            h = _content_hash(c)
-            k = (h, filters.holds(self.entries, h))
-            if len(c) < 60:
-                if len(self.contents) > 100_000:
-                    self.contents.clear()
-                self.contents[c] = k
-        return k
 
+class _Parts(dict):
+    """A part of a line as a link's text may have it, empty if it is common by itself."""
 
-def describe(lines: list[Line], anchors: dict[str, str], known: Known) -> None:
-    """Sets each line's anchor, whether its content is common, and its styles."""
-    word, content = known.word, known.content
-    for x in lines:
-        low = x.low
-        x.anchor = anchors.get(low)
-        x.hash, x.common = content(x.key)
-        styles = []
-        if x.anchor:
-            styles.append(f"a {x.anchor}")
-        elif _has_parts(x.text):
-            parts = [p for p in _PARTS.split(x.text[len(x.mark) :].strip()) if p and p.strip()]
-            if len(parts) > 1:
-                x.linked = all(p in anchors or content(_NUMBER.sub("0", p))[1] for p in (_tidy(p).lower() for p in parts))
-        if ":" in low or "：" in low:
-            m = _LABEL.match(low)
-            if m:
-                label = _NUMBER.sub("0", m.group(1).strip())
-                rest = m.group(2).strip()
-                if rest in anchors:
-                    x.linked = x.labelled = True
-                elif "," in rest and all(k and " " not in k.strip() for k in rest.split(", ")):
-                    x.labelled = True  # a list of keywords
-                if all(map(word, _WORD.findall(label))):
-                    styles.append(f"p {label}")
-        if x.text[0] == "#" and not x.mark:
-            styles.append("#")
-        n = x.n
-        if n and not x.anchor:
-            if x.words:
-                flags = [word(w) for w in x.words]
-                if any(flags) and not all(flags):
-                    filled = [w if f else "~" for w, f in zip(x.words, flags, strict=True)]
-                    styles.append(f"t {x.mark[:1]}{' '.join(filled)}{x.key[-1]}" if not x.key[-1].isalnum() else f"t {x.mark[:1]}{' '.join(filled)}")
-            if n > 8 and x.text[-1].isalnum() and x.text[-1] != "0":
-                tail = _WORD.findall(x.key[-60:])[-3:]
-                if all(map(word, tail)):
-                    styles.append("s " + " ".join(tail))
-        x.styles = styles
+    def __init__(self, entries: bytes):
+        self.entries = entries
+
+    def __missing__(self, p: str) -> str:
+        q = _tidy(p).lower()
+        if filters.holds(self.entries, _content_hash(_NUMBER.sub("0", q))):
+            q = ""
+        if len(p) < 60:
+            if len(self) > 50_000:
+                self.clear()
+            self[p] = q
+        return q
+
+
+class Known:
+    """Which contents (``entries``), words and parts of lines are common over all hosts; lines and paths of links that were met before."""
+
+    def __init__(self, entries: bytes):
+        self.entries = entries
+        self.words = _Words(entries)
+        self.part = _Parts(entries)
+        self.lines: dict[str, Line] = {}
+        self.named: dict[tuple[str, str], dict[str, Line]] = defaultdict(dict)  # lines with a site's name in them, by site and name
+        self.held = 0
+        self.shapes: dict[str, str] = {}
+
+    def room(self) -> None:
+        """Ahead of one more line that is kept: at most 50,000 are."""
+        self.held += 1
+        if self.held > 50_000:
+            self.lines.clear()
+            for x in self.named.values():
+                x.clear()  # a page may be at it
+            self.named.clear()
+            self.held = 1
 
 
 @contextmanager
@@ -272,24 +381,36 @@ def _quick(scan):
 def _contents(batches):
     """(entry, host) of the distinct contents and words of each host in a batch."""
     hashes: dict[str, int] = {}
+    lines: dict[str, tuple[int, ...]] = {}
     for b in batches:
-        by_host: dict[tuple, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-        for hid, host, text in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text")), strict=True):
-            contents, words = by_host[hid, host]
-            for r in _rows(text, _site(host)):
-                contents.add(r[4])
-                words.update(r[5])
-        entries, hosts = [], []
+        by_host: dict[int, set[int]] = defaultdict(set)
         if len(hashes) > 200_000:
             hashes.clear()
-        for (hid, _), (contents, words) in by_host.items():
-            entries += map(_content_hash, contents)
-            for w in words:
-                k = hashes.get(w)
-                if k is None:
-                    k = hashes[w] = _h("w", w) & ~1
-                entries.append(k)
-            hosts += [hid] * (len(contents) + len(words))
+        for hid, host, text in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text")), strict=True):
+            found = by_host[hid]
+            for raw, low, key, plain in _folded(text, _site(host))[1]:
+                if not raw:
+                    continue
+                entries = lines.get(raw) if plain else None
+                if entries is None:
+                    r = _row(raw, low, key)
+                    if r is None:
+                        continue
+                    entries = [_content_hash(r[3])]
+                    for w in r[4]:
+                        k = hashes.get(w)
+                        if k is None:
+                            k = hashes[w] = _h("w", w) & ~1
+                        entries.append(k)
+                    if plain and len(raw) <= LONG:
+                        if len(lines) > 50_000:
+                            lines.clear()
+                        lines[raw] = entries
+                found.update(entries)
+        entries, hosts = [], []
+        for hid, found in by_host.items():
+            entries += found
+            hosts += [hid] * len(found)
         yield pa.record_batch([pa.array(entries, pa.int64()), pa.array(hosts, pa.int64())], names=["entry", "hid"])
 
 
@@ -298,7 +419,7 @@ def _counted_contents(batches):
     for b in batches:
         count: dict[tuple[int, str], int] = defaultdict(int)
         for hid, host, text in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text")), strict=True):
-            for c in {r[4] for r in _rows(text, _site(host))}:
+            for c in {r[3] for x in _folded(text, _site(host))[1] if (r := _row(*x[:3]))}:
                 count[hid, c] += 1
         yield pa.record_batch([pa.array([h for h, _ in count], pa.int64()), pa.array([_content_hash(c) for _, c in count], pa.int64()), pa.array(list(count.values()), pa.int64())], names=["hid", "entry", "pages"])
 
@@ -324,62 +445,64 @@ COUNTS = ("beside", "dull", "before", "n", "pages")
 
 
 def _scan_styles(plan):
-    def styles(batches):
+    def scan(batches):
         known = Known(plan.value)
         names: dict[str, tuple[int, int]] = {}
         for b in batches:
-            seen: dict[tuple[str, int], list[int]] = {}
+            seen: dict[int, dict[str, list[int]]] = defaultdict(dict)
             for hid, host, text, links in zip(*(b.column(c).to_pylist() for c in ("hid", "host", "text", "links")), strict=True):
-                lines = lines_of(text, _site(host))
-                describe(lines, anchors_of(links, host), known)
+                _, lines = lines_of(text, _site(host), known)
+                anchors = anchors_of(links, host, known.shapes)
+                at = [anchors.get(x.low) for x in lines]
+                dull = [x.common or x.linked(a, anchors, known) for x, a in zip(lines, at, strict=True)]
+                styles = [x.styles if a is None and x.styles is not None else x.styles_at(a, known) for x, a in zip(lines, at, strict=True)]
                 last = len(lines) - 1
-                here = set()
-                for i, x in enumerate(lines):
-                    if x.common and not x.anchor:
-                        k = (f"o {x.key}", hid)
-                        s = seen.get(k)
+                here, of_host = set(), seen[hid]
+                for i, (x, own) in enumerate(zip(lines, styles, strict=True)):
+                    if x.common and not at[i]:
+                        k = f"o {x.key}"
+                        s = of_host.get(k)
                         if s is None:
-                            s = seen[k] = [0, 0, 0, 0, 0]
+                            s = of_host[k] = [0, 0, 0, 0, 0]
                         s[3] += 1
-                        nxt = lines[i + 1] if i < last else None
-                        if nxt is not None and not nxt.common:
+                        if i < last and not (nxt := lines[i + 1]).common:
+                            a = at[i + 1]
                             s[0] += 1
-                            s[1] += nxt.anchor is not None and nxt.anchor not in ("/", "#", "out") and nxt.n > 1 or nxt.text[0] == "#" and not nxt.mark
-                            s[2] += nxt.anchor == "#"
-                    if not x.styles:
-                        continue
-                    p, q = lines[i - 1] if i else None, lines[i + 1] if i < last else None
-                    for st in x.styles:
-                        k = (st, hid)
-                        s = seen.get(k)
+                            s[1] += a is not None and a not in ("/", "#", "out") and nxt.n > 1 or nxt.text[0] == "#" and not nxt.mark
+                            s[2] += a == "#"
+                    for st in own:
+                        s = of_host.get(st)
                         if s is None:
-                            s = seen[k] = [0, 0, 0, 0, 0]
-                        if p is not None and st not in p.styles:
+                            s = of_host[st] = [0, 0, 0, 0, 0]
+                        if i and st not in styles[i - 1]:
                             s[0] += 1
-                            s[1] += p.common or p.linked
-                        if q is not None and st not in q.styles:
+                            s[1] += dull[i - 1]
+                        if i < last and st not in styles[i + 1]:
                             s[0] += 1
-                            s[1] += q.common or q.linked
-                        s[2] += x.labelled if st[0] == "p" else p is not None and (p.common or p.linked)
+                            s[1] += dull[i + 1]
+                        s[2] += (x.label[1] in anchors or x.label[2]) if st[0] == "p" else i > 0 and dull[i - 1]
                         s[3] += 1
                         if st not in here:
                             here.add(st)
                             s[4] += 1
             if len(names) > 200_000:
                 names.clear()
-            ids, rules = [], []
-            for st, _ in seen:
-                got = names.get(st)
-                if got is None:
-                    got = names[st] = (_h("s", st), _rule(st))
-                ids.append(got[0])
-                rules.append(got[1])
+            ids, rules, hosts, counts = [], [], [], []
+            for hid, of_host in seen.items():
+                for st, s in of_host.items():
+                    got = names.get(st)
+                    if got is None:
+                        got = names[st] = (_h("s", st), _rule(st))
+                    ids.append(got[0])
+                    rules.append(got[1])
+                    counts.append(s)
+                hosts += [hid] * len(of_host)
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(rules, pa.int32()), pa.array([h for _, h in seen], pa.int64()), *(pa.array([int(v[i]) for v in seen.values()], pa.int32()) for i in range(len(COUNTS)))],
+                [pa.array(ids, pa.int64()), pa.array(rules, pa.int32()), pa.array(hosts, pa.int64()), *(pa.array([int(s[i]) for s in counts], pa.int32()) for i in range(len(COUNTS)))],
                 names=["style", "rule", "hid", *COUNTS],
             )
 
-    return _quick(styles)
+    return _quick(scan)
 
 
 def _dull_share():
@@ -436,13 +559,14 @@ class Tree:
             self.openers[key] = "related" if self._has(h, 3) else "contents" if self._has(h, 4) else None
         return self.openers[key]
 
-    def level(self, x: Line, local: dict[int, int]) -> int:
+    def level(self, x: Line, anchor: str | None, local: dict[int, int], known: Known) -> int:
         """2 where the line's branch is unimportant, 1 where it is if nothing but a link."""
-        top = 0
-        for s in x.styles:
-            h, k = self.style(s)
-            top = max(top, k, local.get(h, 0))
-        return top
+        levels = None if anchor else x.levels
+        if levels is None:
+            levels = [self.style(s) for s in x.styles_at(anchor, known)]
+            if not anchor:
+                x.levels = levels
+        return max([max(k, local.get(h, 0)) for h, k in levels], default=0)
 
 
 LEAST = 0.35  # importance under which a branch goes
@@ -460,42 +584,43 @@ def _strong(x: Line) -> bool:
     return len(t) >= 60 or (x.n >= 8 and t[-1] in ".!?。！？:") or x.mark != "" or t.startswith(("$ ", "```", "|")) or " = " in t or bool(re.search(r"\w: \S|\w \| \w", t))
 
 
-def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: set[int], status: int | None, local: dict[int, int]) -> list[int]:
+def keep_lines(nos: list[int], lines: list[Line], anchors: dict[str, str], title: str | None, known: Known, tree: Tree, host_common: set[int], status: int | None, local: dict[int, int]) -> list[int]:
     """Numbers of the lines of the main body."""
     if status is not None and status >= 400:
         return []
     n = len(lines)
     bare = [x.low for x in lines]
+    at = list(map(anchors.get, bare))
     where: dict[str, list[int]] = defaultdict(list)
     for i, b in enumerate(bare):
         where[b].append(i)
     drop = [False] * n
     name = _tidy(title or "").lower()
     for i, x in enumerate(lines):
-        parts = [_tidy(p).lower() for p in _CRUMB.split(x.text)] if x.n <= 30 and ("/" in x.text or ">" in x.text or "»" in x.text or "›" in x.text) else []
-        if x.common or x.linked or x.hash in host_common:
+        a = at[i]
+        if x.common or x.hash in host_common or x.linked(a, anchors, known):
             drop[i] = True
-        elif len(parts) > 1 and not x.mark and (parts[-1] == name or parts[-1] in where):
+        elif not x.mark and x.n <= 30 and ("/" in x.text or ">" in x.text or "»" in x.text or "›" in x.text) and len(parts := _CRUMB.split(x.text)) > 1 and ((end := _tidy(parts[-1]).lower()) == name or end in where):
             drop[i] = True  # a path that ends in the page's own title
         elif x.text[0] in "←‹«" or x.text[-1] in "→›":
             drop[i] = True
-        elif x.anchor in ("/", "script"):
+        elif a in ("/", "script"):
             drop[i] = True
-        elif x.anchor == "#":
+        elif a == "#":
             pass  # a heading or its entry in the contents list
-        elif x.anchor and x.anchor not in ("out",) and not x.mark and x.n > 1:
+        elif a and a != "out" and not x.mark and x.n > 1:
             drop[i] = True  # a branch that is nothing but a link
-        elif bare[i] != name and x.styles and tree.level(x, local) >= (1 if x.anchor else 2):
+        elif bare[i] != name and tree.level(x, a, local, known) >= (1 if a else 2):
             drop[i] = True
 
     # A single word that others use as well, between lines of the body, is an item of it.
     for i in range(1, n - 1):
         x = lines[i]
-        if drop[i] and not x.anchor and x.n == 1 and not (drop[i - 1] or drop[i + 1]) and not tree.opens(x.key):
+        if drop[i] and not at[i] and x.n == 1 and not (drop[i - 1] or drop[i + 1]) and not tree.opens(x.key):
             drop[i] = False
 
     # Blocks that a common line opens.
-    has_links = any(x.anchor and x.anchor not in ("/", "#") for x in lines)
+    has_links = any(a and a not in ("/", "#") for a in at)
     i = 0
     while i < n:
         kind = tree.opens(lines[i].key) if drop[i] else None
@@ -508,12 +633,12 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
             if bare[j] == name or x.mark.startswith("#") or (x.common or x.hash in host_common):
                 break
             if kind == "contents":
-                if x.anchor == "#" or (len(where[bare[j]]) > 1 and any(k > j or k < i - 1 for k in where[bare[j]])):
+                if at[j] == "#" or (len(where[bare[j]]) > 1 and any(k > j or k < i - 1 for k in where[bare[j]])):
                     drop[j] = True
                 else:
                     break
             else:
-                if drop[j] or (x.anchor and x.anchor != "out") or (x.text[0] == "#" and not x.mark):
+                if drop[j] or (at[j] and at[j] != "out") or (x.text[0] == "#" and not x.mark):
                     drop[j] = True
                 elif has_links:
                     break  # what is listed here would be linked
@@ -527,7 +652,7 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
     j = 0
     while j < n:
         k = j
-        while k < n and lines[k].anchor == "#" and not lines[k].mark.startswith("#") and len(where[bare[k]]) > 1 and not drop[k]:
+        while k < n and at[k] == "#" and not lines[k].mark.startswith("#") and len(where[bare[k]]) > 1 and not drop[k]:
             k += 1
         if k - j >= 2:
             for q in range(j, k):
@@ -536,7 +661,7 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
 
     if name and name in where:
         # The title may also be listed elsewhere; the body begins at its first own line.
-        first = next((i for i in where[name] if not lines[i].anchor and not (lines[i].common)), None)
+        first = next((i for i in where[name] if not at[i] and not (lines[i].common)), None)
         if first is not None:
             for i in reversed(range(first)):
                 if drop[i] or not _strong(lines[i]) or any(drop[i + 1 : first]) or first - i <= 2:
@@ -553,7 +678,7 @@ def keep_lines(lines: list[Line], title: str | None, tree: Tree, host_common: se
             continue
         if i > strong[-1] and any(drop[strong[-1] + 1 : i]):
             continue
-        out.append(lines[i].no)
+        out.append(nos[i])
     return out
 
 
@@ -577,6 +702,35 @@ def _host_contents(pages: DataFrame, large: DataFrame) -> DataFrame:
     return count.filter("c >= 3").join(size, "hid").filter(recurs).select("hid", "entry")
 
 
+def _body(t: pa.Table, own: pa.Table, known: Known, tree: Tree) -> pa.Table:
+    """page_id, line_no of the lines kept of pages ``t``, by what is known of their hosts (``own``) and of all."""
+    recurring, local = defaultdict(set), defaultdict(dict)
+    for hid, entry, level in zip(*(own.column(c).to_pylist() for c in ("hid", "entry", "level")), strict=True):
+        if level:
+            local[hid][entry] = level
+        else:
+            recurring[hid].add(entry)
+    once: dict[int, dict] = {}
+    for values in zip(*(t.column(c).to_pylist() for c in t.column_names), strict=True):
+        r = dict(zip(t.column_names, values, strict=True))
+        o = once.get(r["page_id"])
+        if o is None or r["text"] < o["text"]:
+            once[r["page_id"]] = r
+    by_host = defaultdict(list)
+    for r in once.values():
+        by_host[(r["hid"], r["host"], r["part"])].append(r)
+    ids, nos = [], []
+    for (hid, host, _), group in by_host.items():
+        names = _site(host)
+        parsed = [lines_of(r["text"], names, known) for r in group]
+        found = host_contents([lines for _, lines in parsed]) if group[0]["whole"] else recurring[hid]
+        for r, (at, lines) in zip(group, parsed, strict=True):
+            got = keep_lines(at, lines, anchors_of(r["links"], host, known.shapes), r["title"], known, tree, found, r["status"], local[hid])
+            ids += [r["page_id"]] * len(got)
+            nos += got
+    return pa.table({"page_id": pa.array(ids, pa.int64()), "line_no": pa.array(nos, pa.int32())})
+
+
 def main_lines(pages: DataFrame, host_share: float = 0.005, block_pages: int = 2000, task_pages: int = 500) -> DataFrame:
     """page_id, line_no of the lines of the main body.
 
@@ -616,43 +770,13 @@ def main_lines(pages: DataFrame, host_share: float = 0.005, block_pages: int = 2
     # Partitions of a bounded number of pages; a group is a few hundred pages and a host's block at most.
     n = min(groups, max(3 * spark.sparkContext.defaultParallelism, math.ceil(total / (4 * block_pages))))
 
-    def run(t: pa.Table, known: pa.Table) -> pa.Table:
-        with _no_cycles():
-            return body(t, known)
-
     state: list = []
 
-    def body(t: pa.Table, known: pa.Table) -> pa.Table:
+    def run(t: pa.Table, own: pa.Table) -> pa.Table:
         if not state:
             state.extend((Known(common.value), Tree(tree.value)))
-        entries, styles = state
-        recurring, local = defaultdict(set), defaultdict(dict)
-        for hid, entry, level in zip(*(known.column(c).to_pylist() for c in ("hid", "entry", "level")), strict=True):
-            if level:
-                local[hid][entry] = level
-            else:
-                recurring[hid].add(entry)
-        once: dict[int, dict] = {}
-        for values in zip(*(t.column(c).to_pylist() for c in t.column_names), strict=True):
-            r = dict(zip(t.column_names, values, strict=True))
-            o = once.get(r["page_id"])
-            if o is None or r["text"] < o["text"]:
-                once[r["page_id"]] = r
-        by_host = defaultdict(list)
-        for r in once.values():
-            by_host[(r["hid"], r["host"], r["part"])].append(r)
-        ids, nos = [], []
-        for (hid, host, _), group in by_host.items():
-            names = _site(host)
-            parsed = [lines_of(r["text"], names) for r in group]
-            for r, lines in zip(group, parsed, strict=True):
-                describe(lines, anchors_of(r["links"], host), entries)
-            found = host_contents(parsed) if group[0]["whole"] else recurring[hid]
-            for r, lines in zip(group, parsed, strict=True):
-                got = keep_lines(lines, r["title"], styles, found, r["status"], local[hid])
-                ids += [r["page_id"]] * len(got)
-                nos += got
-        return pa.table({"page_id": pa.array(ids, pa.int64()), "line_no": pa.array(nos, pa.int32())})
+        with _no_cycles():
+            return _body(t, own, *state)
 
     out = spread.repartition(n, "task").groupBy("task").cogroup(own.repartition(n, "task").groupBy("task")).applyInArrow(run, "page_id long, line_no int")
     return out.distinct()
